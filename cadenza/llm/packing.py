@@ -121,10 +121,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, kind: str, end: i
 
 def _place(batches: Iterator[pa.RecordBatch], table: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        if not b.num_rows:
+            continue
         length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         order = np.argsort(length, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(length[order]) != 0])) if len(order) else []
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(length[order]) != 0]))
         for c, e in zip(cuts, [*cuts[1:], len(order)], strict=True):
             at = order[c:e]
             rows = table[int(length[at[0]])]

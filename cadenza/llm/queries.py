@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing, seekable
+from . import minhash, packing, seekable, suffix
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +25,18 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4, num=80, den=100)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_spans(documents(spark, sf_dir), length=100)
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(
+        "doc_id",
+        (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.token_files(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -33,6 +46,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op7_token_files, op10_best_fit_packing)
+    f.__name__: f for f in (op1_minhash_dedup, op6_suffix_array_dedup, op7_token_files, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
