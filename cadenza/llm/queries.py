@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, seekable, suffix
+from . import minhash, packing, seekable, suffix, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4, num=80, den=100)
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.93)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.repeated_spans(documents(spark, sf_dir), length=100)
     removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -46,6 +50,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op6_suffix_array_dedup, op7_token_files, op10_best_fit_packing)
+    f.__name__: f for f in (op1_minhash_dedup, op4_vector_dedup, op6_suffix_array_dedup, op7_token_files, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
