@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, seekable, suffix, toxicity, vectors
+from . import gif, minhash, packing, quality, seekable, suffix, toxicity, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -60,11 +60,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.token_files(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.stored(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op10_best_fit_packing)
+    f.__name__: f for f in (op1_minhash_dedup, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op9_gif_media, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
