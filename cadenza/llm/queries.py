@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, minhash, packing, quality, seekable, suffix, toxicity, vectors
+from . import bpe, gif, minhash, packing, quality, seekable, suffix, toxicity, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4, num=80, den=100)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), bpe.digests)
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -69,6 +73,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op9_gif_media, op10_best_fit_packing)
+    f.__name__: f for f in (op1_minhash_dedup, op2_byte_bpe, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op9_gif_media, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
