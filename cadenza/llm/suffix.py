@@ -436,3 +436,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = every.mapInArrow(_last, "doc_id long, starts array<long>, ends array<long>, kept binary")
     none = F.expr("cast(array() as array<bigint>)")
     return out.unionByName(src.where("doc_id is null").select("doc_id", none.alias("starts"), none.alias("ends"), F.col("text").alias("kept")))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100) -> DataFrame:
+    """docs with the repeated passages cut out of `text_col`; a character of which a byte goes goes whole. Null texts
+    and rows with a null id stay as they are. Ids name documents: rows that repeat an id need equal texts."""
+    found = repeated_spans(docs.dropDuplicates([id_col]), id_col, text_col, length=length).where(F.size("starts") > 0)
+    new = found.select(F.col("doc_id").alias("__suffix_id"), F.expr("try_validate_utf8(cast(kept as string))").alias("__suffix_whole"), F.col("kept").alias("__suffix_kept"))
+    new = new.select("__suffix_id", F.coalesce("__suffix_whole", F.make_valid_utf8(F.col("__suffix_kept").cast("string"))).alias("__suffix_text"))
+    joined = docs.join(new.hint("merge"), F.col(id_col).cast("long") == F.col("__suffix_id"), "left")
+    text = F.when(F.col("__suffix_id").isNull(), F.col(text_col)).otherwise(F.replace(F.col("__suffix_text"), F.lit("\ufffd"), F.lit("")))
+    return joined.withColumn(text_col, text).select(*docs.columns)

@@ -142,6 +142,14 @@ def _score(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), *(pa.array(c) for c in p.T)], ["doc_id", *(f"p_{c}" for c in chain.categories)])
 
 
+def _clean(batches: Iterator[pa.RecordBatch], at: int, chain: Chain, threshold: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 500):
+            part = b.slice(i, 500)
+            p = chain.predict(chain.matrix([t or "" for t in part.column(at).to_pylist()])[0])
+            yield part.filter(pa.array(p[:, 0] < threshold))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fits a chain on at most 2 * per_class labelled documents."""
     return fit_chain(labelled_sample(docs, labels, label, per_class=per_class, id_col=id_col, text_col=text_col))
@@ -158,3 +166,9 @@ def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     p = [f"p_{c}" for c in chain.categories]
     scored = src.mapInArrow(functools.partial(_score, chain=chain), "doc_id long, " + ", ".join(f"{c} double" for c in p))
     return scored.select("doc_id", *p, (F.col(p[0]) >= threshold).cast("int").alias("toxic"))
+
+
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that the chain doesn't call toxic, all columns; null texts stay."""
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(functools.partial(_clean, at=at, chain=chain, threshold=threshold), docs.schema)
