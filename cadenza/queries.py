@@ -4,7 +4,411 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import catalog as C
+from .operators import graph as G
+from .operators import ingest as I  # noqa: E741
+from .operators import search as Q
+from .operators import similarity as M
+from .sources import roles as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# --------------------------------------------------------------------------- shared SQL
+
+SONGS = """song_stats AS (
+  SELECT l_partkey AS song_id, count(*) AS n, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS sd, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS st,
+         CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS DOUBLE) AS sq, min(l_suppkey) AS artist_id FROM lineitem GROUP BY 1),
+songs AS (
+  SELECT song_id, p_name || '#' || CAST(p_partkey AS VARCHAR) AS name, p_name AS title, round(sd / CAST(n * 10 AS DOUBLE), 6) AS danceability, round(st / CAST(n * 8 AS DOUBLE), 6) AS energy,
+         p_size % 2 AS mode, round(p_size / CAST(50 AS DOUBLE), 6) AS valence, p_retailprice / CAST(10 AS DOUBLE) AS tempo, 'song:' || CAST(p_partkey AS VARCHAR) AS uri, p_size % 12 AS key,
+         CAST(round(sq * 2 / CAST(n AS DOUBLE)) AS INT) AS popularity, p_type AS genre, artist_id FROM song_stats JOIN part ON song_id = p_partkey)"""
+ITEMS = """items AS (SELECT o_custkey AS pid, l_partkey AS song_id, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY pos, song_id) - 1 AS r FROM items)"""
+ARTIST_ITEMS = """items AS (SELECT * FROM (SELECT artist_id AS pid, song_id, row_number() OVER (PARTITION BY artist_id ORDER BY popularity DESC, song_id) AS pos FROM songs) WHERE pos <= 50),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY pos, song_id) - 1 AS r FROM items)"""
+
+
+def vectors_sql(pop: int = 1) -> str:
+    return f"""axes AS (SELECT song_id, name, danceability AS x0, energy AS x1, mode / CAST(4 AS DOUBLE) AS x2, valence AS x3, tempo / CAST(10000 AS DOUBLE) AS x4, popularity / CAST({pop} AS DOUBLE) AS x5 FROM songs),
+vec AS (SELECT *, sqrt(x0*x0 + x1*x1 + x2*x2 + x3*x3 + x4*x4 + x5*x5) AS norm FROM axes)"""
+
+
+COSINE = "round(CASE WHEN a.norm * b.norm = 0 THEN 0 ELSE (a.x0*b.x0 + a.x1*b.x1 + a.x2*b.x2 + a.x3*b.x3 + a.x4*b.x4 + a.x5*b.x5) / (a.norm * b.norm) END, 9)"
+PAIRS = f"""pv AS (SELECT pid, r, vec.* FROM placed JOIN vec USING (song_id)),
+pairs AS (SELECT a.pid, a.r AS i, b.r AS j, a.name AS source, b.name AS target, {COSINE} AS score FROM pv a JOIN pv b ON a.pid = b.pid AND a.r <> b.r),
+hits AS (SELECT * FROM pairs WHERE score > 0.97 AND source <> target)"""
+LINKS = "links AS (SELECT pid, i, j, source, target, score FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY i, j) - 1 AS k FROM hits) WHERE k % 20 = 0)"
+
+
+def graph_sql(pop: int, items: str, tail: str) -> str:
+    return f"WITH {SONGS}, {items}, {vectors_sql(pop)}, {PAIRS}, {LINKS} {tail}"
+
+
+#: Suppliers and the two partners with whom they share most parts.
+EDGES = """bip AS (SELECT DISTINCT l_suppkey AS lft, l_partkey AS rgt FROM lineitem),
+proj AS (SELECT x.lft AS a, y.lft AS b, count(*) AS weight FROM bip x JOIN bip y ON x.rgt = y.rgt AND x.lft < y.lft GROUP BY 1, 2),
+ways AS (SELECT a AS u, b AS v, weight FROM proj UNION ALL SELECT b, a, weight FROM proj),
+best AS (SELECT u, v FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY weight DESC, v) AS k FROM ways) WHERE k <= 2),
+edges AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM best),
+ways2 AS (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges),
+deg AS (SELECT u AS node, count(*) AS degree FROM ways2 GROUP BY 1)"""
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def playlist_graph(spark: SparkSession, d: str, **kw: float) -> DataFrame:
+    return M.graph_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), **kw)
+
+
+def partner_edges(spark: SparkSession, d: str) -> DataFrame:
+    pairs = R.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"))
+    shared = G.projection(pairs)
+    ways = shared.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "weight"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))).alias("e")).select("e.*")
+    k = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("weight"), "v"))
+    return ways.withColumn("k", k).where("k <= 2").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+
+
+# --------------------------------------------------------------------------- similarity
+
+
+@query(graph_sql(1, ITEMS, "SELECT pid, i, j, source, target, score FROM links"))
+def similarity_graph_links(spark, d):
+    return playlist_graph(spark, d)
+
+
+@query(graph_sql(100, ITEMS, "SELECT pid, i, j, source, target, score FROM links"))
+def similarity_graph_scaled(spark, d):
+    return playlist_graph(spark, d, pop_div=100)
+
+
+@query(f"WITH {SONGS}, {ITEMS} SELECT pid, r, name AS id FROM placed JOIN songs USING (song_id)")
+def similarity_graph_nodes(spark, d):
+    return R.enumerated(R.playlist_items(spark, d)).join(R.songs(spark, d), "song_id").select("pid", "r", F.col("name").alias("id"))
+
+
+@query(graph_sql(100, ITEMS, "SELECT pid, i, j, source, target, score, round(log10(score * 100), 9) AS value FROM hits WHERE i < j"))
+def similarity_undirected(spark, d):
+    return M.undirected_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), pop_div=100)
+
+
+@query(graph_sql(100, ITEMS, """, touched AS (SELECT pid, source AS name FROM hits UNION SELECT pid, target FROM hits)
+SELECT pid, r AS id, name, danceability AS dance, energy, mode, valence, tempo AS bpm, key, popularity, genre FROM placed JOIN songs USING (song_id) WHERE (pid, name) IN (SELECT (pid, name) FROM touched)"""))
+def similarity_connected_nodes(spark, d):
+    items, songs = R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d)
+    return M.connected_nodes(items, M.undirected_links(items, songs, pop_div=100), songs)
+
+
+@query(graph_sql(100, ITEMS, """, kept AS (SELECT score FROM pairs WHERE i < j AND score > 0.995), ends AS (SELECT min(score) AS lo, max(score) AS hi FROM kept)
+SELECT CAST(least(CASE WHEN hi = lo THEN 0 ELSE floor((score - lo) * 100 / (hi - lo)) END, 99) AS INT) AS bin, count(*) AS n FROM kept, ends GROUP BY 1"""))
+def similarity_histogram(spark, d):
+    return M.edge_histogram(M.pair_scores(M.with_vectors(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), pop_div=100)))
+
+
+@query(graph_sql(1, ARTIST_ITEMS, "SELECT pid, i, j, source, target, score FROM links"))
+def artist_top50_similarity(spark, d):
+    return M.graph_links(R.enumerated(R.artist_items(spark, d)), R.songs(spark, d))
+
+
+@query(graph_sql(1, ITEMS, """, n AS (SELECT pid, string_agg('{"id":"' || name || '"}', ',' ORDER BY r) AS nodes FROM placed JOIN songs USING (song_id) GROUP BY 1),
+k AS (SELECT pid, count(*) AS m FROM links GROUP BY 1)
+SELECT n.pid, '{"nodes":[' || nodes || ']' AS head, coalesce(m, 0) AS links FROM n LEFT JOIN k ON n.pid = k.pid"""))
+def similarity_graph_document(spark, d):
+    items, songs = R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d)
+    doc = M.graph_document(items.join(songs.select("song_id", "name"), "song_id"), M.graph_links(items, songs))
+    return doc.select("pid", F.substring_index("doc", ',"links":', 1).alias("head"), F.size(F.from_json("doc", "links array<struct<source: string>>").getField("links")).cast("long").alias("links"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (
+SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT label, i, j, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY i, j) - 1 AS k FROM p WHERE score > 0.3) WHERE k % 20 = 0""")
+def embedding_similarity_sampled(spark, d):
+    """Free vectors; each label is a catalogue."""
+    v = R.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    a, b = v.select("label", F.col("vec_id").alias("i"), F.col("x").alias("xa")), v.select("label", F.col("vec_id").alias("j"), F.col("x").alias("xb"))
+    hits = a.join(b, "label").where("i < j").withColumn("score", F.round(S.list_cosine(F.col("xa"), F.col("xb")), 6)).where("score > 0.3").select("label", "i", "j", "score")
+    both = hits.select("label", F.explode(F.array(F.struct("i", "j", "score"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "score"))).alias("h")).select(F.col("label").alias("pid"), "h.*")
+    return M.sample_every(both).withColumnRenamed("pid", "label")
+
+
+@query(f"""WITH {SONGS}, {vectors_sql(100)} SELECT a.name AS source, b.name AS target, {COSINE} AS weight FROM vec a JOIN vec b ON b.song_id = 1 AND a.name <> b.name WHERE {COSINE} > 0.97""")
+def track_vs_playlist(spark, d):
+    songs = R.songs(spark, d)
+    return M.compare_track(songs, songs.where("song_id = 1"), pop_div=100)
+
+
+# --------------------------------------------------------------------------- records and catalogues
+
+
+@query(f"""WITH {SONGS} SELECT song_id, name, s_name AS artist, danceability, energy, mode, valence, tempo / CAST(100 AS DOUBLE) AS tempo, uri, key, popularity, genre FROM songs JOIN supplier ON artist_id = s_suppkey""")
+def song_properties(spark, d):
+    return C.song_properties(R.songs(spark, d), R.artists(spark, d)).select("song_id", "name", "artist", "features.*")
+
+
+@query(f"WITH {SONGS}, {ITEMS} SELECT pid, r, name, tempo / CAST(100 AS DOUBLE) AS tempo, popularity FROM placed JOIN songs USING (song_id)")
+def multi_song_properties(spark, d):
+    p = C.song_properties(R.songs(spark, d), R.artists(spark, d))
+    return R.enumerated(R.playlist_items(spark, d)).join(p, "song_id").select("pid", "r", "name", "features.tempo", "features.popularity")
+
+
+@query(f"""WITH {SONGS} SELECT name, 0 AS place, 'danceability' AS category, danceability AS r FROM songs UNION ALL SELECT name, 1, 'energy', energy FROM songs UNION ALL SELECT name, 2, 'mode', mode / CAST(5 AS DOUBLE) FROM songs
+UNION ALL SELECT name, 3, 'valence', valence FROM songs UNION ALL SELECT name, 4, 'tempo', tempo / CAST(10000 AS DOUBLE) FROM songs UNION ALL SELECT name, 5, 'danceability', danceability FROM songs""")
+def radial_profile(spark, d):
+    return C.radial_profile(R.songs(spark, d))
+
+
+_MEAN = "CAST(sum(CAST(round({0} * 1000000) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 1000000 AS DOUBLE) AS avg_{0}"
+
+
+@query(f"WITH {SONGS}, {ITEMS} SELECT pid, {', '.join(_MEAN.format(c) for c in C.FEATURES)} FROM placed JOIN songs USING (song_id) GROUP BY 1")
+def playlist_mean_features(spark, d):
+    return C.playlist_means(R.playlist_items(spark, d), R.songs(spark, d))
+
+
+@query("SELECT p_size AS pid, p_name AS name, min(p_partkey) AS pos, arg_max('song:' || CAST(p_partkey AS VARCHAR), p_partkey) AS uri FROM part GROUP BY 1, 2")
+def catalog_last_wins(spark, d):
+    p = R.table(spark, d, "part")
+    return C.catalog(p.select(F.col("p_size").alias("pid"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"), F.concat(F.lit("song:"), F.col("p_partkey").cast("string")).alias("uri")))
+
+
+@query(f"WITH {SONGS}, {ITEMS} SELECT DISTINCT artist_id, pid AS playlist_id FROM placed JOIN songs USING (song_id)")
+def featured_on(spark, d):
+    return C.featured_on(R.playlist_items(spark, d), R.songs(spark, d))
+
+
+@query(f"WITH {SONGS} SELECT name, '[''' || replace(title, ' ', ''', ''') || ''']' AS genres FROM songs")
+def genre_text(spark, d):
+    return R.songs(spark, d).select("name", S.quoted_list(F.split("title", " ")).alias("genres"))
+
+
+@query("SELECT c_custkey AS pid, c_name AS owner, c_name || ' Playlist - ' || c_mktsegment || ':' || chr(10) || ' ' || substring(c_mktsegment, 1, 50) AS label FROM customer")
+def owner_display_name(spark, d):
+    p = R.playlists(spark, d).withColumn("shown", S.owner_name(F.col("owner")))
+    return p.select("pid", F.col("shown").alias("owner"), S.playlist_label(F.col("shown"), F.col("description"), F.col("description")).alias("label"))
+
+
+@query("SELECT p_partkey AS id, CAST((p_partkey * 7919) % 66 + 15 AS INT) AS value, round(10 + 70 * (sqrt(CAST((p_partkey * 7919) % 66 + 15 AS DOUBLE)) - 1) / (sqrt(CAST(300 AS DOUBLE)) - 1), 9) AS radius FROM part")
+def bubble_radius(spark, d):
+    b = R.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.bubble_value(F.col("p_partkey")).alias("value"))
+    return b.withColumn("radius", F.round(S.bubble_radius(F.col("value")), 9))
+
+
+@query(graph_sql(1, ITEMS, "SELECT pid, 'Song Relationship: ' || source || ' - ' || target AS label, upper(source) AS title, 'track:' || target AS q FROM links"))
+def relationship_labels(spark, d):
+    return playlist_graph(spark, d).select("pid", F.format_string("Song Relationship: %s - %s", "source", "target").alias("label"), F.upper("source").alias("title"), F.concat(F.lit("track:"), "target").alias("q"))
+
+
+# --------------------------------------------------------------------------- search and ingestion
+
+
+def _search_sql(table: str, name: str, subtitle: str, uri: str, q: str) -> str:
+    return f"SELECT {name} AS name, {subtitle} AS subtitle, {uri} AS uri FROM {table} WHERE contains(lower({name}), '{q}') ORDER BY 1, 3 LIMIT 15"
+
+
+@query(f"WITH {SONGS} " + _search_sql("songs JOIN supplier ON artist_id = s_suppkey", "name", "s_name", "uri", "a"))
+def search_tracks(spark, d):
+    s = R.songs(spark, d).join(R.artists(spark, d), "artist_id").select("name", F.col("artist").alias("subtitle"), "uri")
+    return Q.search("track", "A", s)
+
+
+@query(_search_sql("supplier JOIN nation ON s_nationkey = n_nationkey", "s_name", "n_name", "'artist:' || CAST(s_suppkey AS VARCHAR)", "supplier"))
+def search_artists(spark, d):
+    n = R.table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    s = R.table(spark, d, "supplier").join(n, "s_nationkey")
+    return Q.search("artist", "supplier", s.select(F.col("s_name").alias("name"), F.col("n_name").alias("subtitle"), F.concat(F.lit("artist:"), F.col("s_suppkey").cast("string")).alias("uri")))
+
+
+@query(_search_sql("customer", "c_name", "c_name", "'playlist:' || CAST(c_custkey AS VARCHAR)", "1"))
+def search_playlists(spark, d):
+    p = R.playlists(spark, d)
+    return Q.search("playlist", "1", p.select(F.col("playlist").alias("name"), S.owner_name(F.col("owner")).alias("subtitle"), F.concat(F.lit("playlist:"), F.col("pid").cast("string")).alias("uri")))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(text, '@')")
+def contactable(spark, d):
+    return Q.contactable(R.table(spark, d, "documents").withColumnRenamed("text", "description")).select("doc_id", "lang")
+
+
+@query("SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS email FROM documents")
+def email_extract(spark, d):
+    return R.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), F.lit(0))).alias("email")).distinct()
+
+
+@query("""WITH e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS email, lang FROM documents),
+known AS (SELECT DISTINCT email FROM e WHERE lang = 'en'), tried AS (SELECT DISTINCT email FROM e UNION SELECT 'not an address')
+SELECT t.email, CAST(CASE WHEN t.email = 'not an address' OR k.email IS NOT NULL THEN 400 ELSE 200 END AS INT) AS status,
+CASE WHEN t.email = 'not an address' THEN 'Invalid email address' WHEN k.email IS NOT NULL THEN 'Email already subscribed' ELSE 'Subscribed' END AS message FROM tried t LEFT JOIN known k ON t.email = k.email""")
+def mailing_list_upsert(spark, d):
+    e = R.table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), F.lit(0))).alias("email"))
+    tried = e.select("email").unionByName(spark.createDataFrame([("not an address",)], "email string"))
+    return I.subscribe(e.where("lang = 'en'").select("email"), tried)
+
+
+@query(f"""WITH {SONGS}, old AS (SELECT name, min(uri) AS uri FROM (SELECT title AS name, uri FROM songs WHERE mode = 0) GROUP BY 1),
+fresh AS (SELECT title AS name, min(uri) AS uri FROM songs GROUP BY 1)
+SELECT name, uri, FALSE AS created FROM old UNION ALL SELECT name, uri, TRUE FROM fresh WHERE name NOT IN (SELECT name FROM old)""")
+def get_or_create_songs(spark, d):
+    """Names are identities: the songs in minor exist, all arrive."""
+    s = R.songs(spark, d).select("mode", F.col("title").alias("name"), "uri")
+    old = s.where("mode = 0").groupBy("name").agg(F.min("uri").alias("uri"))
+    return I.get_or_create(old, s.select("name", "uri"), ["name"], ["uri"])
+
+
+@query(graph_sql(1, ITEMS, """, e AS (SELECT DISTINCT source AS song_a, target AS song_b, score AS similarity_score FROM links), old AS (SELECT DISTINCT source AS song_a, target AS song_b, score AS similarity_score FROM links JOIN customer ON pid = c_custkey WHERE c_mktsegment = 'BUILDING')
+SELECT *, FALSE AS created FROM old UNION ALL SELECT *, TRUE FROM (SELECT * FROM e EXCEPT SELECT * FROM old)"""))
+def get_or_create_edges(spark, d):
+    """A link's identity is (song_a, song_b, score): another score makes another row."""
+    segment = R.playlists(spark, d).select("pid", "description")
+    e = playlist_graph(spark, d).join(segment, "pid").select("description", F.col("source").alias("song_a"), F.col("target").alias("song_b"), F.col("score").alias("similarity_score"))
+    return I.get_or_create(e.where("description = 'BUILDING'").drop("description").distinct(), e.drop("description"), ["song_a", "song_b", "similarity_score"])
+
+
+@query(f"WITH {SONGS} SELECT uri, popularity, danceability, tempo, s_name AS artist FROM songs JOIN supplier ON artist_id = s_suppkey")
+def enrich_three_way(spark, d):
+    s = R.songs(spark, d)
+    tracks = s.select("uri", "popularity", F.concat(F.lit("artist:"), F.col("artist_id").cast("string")).alias("artist_uri"))
+    return I.enrich(tracks, s.select("uri", "danceability", "tempo"), R.artists(spark, d)).select("uri", "popularity", "danceability", "tempo", "artist")
+
+
+@query("""WITH names AS (SELECT s_name AS name FROM supplier UNION SELECT n_name FROM nation UNION SELECT 'nobody'), loc AS (SELECT s_name AS name, 'artist:' || CAST(s_suppkey AS VARCHAR) AS uri FROM supplier WHERE s_acctbal > 0),
+rem AS (SELECT n_name AS name, 'remote:' || CAST(n_nationkey AS VARCHAR) AS uri FROM nation)
+SELECT names.name, coalesce(loc.uri, rem.uri) AS uri, CASE WHEN loc.uri IS NOT NULL THEN 'local' WHEN rem.uri IS NOT NULL THEN 'remote' ELSE 'none' END AS origin FROM names LEFT JOIN loc USING (name) LEFT JOIN rem USING (name)""")
+def resolve_entities(spark, d):
+    s, n = R.table(spark, d, "supplier"), R.table(spark, d, "nation")
+    names = I.crawl_union(s.select(F.col("s_name").alias("name")), n.select(F.col("n_name").alias("name")), spark.createDataFrame([("nobody",)], "name string"))
+    local = s.where("s_acctbal > 0").select(F.col("s_name").alias("name"), F.concat(F.lit("artist:"), F.col("s_suppkey").cast("string")).alias("uri"))
+    remote = n.select(F.col("n_name").alias("name"), F.concat(F.lit("remote:"), F.col("n_nationkey").cast("string")).alias("uri"), F.lit(1).alias("rank"))
+    return I.resolve(names, local, remote)
+
+
+@query("SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT r_name FROM region")
+def crawl_union(spark, d):
+    return I.crawl_union(*(R.table(spark, d, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("region", "r_name"))))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.k') IS NOT NULL AS present FROM events")
+def props_json(spark, d):
+    e = R.table(spark, d, "events").select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
+    return e.select("event_id", "k", F.col("k").isNotNull().alias("present"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    from .streaming.ingest import counts_by_window
+
+    return counts_by_window(R.table(spark, d, "events"))
+
+
+# --------------------------------------------------------------------------- graphs
+
+EGO = "links2 AS (SELECT DISTINCT source, target, score AS value FROM links), pivot_node AS (SELECT min(source) AS node FROM links2)"
+
+
+def first_links(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The links of all playlists, and the first node that has one."""
+    links = playlist_graph(spark, d).select("source", "target", F.col("score").alias("value")).distinct()
+    return links, links.agg(F.min("source")).first()[0] or ""
+
+
+@query(graph_sql(1, ITEMS, f", {EGO} SELECT target AS neighbour, value FROM links2, pivot_node WHERE source = node UNION ALL SELECT source, value FROM links2, pivot_node WHERE target = node"))
+def ego_network(spark, d):
+    return G.ego(*first_links(spark, d))
+
+
+@query(graph_sql(1, ITEMS, f""", {EGO}, near AS (SELECT target AS id FROM links2, pivot_node WHERE source = node UNION SELECT source FROM links2, pivot_node WHERE target = node UNION SELECT node FROM pivot_node)
+SELECT id, CASE WHEN id IN (SELECT id FROM near) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS opacity FROM (SELECT DISTINCT name AS id FROM placed JOIN songs USING (song_id))"""))
+def node_opacity(spark, d):
+    links, node = first_links(spark, d)
+    nodes = R.playlist_items(spark, d).join(R.songs(spark, d), "song_id").select(F.col("name").alias("id")).distinct()
+    return G.opacity(nodes, links, node)
+
+
+@query("WITH bip AS (SELECT DISTINCT l_suppkey AS lft, l_partkey AS rgt FROM lineitem) SELECT x.lft AS a, y.lft AS b, count(*) AS weight FROM bip x JOIN bip y ON x.rgt = y.rgt AND x.lft < y.lft GROUP BY 1, 2")
+def bipartite_projection(spark, d):
+    return G.projection(R.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right")))
+
+
+@query(f"WITH {EDGES} SELECT node, degree FROM deg")
+def graph_degree(spark, d):
+    return G.degrees(partner_edges(spark, d))
+
+
+@query(f"WITH {EDGES} SELECT degree, count(*) AS n FROM deg GROUP BY 1")
+def graph_degree_histogram(spark, d):
+    return G.degree_histogram(partner_edges(spark, d))
+
+
+@query(f"WITH {EDGES}, n AS (SELECT count(*) AS nodes FROM supplier), m AS (SELECT count(*) AS edges FROM edges) SELECT nodes, edges, round(edges * CAST(2 AS DOUBLE) / (nodes * (nodes - 1)), 9) AS density FROM n, m")
+def graph_density(spark, d):
+    return G.density(partner_edges(spark, d), suppliers(spark, d))
+
+
+@query(f"""WITH {EDGES}, tri AS (SELECT x.a, x.b, y.b AS c FROM edges x JOIN edges y ON x.a = y.a AND x.b < y.b JOIN edges z ON z.a = x.b AND z.b = y.b), t AS (SELECT node, count(*) AS triangles FROM (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY 1)
+SELECT deg.node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree < 2 THEN 0 ELSE coalesce(triangles, 0) * CAST(2 AS DOUBLE) / (degree * (degree - 1)) END, 9) AS clustering FROM deg LEFT JOIN t ON deg.node = t.node""")
+def graph_clustering(spark, d):
+    return G.clustering(partner_edges(spark, d))
+
+
+_REACH = f"WITH RECURSIVE {EDGES}, reach AS (SELECT u AS s, u AS t FROM ways2 UNION SELECT s, v FROM reach JOIN ways2 ON t = u)"
+
+
+@query(f"{_REACH} SELECT s AS node, min(t) AS component FROM reach GROUP BY 1")
+def graph_components(spark, d):
+    return G.components(partner_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, hop AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS distance UNION SELECT v, distance + 1 FROM hop JOIN ways2 ON node = u WHERE distance < 40)
+SELECT node, min(distance) AS distance FROM hop GROUP BY 1""")
+def graph_shortest_path(spark, d):
+    return G.path_lengths(partner_edges(spark, d), 1)
+
+
+@query()
+def graph_centralities(spark, d):
+    return G.centralities(partner_edges(spark, d))
+
+
+@query(f"WITH {EDGES}, inside AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal > 0) SELECT DISTINCT v AS node FROM ways2 WHERE u IN (SELECT node FROM inside) AND v NOT IN (SELECT node FROM inside)")
+def graph_boundary(spark, d):
+    inside = R.table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
+    return G.boundary(partner_edges(spark, d), inside)
+
+
+@query(f"WITH {EDGES}, inside AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal > 0) SELECT a, b FROM edges WHERE a IN (SELECT node FROM inside) AND b IN (SELECT node FROM inside)")
+def graph_induced(spark, d):
+    inside = R.table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
+    return G.induced(partner_edges(spark, d), inside)
+
+
+@query(f"WITH {EDGES}, n AS (SELECT count(*) AS n FROM supplier) SELECT s_suppkey AS node, n - 1 - coalesce(degree, 0) AS degree FROM supplier LEFT JOIN deg ON s_suppkey = node, n")
+def graph_complement_degree(spark, d):
+    return G.complement_degrees(partner_edges(spark, d), suppliers(spark, d))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS word FROM part UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part)
+SELECT x.word AS a, y.word AS b FROM w x JOIN w y ON length(x.word) = length(y.word) AND x.word < y.word AND hamming(x.word, y.word) = 1""")
+def word_graph(spark, d):
+    p = R.table(spark, d, "part")
+    return G.word_graph(p.select(F.explode(F.split("p_type", " ")).alias("word")).unionByName(p.select(F.explode(F.split("p_name", " ")).alias("word"))))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, walk AS (SELECT node, 0 AS g FROM deg UNION SELECT b, g + 1 FROM walk JOIN edges ON node = a) SELECT node, max(g) AS generation FROM walk GROUP BY 1""")
+def graph_generations(spark, d):
+    """Edges run from the smaller id to the larger, so there is no cycle."""
+    return G.generations(partner_edges(spark, d))
