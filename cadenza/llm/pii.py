@@ -46,7 +46,7 @@ PATTERN = "|".join([
     rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    r"(?<![\d.])(?:\d[ -]?){12,18}\d(?!\d)",
+    r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d|\.\d)",
     rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 ])
 #: Rounds of collision checks after which a surrogate grows beyond its format to stay distinct.
