@@ -22,6 +22,11 @@ from .common import Scratch, as_batches, connected_components, mix
 from .minhash import _buckets, _groups
 
 BITS, TABLES = 14, 80
+#: Further signs of a vector, and the most of them in which linked vectors differ: at cosine 0.93 more do with
+#: probability 1e-10, and two random vectors differ in no more than these with 2e-5.
+SKETCH, DIFFER = 128, 40
+#: Members up to which a bucket is compared by sketch; larger ones go on whole.
+SMALL = 16
 _U = np.uint64
 _planes: dict[int, np.ndarray] = {}
 
@@ -29,15 +34,18 @@ _planes: dict[int, np.ndarray] = {}
 def planes(size: int) -> np.ndarray:
     """Integer-valued normal vectors: products with scaled components are exact, so signs never depend on the batch."""
     if size not in _planes:
-        _planes[size] = np.rint(np.random.default_rng(20240601 + size).standard_normal((size, BITS * TABLES)) * 256)
+        _planes[size] = np.rint(np.random.default_rng(20240601 + size).standard_normal((size, BITS * TABLES + SKETCH)) * 256)
     return _planes[size]
 
 
-def signs(v: np.ndarray) -> np.ndarray:
-    """n x TABLES keys of BITS signs."""
+def signs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n x TABLES keys of BITS signs, n x 2 words of the sketch)."""
     unit = np.rint(v / np.sqrt((v * v).sum(1, keepdims=True)) * 2.0**20)
-    bits = (unit @ planes(v.shape[1]) >= 0).reshape(len(v), TABLES, BITS)
-    return (bits * (1 << np.arange(BITS))).sum(2).astype(np.int64)
+    bits = unit @ planes(v.shape[1]) >= 0
+    keys = np.zeros((len(v), TABLES), np.int64)
+    for j in range(BITS):
+        keys |= bits[:, j : TABLES * BITS : BITS].astype(np.int64) << j
+    return keys, np.packbits(bits[:, TABLES * BITS :], axis=1).view(np.int64)
 
 
 def _unit_safe(values: list | None) -> bytes | None:
@@ -75,10 +83,44 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(x) for x in raw])
         for size in np.unique(sizes):
             for part in np.array_split(np.flatnonzero(sizes == size), max(1, int((sizes == size).sum() // 1000))):
-                s = signs(matrix([raw[i] for i in part])).astype(_U)
+                s, sketch = signs(matrix([raw[i] for i in part]))
+                s = s.astype(_U)
                 h = np.array([labels[i] for i in part], _U) + _U(size)
                 key = mix(mix(h)[:, None] + s + (np.arange(TABLES, dtype=_U) << _U(32))[None, :]).view(np.int64)
-                yield from as_batches(pa.table({"key": key.ravel(), "band": np.tile(np.arange(TABLES, dtype=np.int32), len(part)), "doc_id": np.repeat(ids[part], TABLES)}), 100_000)
+                yield from as_batches(pa.table({"key": key.ravel(), "band": np.tile(np.arange(TABLES, dtype=np.int32), len(part)), "doc_id": np.repeat(ids[part], TABLES), "s0": np.repeat(sketch[:, 0], TABLES), "s1": np.repeat(sketch[:, 1], TABLES)}), 100_000)
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> those with a partner of the same key whose sketch is near; large buckets stay whole."""
+    held: pa.Table | None = None
+
+    def near(t: pa.Table) -> pa.RecordBatch:
+        key, s0, s1 = t.column("key").to_numpy(), *(t.column(c).to_numpy().view(_U) for c in ("s0", "s1"))
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(begins, len(key)))
+        alive = np.repeat(size > SMALL, size)
+        for o in range(1, int(min(size.max(), SMALL))):
+            x = np.flatnonzero(key[:-o] == key[o:])
+            x = x[np.bitwise_count(s0[x] ^ s0[x + o]).astype(np.int16) + np.bitwise_count(s1[x] ^ s1[x + o]) <= DIFFER]
+            alive[x] = alive[x + o] = True
+        return t.select(["key", "band", "doc_id"]).filter(pa.array(alive)).combine_chunks()
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if len(held) < 100_000:
+            continue
+        key = held.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if cut:
+            yield from near(held.slice(0, cut)).to_batches()
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield from near(held).to_batches()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _buckets(_live(batches))
 
 
 def links(v: np.ndarray, weight: np.ndarray, left: np.ndarray, cross: bool, table: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -94,7 +136,7 @@ def links(v: np.ndarray, weight: np.ndarray, left: np.ndarray, cross: bool, tabl
         if not ok.any():
             continue
         if sig is None:
-            sig = signs(v)
+            sig = signs(v)[0]
         x, y = np.nonzero(ok)
         x += i
         for c in range(0, len(x), 100_000):
@@ -135,8 +177,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = scratch.table(src.mapInArrow(_prepare, "vec_id long, h1 long, h2 long, label string, vec binary"), "rows")
     classes = rows.where("vec is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vec").alias("vec"))
     classes = scratch.table(classes, "classes")
-    keyed = classes.mapInArrow(_keys, "key long, band int, doc_id long").repartition("key").sortWithinPartitions("key")
-    blocks = keyed.mapInArrow(_buckets, "gid long, band int, members array<long>, left int")
+    keyed = classes.mapInArrow(_keys, "key long, band int, doc_id long, s0 long, s1 long").repartition("key").sortWithinPartitions("key")
+    blocks = keyed.mapInArrow(_candidates, "gid long, band int, members array<long>, left int")
     blocks = scratch.table(blocks.groupBy("gid").agg(F.min(F.struct("band", "members", "left")).alias("b")).select("gid", "b.*"), "blocks")
     members = blocks.select("gid", "band", "left", F.posexplode("members").alias("at", "vec_id")).select("gid", "band", "vec_id", (F.col("at") < F.col("left")).alias("is_left"), (F.col("left") > 0).alias("cross"))
     found = members.join(classes.select("vec_id", "n", "vec"), "vec_id").repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_verify, least=least), "a long, b long, links long")
