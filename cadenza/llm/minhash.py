@@ -170,8 +170,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
+        if not b.num_rows:
+            continue
         gid = b.column("gid").to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])) if len(gid) else []
+        cuts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
         for c, e in zip(cuts, [*cuts[1:], len(gid)], strict=True):
             if held and last != gid[c]:
                 yield pa.Table.from_batches(held)
@@ -289,24 +291,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. Repeated rows each get a row; an id with several texts joins what they are linked with. Other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
+    # Tables with a row per document are joined by shuffles at every size: none of them has a bound that allows a broadcast.
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.table(src.mapInArrow(functools.partial(_sign, words=words), "doc_id long, n long, c1 long, c2 long, sig binary"), "signed")
     classes = signed.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("doc_id"))
-    reps = scratch.table(signed.where("n > 0").join(classes, ["c1", "c2", "n", "doc_id"], "left_semi").select("doc_id", "sig"), "reps")
+    reps = scratch.table(signed.where("n > 0").join(classes.hint("merge"), ["c1", "c2", "n", "doc_id"], "left_semi").select("doc_id", "sig"), "reps")
     keyed = reps.mapInArrow(_bands, "key long, band int, doc_id long").repartition("key").sortWithinPartitions("key")
     blocks = keyed.mapInArrow(_buckets, "gid long, band int, members array<long>, left int")
     blocks = scratch.table(blocks.groupBy("gid").agg(F.min(F.struct("band", "members", "left")).alias("b")).select("gid", "b.*"), "blocks")
     members = blocks.select("gid", "band", "left", F.posexplode("members").alias("at", "doc_id")).select("gid", "band", "doc_id", (F.col("at") < F.col("left")).alias("is_left"), (F.col("left") > 0).alias("cross"))
-    pruned = members.join(reps, "doc_id").repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_prune, threshold=num / den, miss=miss), "gid long, doc_id long, is_left boolean, cross boolean")
+    pruned = members.join(reps.hint("merge"), "doc_id").repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_prune, threshold=num / den, miss=miss), "gid long, doc_id long, is_left boolean, cross boolean")
     pruned = scratch.table(pruned, "pruned")
     wanted = pruned.groupBy("doc_id").agg(F.collect_list(F.struct("gid", "is_left", "cross")).alias("groups"))
-    sets = src.join(wanted, "doc_id").select("doc_id", "text", "groups").mapInArrow(functools.partial(_sets, words=words), "gid long, doc_id long, is_left boolean, cross boolean, shingles binary")
+    sets = src.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "groups").mapInArrow(functools.partial(_sets, words=words), "gid long, doc_id long, is_left boolean, cross boolean, shingles binary")
     links = sets.repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_verify, num=num, den=den), "a long, b long")
     found = connected_components(links, scratch)
     scratch.drop(reps, blocks, pruned)
     named = classes.join(found, classes.doc_id == found.id, "left").select("c1", "c2", "n", F.coalesce("component", "doc_id").alias("component"))
-    out = signed.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
+    out = signed.select("doc_id", "n", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
