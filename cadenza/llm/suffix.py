@@ -24,13 +24,15 @@ from .common import Scratch, mix, prefix_hash, span_hash, text_pieces
 GRAM = 24
 #: Segments of one anchor beyond which they are dealt by cores of nearly `length` bytes, STEP starts to a core.
 HOT, STEP = 256, 8
+#: Bytes that go into a suffix array, about: segments that may share a string stay together.
+ARRAY_BYTES = 1_000_000
 #: Segments that a task of the first pass holds before it deals them out.
 HELD = 400_000
 _U = np.uint64
 SEGMENT = np.dtype([("fp", "u8"), ("ch", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1")])
 MARK = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
 REQUEST = np.dtype([("fp", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1"), ("hot", "u1")])
-PIECE = np.dtype([("doc", "i8"), ("lo", "u4"), ("size", "u2"), ("n", "u2")])
+PIECE = np.dtype([("doc", "i8"), ("lo", "u4"), ("size", "u2"), ("n", "u2"), ("part", "u2")])
 ROW = "target int, kind int, doc_id long, head binary, body binary"
 MARKS, SEGMENTS, REQUESTS, TEXT = 1, 2, 3, 9
 
@@ -354,6 +356,7 @@ def _third(batches: Iterator[pa.RecordBatch], length: int, targets: np.ndarray)
             lo, n, key = np.concatenate([lo[~hot], a]), np.concatenate([n[~hot], m]), np.concatenate([key[~hot], mix(ck, 11)])
         head = np.zeros(len(lo), PIECE)
         head["doc"], head["lo"], head["n"], head["size"] = doc, lo, n, n - 1 + length
+        head["part"] = mix(key, 99) & _U(0xFFFF)
         size = n - 1 + length
         at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
         heads.append(head)
@@ -373,9 +376,20 @@ def _fourth(batches: Iterator[pa.RecordBatch], length: int, targets: np.ndarray)
     for b in batches:
         heads += [np.frombuffer(x, PIECE) for x in b.column("head").to_pylist()]
         bodies += [np.frombuffer(x, np.uint8) for x in b.column("body").to_pylist()]
-    if heads:
-        gone = repeats(np.concatenate(heads), np.concatenate(bodies), length)
-        yield from _rows([*_deal(gone, gone["doc"], targets, MARKS)])
+    if not heads:
+        return
+    head, body = np.concatenate(heads), np.concatenate(bodies)
+    del heads, bodies
+    size = head["size"].astype(np.int64)
+    place = np.cumsum(size) - size
+    parts = len(body) // ARRAY_BYTES + 1
+    for p in range(parts):
+        own = np.flatnonzero(head["part"] % parts == p)
+        if len(own):
+            n = size[own]
+            at = np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            gone = repeats(head[own], body[at], length)
+            yield from _rows([*_deal(gone, gone["doc"], targets, MARKS)])
 
 
 def spans(doc: int, text: bytes, found: np.ndarray) -> np.ndarray:
