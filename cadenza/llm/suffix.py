@@ -26,8 +26,10 @@ GRAM = 24
 HOT, STEP = 256, 8
 #: Bytes that go into a suffix array, about: segments that may share a string stay together.
 ARRAY_BYTES = 1_000_000
+#: Bytes of text that the first pass looks at together: some 80 bytes of arrays for each.
+OWN_PIECE = 500_000
 #: Segments that a task of the first pass holds before it deals them out.
-HELD = 400_000
+HELD = 100_000
 _U = np.uint64
 SEGMENT = np.dtype([("fp", "u8"), ("ch", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1")])
 MARK = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
@@ -256,7 +258,7 @@ def _first(batches: Iterator[pa.RecordBatch], length: int, targets: np.ndarray)
         held.clear()
         yield from _rows([*_deal(kept, kept["fp"], targets, SEGMENTS), *_deal(gone, gone["doc"], targets, MARKS)])
 
-    for ids, texts in text_pieces(batches):
+    for ids, texts in text_pieces(batches, OWN_PIECE):
         held.append(segments(np.array(ids, np.int64), texts, length))
         if sum(map(len, held)) > HELD:
             yield from out()
@@ -363,7 +365,7 @@ def _third(batches: Iterator[pa.RecordBatch], length: int, targets: np.ndarray)
         keys.append(key)
         bodies.append(data[at])
         held += len(at)
-        if held > 16_000_000:
+        if held > 4_000_000:
             yield from out()
             held = 0
     if held:
