@@ -312,6 +312,35 @@ def test_packing_plan_is_whole_and_tight():
         assert sum(t for _, t in patterns) <= len(bins)
 
 
+def test_packing_search_with_large_counts():
+    # groups of copies: one filling repeated without revisiting took more sequences than best-fit decreasing
+    for histogram, capacity in (({14: 180, 10: 60, 18: 60, 5: 60}, 40), ({14: 180_000, 10: 60_000, 18: 60_000, 5: 60_000}, 40)):
+        patterns, least, closed = packing.search(histogram, capacity)
+        assert sum(t for _, t in patterns) == least == sum(t for _, t in packing.best_fit(histogram, capacity)) and closed
+    r = random.Random(3)
+    for _ in range(10):
+        histogram = {r.randint(10, 100): r.randint(1, 5000) for _ in range(r.randint(3, 20))}
+        patterns, least, _ = packing.search(histogram, 200, work=50_000)
+        used: Counter = Counter()
+        for p, times in patterns:
+            assert sum(p) <= 200
+            for x in p:
+                used[x] += times
+        assert used == histogram and least <= sum(t for _, t in patterns) <= sum(t for _, t in packing.best_fit(histogram, 200))
+
+
+def test_packing_search_finds_the_optimum():
+    def fits(items, rooms):
+        return not items or any(fits(items[1:], rooms[:i] + [x - items[0]] + rooms[i + 1 :]) for i, x in enumerate(rooms) if x >= items[0] and x not in rooms[:i])
+
+    r = random.Random(4)
+    for _ in range(60):
+        items = sorted((r.randint(3, 17) for _ in range(r.randint(1, 10))), reverse=True)
+        patterns, least, closed = packing.search(dict(Counter(items)), 23)
+        n = sum(t for _, t in patterns)
+        assert closed and least <= n and fits(items, [23] * n) and not fits(items, [23] * (n - 1))
+
+
 def test_packing_places_every_piece(spark, edge, empty):
     path = queries.vocabulary("word_bpe_49k.json")
     for out in (queries.op10_best_fit_packing(spark, DATA), packing.pack(edge, path)):
