@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear models over the presence of telling character 5-grams; each later
-model also reads the probabilities of the earlier categories, and is trained on their out-of-fold predictions.
+Categories are predicted one after another by linear models over the rates of telling character 5-grams; each later
+model also reads the probabilities of the earlier categories, and is trained on their out-of-fold predictions. The first
+category is the label, and its model alone decides. Rates don't grow with a text, so long clean texts stay.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .labelled import labelled_sample, logistic, sigmoid
 
 GRAM = 5
+#: Characters in which one occurrence of a gram counts whole; in longer texts it counts as its share of a unit.
+UNIT = 600
+#: Longer texts than SPREAD characters enter the fit by PARTS evenly spaced parts of together SPREAD characters.
+SPREAD, PARTS = 200_000, 20
 
 
 def grams(text: str) -> set[str]:
@@ -57,12 +62,13 @@ class Chain:
         return self._automaton
 
     def matrix(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(constant and presence of each gram, number of hits) by text."""
+        """(constant and rate of each gram in a unit, 1 at most; number of hits) by text."""
         x, n = np.zeros((len(texts), 1 + len(self.grams))), np.zeros(len(texts))
         x[:, 0] = 1
         for k, t in enumerate(texts):
             hits = count_hits(t, self.automaton)
-            x[k, [1 + i for i in hits]] = 1
+            share = UNIT / max(len(t), UNIT)
+            x[k, [1 + i for i in hits]] = [min(1.0, c * share) for c in hits.values()]
             n[k] = sum(hits.values())
         return x, n
 
@@ -151,8 +157,11 @@ def _clean(batches: Iterator[pa.RecordBatch], at: int, chain: Chain, threshold:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fits a chain on at most 2 * per_class labelled documents."""
-    return fit_chain(labelled_sample(docs, labels, label, per_class=per_class, id_col=id_col, text_col=text_col))
+    """Fits a chain on at most 2 * per_class labelled documents, long ones by parts spread over the whole text."""
+    text, n = F.col(text_col).cast("string"), F.char_length(F.col(text_col).cast("string"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, (F.floor(i * n / PARTS) + 1).cast("int"), F.lit(SPREAD // PARTS)))
+    spread = docs.select(F.col(id_col), F.when(n > SPREAD, F.array_join(parts, " ")).otherwise(text).alias(text_col))
+    return fit_chain(labelled_sample(spread, labels, label, per_class=per_class, id_col=id_col, text_col=text_col, most_bytes=5 * SPREAD))
 
 
 def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:

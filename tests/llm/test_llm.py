@@ -129,6 +129,28 @@ def test_toxicity_on_unseen_labels():
     assert np.mean((p[:, 0] >= 0.5) == np.array([y for *_, y in held])) > 0.9
 
 
+def test_toxicity_of_long_texts(spark):
+    d = "/root/testdata/sf0.1"
+    m = pd.read_parquet(f"{d}/documents.parquet").merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
+    rows = [(int(i), t, int(y)) for i, t, y in zip(m.doc_id, m.text, m.toxic)]
+    chain = toxicity.fit_chain([r for r in rows if r[0] % 3])
+    for y in (0, 1):
+        held = [t for i, t, k in rows if i % 3 == 0 and k == y]
+        for size in (20_000, 100_000, 500_000, 2_000_000):
+            texts = []
+            for seed in range(3):
+                r, parts = random.Random(seed), []
+                while sum(map(len, parts)) < size:
+                    parts.append(r.choice(held))
+                texts.append("\n".join(parts))
+            assert ((chain.predict(chain.matrix(texts)[0])[:, 0] >= 0.5) == y).all(), (y, size)
+    # labelled texts of more than SPREAD characters take part in the fit
+    long = [(i, ("you idiot and fool " if i % 2 else "you friend and helper ") * 12_000, i % 2) for i in range(20)]
+    df = spark.createDataFrame(long, "doc_id long, text string, toxic int").repartition(4)
+    chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert chain.grams and {r["doc_id"] for r in toxicity.keep_clean(df, chain).select("doc_id").collect()} == {i for i, _, y in long if not y}
+
+
 def test_toxicity_edge_cases(edge, empty):
     chain = toxicity.fit_chain([(i, f"you {'idiot' if i % 2 else 'friend'} number {i}", i % 2) for i in range(60)])
     assert toxicity.toxicity(edge, chain).count() == len(EDGE)
