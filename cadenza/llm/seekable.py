@@ -28,6 +28,11 @@ from .common import Scratch, text_pieces
 SKIPPABLE, DIRECTORY, FOOTER, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 
 
+def width(largest: int) -> int:
+    """Bytes of an id in files whose ids go up to `largest`."""
+    return 2 if largest < 1 << 16 else 4
+
+
 class Writer:
     """Frames into a file; width: bytes of an id."""
 
@@ -37,6 +42,8 @@ class Writer:
         self.packer = zstandard.ZstdCompressor(level=level)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {ids.max()} doesn't fit into {self.width} bytes")
         raw = ids.astype(f"<u{self.width}").tobytes()
         frame = self.packer.compress(raw)
         self.out.write(frame)
@@ -97,7 +104,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, kind:
     for ids, texts in text_pieces(batches):
         flat, counts = tokenize.encode([t.decode() for t in texts], tokenizer, kind)
         if writer is None:
-            writer, first = Writer(io.BytesIO()), ids[0]
+            writer, first = Writer(io.BytesIO(), width(max(tokenize.largest_id(tokenizer, kind), end))), ids[0]
         for i, x in zip(ids, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
             writer.add(i, np.concatenate([x, last]))
         total += len(flat) + len(ids)

@@ -141,6 +141,12 @@ def gather(values: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndar
     return values[np.repeat(place - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def largest_id(path: str, kind: str) -> int:
+    """The largest id of the tokenizer's vocabulary."""
+    cache = _caches.get((path, kind)) or _caches.setdefault((path, kind), WordCache(path))
+    return len(cache.closing) - 1
+
+
 def encode(texts: list[str], path: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, number of ids by text). kind: "byte" or "word", the file's pre-tokenizer."""
     cache = _caches.get((path, kind)) or _caches.setdefault((path, kind), WordCache(path))
