@@ -454,12 +454,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.unionByName(src.where("doc_id is null").select("doc_id", none.alias("starts"), none.alias("ends"), F.col("text").alias("kept")))
 
 
+def cut(text: bytes, starts: list[int], ends: list[int]) -> bytes:
+    """UTF-8 text without the spans, which are first widened to whole characters."""
+    out, done = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        while s > 0 and s < len(text) and text[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(text) and text[e] & 0xC0 == 0x80:
+            e += 1
+        out.append(text[done : max(s, done)])
+        done = max(e, done)
+    return b"".join([*out, text[done:]])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(at).to_pylist()
+        starts, ends = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        new = [cut(t.encode(), s, e).decode() if t is not None and s else t for t, s, e in zip(texts, starts, ends, strict=True)]
+        columns = b.columns[:-2]
+        columns[at] = pa.array(new, b.column(at).type)
+        yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-2])
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100) -> DataFrame:
     """docs with the repeated passages cut out of `text_col`; a character of which a byte goes goes whole. Null texts
     and rows with a null id stay as they are. Ids name documents: rows that repeat an id need equal texts."""
     found = repeated_spans(docs.dropDuplicates([id_col]), id_col, text_col, length=length).where(F.size("starts") > 0)
-    new = found.select(F.col("doc_id").alias("__suffix_id"), F.expr("try_validate_utf8(cast(kept as string))").alias("__suffix_whole"), F.col("kept").alias("__suffix_kept"))
-    new = new.select("__suffix_id", F.coalesce("__suffix_whole", F.make_valid_utf8(F.col("__suffix_kept").cast("string"))).alias("__suffix_text"))
+    new = found.select(F.col("doc_id").alias("__suffix_id"), F.col("starts").alias("__suffix_starts"), F.col("ends").alias("__suffix_ends"))
     joined = docs.join(new.hint("merge"), F.col(id_col).cast("long") == F.col("__suffix_id"), "left")
-    text = F.when(F.col("__suffix_id").isNull(), F.col(text_col)).otherwise(F.replace(F.col("__suffix_text"), F.lit("\ufffd"), F.lit("")))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    spans = joined.select(*docs.columns, "__suffix_starts", "__suffix_ends")
+    return spans.mapInArrow(functools.partial(_cut, at=docs.columns.index(text_col)), docs.schema)

@@ -233,6 +233,17 @@ def test_suffix_equals_brute_force(spark, hot):
         assert sum(e - s for s, e in zip(got[i]["starts"], got[i]["ends"])) == gone.sum()
 
 
+def test_suffix_cut_keeps_replacement_characters(spark):
+    assert suffix.cut("a\ufffdéb".encode(), [5], [6]) == "a\ufffdb".encode()
+    assert suffix.cut("éaé".encode(), [1, 3], [2, 4]) == b"a"
+    r = random.Random(6)
+    line = "".join(r.choice("abcdefgh ") for _ in range(150))
+    rows = [(1, "one \ufffd " + line + " end \ufffd"), (2, "other " + line + " \ufffd last")]
+    out = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = {x["doc_id"]: x["text"] for x in out.collect()}
+    assert sum(t.count("\ufffd") for t in texts.values()) == 3 and any(texts[i] != t for i, t in rows)
+
+
 def test_suffix_edge_cases(edge, empty):
     out = suffix.without_repeats(edge.where("doc_id is null or doc_id <> 6"))
     assert out.columns == edge.columns and out.count() == len(EDGE) - 2
