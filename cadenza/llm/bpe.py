@@ -1,31 +1,39 @@
 """Byte-level BPE, encoding and decoding.
 
-Numpy cuts blocks of whole texts into words; each distinct word of a block is encoded once, by Spark's higher-order
-functions: a fold over its bytes merges the leftmost pair of the lowest rank until no pair has a rank, and looks ranks
-up in a literal map. Documents then are lists of words, and decoding concatenates the pieces of their ids.
+Numpy cuts blocks of whole texts into words and numbers the distinct words of a block. The words of all blocks meet by
+one shuffle, so each distinct word of the corpus is encoded once, by Spark's higher-order functions: a fold over its
+bytes merges the leftmost pair of the lowest rank until no pair has a rank, and looks ranks up in a literal map. A
+second shuffle takes the ids back to the blocks, where documents are lists of word numbers; decoding concatenates the
+pieces of their ids.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import json
+import random
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenize
-from .common import text_pieces
+from .common import Scratch, distinct_spans, text_pieces
 
-#: Slots of the rank map; keys start at KEYS, so that no key looks like a rank.
-SLOTS, KEYS = 32_749, 1 << 40
+#: Bits of an id or rank, and of a place in a word, in the packed state of the fold.
+ID, PLACE = 20, 8
+NONE = (1 << ID) - 1
+#: Words of more bytes are merged in Arrow batches with a heap: the fold takes a word's length squared.
+LONG = 1 << (PLACE - 1)
 #: Bytes of text in a block, unless one document has more.
-BLOCK_BYTES = 24_000_000
-_U = np.uint64
+BLOCK_BYTES = 12_000_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -33,19 +41,35 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
+def next_prime(n: int) -> int:
+    return next(k for k in range(n | 1, 2 * n + 9, 2) if all(k % d for d in range(3, int(k**0.5) + 1, 2)))
+
+
 @functools.lru_cache(maxsize=4)
-def rank_slots(path: str) -> tuple[int, list[list[int]]]:
-    """(factor, slots): a slot lists key, rank, key, rank, ...; the key of a pair of ids is KEYS + left * factor + right."""
+def rank_tables(path: str) -> tuple[int, list[list[int]]]:
+    """(factor, two tables): the pair (left, right) of rank r has the key left * factor + right, and is the entry
+    (key << ID) + r at the place key % size in one of the tables; empty places hold -1."""
     ranks = read_ranks(path)
     factor = max(ranks.values()) + 1
-    slots: list[list[int]] = [[] for _ in range(SLOTS)]
+    if factor > NONE:
+        raise ValueError(f"ids of more than {ID} bits")
+    entries = []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                key = KEYS + a * factor + b
-                slots[key % SLOTS] += [key, rank]
-    return factor, slots
+                entries.append(((a * factor + b) << ID) + rank)
+    size = next_prime(len(entries) + 16)
+    sizes = (size, next_prime(size + 2))
+    tables = [[-1] * n for n in sizes]
+    r = random.Random(1)
+    for e in entries:  # an entry that finds its place taken takes it, and the other moves to its second place
+        k = 0
+        while e >= 0:
+            at = (e >> ID) % sizes[k]
+            e, tables[k][at] = tables[k][at], e
+            k = 1 - k if r.random() < 0.99 else k
+    return factor, tables
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,114 +81,186 @@ class Ranks:
     """The rank map and the pieces of a rank file, as literals of a plan."""
 
     def __init__(self, path: str):
-        self.factor, slots = rank_slots(path)
-        self.slots = F.from_json(F.lit(json.dumps(slots)), "array<array<bigint>>")
-        by_id = {i: t.hex() for t, i in read_ranks(path).items()}
+        self.factor, tables = rank_tables(path)
+        self.sizes = [len(t) for t in tables]
+        self.tables = F.from_json(F.lit(json.dumps(tables)), "array<array<bigint>>")
+        ranks = read_ranks(path)
+        by_id = {i: t.hex() for t, i in ranks.items()}
         self.pieces = F.split(F.lit(",".join(by_id.get(i, "") for i in range(self.factor))), ",")
+        #: By signed byte value, from -128 on: its id.
+        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b % 256])] for b in range(-128, 128)])), "array<bigint>")
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank of a pair of ids; KEYS or more if it has none."""
+    def rank(self, tables: Column, key: Column) -> Column:
+        """The rank of the pair of ids whose key is left * factor + right; NONE if it has none. `key` is evaluated often."""
+        shifted = key * (1 << ID)
+        # what isn't the pair's own entry leaves less than 0 or more than NONE; without its sign the former is large too
+        off = [(F.get(F.get(tables, F.lit(k)), (key % n).cast("int")) - shifted).bitwiseAND((1 << 63) - 1) for k, n in enumerate(self.sizes)]
+        return F.least(*off, F.lit(NONE))
 
-        def look(key: Column) -> Column:
-            slot = F.get(self.slots, (key % SLOTS).cast("int"))
-            return F.coalesce(F.get(slot, F.array_position(slot, key).cast("int")), F.lit(KEYS))
+    def merge(self, word: Column) -> Column:
+        """The ids of a word of signed bytes. The literal map stands in the plan once: tasks read it with the plan."""
+        return bind(self.tables, lambda tables: self.folded(tables, word))
 
-        return bind(a * self.factor + b + KEYS, look)
+    def folded(self, tables: Column, word: Column) -> Column:
+        """One merge at a time, the lowest rank first, from the left.
 
-    def merge(self, word: Column) -> Column:
-        """The ids of a word, given as the ids of its bytes: one merge at a time, the lowest rank first, from the left."""
+        The state has an entry for each piece: rank of the pair it opens, its place, its id, from the high bits to the
+        low ones, so the least entry is the next merge.
+        """
+        one, low = 1 << ID, (1 << (ID + PLACE)) - 1
+        none = F.lit(NONE << (ID + PLACE))
 
         def merged(s: Column, m: Column, p: Column) -> Column:
-            ids, ranks = s["ids"], s["ranks"]
-            n = F.size(ids)
-            none = F.expr("cast(array() as array<bigint>)")
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, n)).alias("ids"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))),
-                    F.when(p >= 2, F.array(self.rank(F.get(ids, p - 2), m))).otherwise(none),
-                    F.when(p + 2 <= n, F.array(self.rank(m, F.get(ids, p + 1)))).otherwise(none),
-                    F.slice(ranks, p + 2, n),
-                ).alias("ranks"),
-            )
+            """The entry m at place p (from 1 on) takes in the one after it."""
+            made = F.shiftright(m, ID + PLACE)
+            keys = F.array(F.get(s, p - 2).bitwiseAND(one - 1) * self.factor + made, made * self.factor + F.get(s, p + 1).bitwiseAND(one - 1))
+            high = F.transform(keys, lambda k: self.rank(tables, k) * (low + 1))
+
+            def entries(r: Column) -> Column:
+                def entry(x: Column, k: Column) -> Column:
+                    here = F.get(r, F.lit(1)) + m.bitwiseAND(low - (one - 1)) + made
+                    return F.when((k < p - 2) | (k > p), x).when(k == p - 1, here).when(k == p - 2, F.get(r, F.lit(0)) + x.bitwiseAND(low))
+
+                return F.filter(F.transform(s, entry), lambda x: x.isNotNull())
+
+            return bind(high, entries)
 
         def step(s: Column, _: Column) -> Column:
-            return bind(F.array_min(s["ranks"]), lambda m: F.when(m >= KEYS, s).otherwise(bind(F.array_position(s["ranks"], m).cast("int"), lambda p: merged(s, m, p))))
+            return bind(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(bind(F.array_position(s, m).cast("int"), lambda p: merged(s, m, p))))
+
+        def first(ids: Column) -> Column:
+            keys = F.transform(ids, lambda i, k: i * self.factor + F.get(ids, k + 1))
+            return F.zip_with(F.transform(keys, lambda k: self.rank(tables, k) * (low + 1)), F.transform(ids, lambda i, k: k * one + i), lambda a, b: a + b)
 
-        n = F.size(word)
-        first = F.struct(word.alias("ids"), F.zip_with(F.slice(word, F.lit(1), n - 1), F.slice(word, F.lit(2), n - 1), self.rank).alias("ranks"))
-        return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), first, step, lambda s: s["ids"]))
+        ids = F.transform(word, lambda b: F.get(self.bytes, b.cast("int") + 128))
+        folded = F.aggregate(F.sequence(F.lit(2), F.size(word)), bind(ids, first), step)
+        done = F.when(F.size(word) < 2, ids).otherwise(folded)
+        return F.transform(done, lambda x: x.bitwiseAND(one - 1).cast("int"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for: the pieces, one after another."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i.cast("int"))), ""))
 
 
-def _split(batches: Iterator[pa.RecordBatch], byte_ids: np.ndarray, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Blocks: the documents as lists of word numbers, and the distinct words as ids of their bytes."""
-    known, number = np.zeros(0, _U), np.zeros(0, np.int32)
-    words: list[bytes] = []
-    ids: list = []
-    codes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        def lists(flat: np.ndarray, n: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
-
-        n = np.concatenate(counts)
-        docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), lists(np.concatenate(codes), n)], ["doc_id", "codes"])
-        spelled = lists(byte_ids[np.frombuffer(b"".join(words), np.uint8)], np.fromiter(map(len, words), np.int64, len(words)))
-        whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays([whole(docs), whole(spelled)], ["docs", "words"])
-
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word, with a heap of the pairs that can merge."""
+    n = len(word)
+    end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = bytearray(b"\1") * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = right[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue
+        end[i], right[i], alive[j] = stop, right[j], 0
+        if right[i] < n:
+            left[right[i]] = i
+            if (r := ranks.get(word[i : end[right[i]]])) is not None:
+                heapq.heappush(heap, (r, i, end[right[i]]))
+        if left[i] >= 0 and (r := ranks.get(word[left[i] : stop])) is not None:
+            heapq.heappush(heap, (r, left[i], stop))
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+#: Rows of a block: its words (kind 0; long ones with their ids) and its documents (kind 1; packed word numbers).
+ROW = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("n", pa.int32()), ("word", pa.list_(pa.int8())), ("long", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+ROW_DDL = "block long, kind tinyint, n int, word array<tinyint>, long array<int>, docs array<long>, counts array<long>, codes binary"
+
+
+def _split(batches: Iterator[pa.RecordBatch], path: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    ranks = read_ranks(path)
+    block = TaskContext.get().partitionId() << 32
+    known: dict[bytes, int] = {}
+    size, serial = 0, 0
+    packer = zstandard.ZstdCompressor(level=1)
     for own, texts in text_pieces(batches):
-        joined, starts, ends, doc, hashes = tokenize.split([t.decode(errors="replace") for t in texts], True)
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(known, unique)
-        new = np.flatnonzero((at == len(known)) | (known[np.minimum(at, len(known) - 1)] != unique)) if len(known) else np.arange(len(unique))
-        if len(new):
-            fresh = np.arange(len(words), len(words) + len(new), dtype=np.int32)
-            words += [joined[s:e].encode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            known, number = np.insert(known, at[new], unique[new]), np.insert(number, at[new], fresh)
-        codes.append(number[np.searchsorted(known, unique)][which].astype(np.int32) if len(unique) else np.zeros(0, np.int32))
-        counts.append(np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64))
-        ids += own
+        joined, cp, starts, ends, doc, hashes = tokenize.split([t.decode(errors="replace") for t in texts], True)
+        first, which = distinct_spans(cp, starts, ends, hashes)
+        words = [joined[s:e].encode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        before = len(known)
+        number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        new = [w for w, k in zip(words, number.tolist(), strict=True) if k >= before]
+        flat = np.frombuffer(b"".join(new), np.int8)
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
+        spelled = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        done = pa.array([merge_long(w, ranks) if len(w) > LONG else None for w in new], pa.list_(pa.int32()))
+        none = lambda k, name: pa.nulls(k, ROW.field(name).type)
+        for i in range(0, len(new), 20_000):
+            k = min(20_000, len(new) - i)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.zeros(k, np.int8)), pa.array(np.arange(before + i, before + i + k, dtype=np.int32)), spelled.slice(i, k), done.slice(i, k), none(k, "docs"), none(k, "counts"), none(k, "codes")], schema=ROW)
+        counts = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
+        codes = number[which].astype("<u4")
+        planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one significance lie together, which packs better
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([1], pa.int8()), pa.array([serial], pa.int32()), none(1, "word"), none(1, "long"), pa.array([own], ROW.field("docs").type), pa.array([counts.tolist()], ROW.field("counts").type), pa.array([packer.compress(planes)], pa.binary())], schema=ROW)
+        serial += 1
         size += sum(map(len, texts))
         if size > block_bytes:
-            yield out()
-            known, number, words, ids, codes, counts, size = np.zeros(0, _U), np.zeros(0, np.int32), [], [], [], [], 0
-    if ids:
-        yield out()
-
-
-def encode(docs: DataFrame, path: str, finish: Callable[[Column, Ranks], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id and what `finish` makes of the ids (a struct; else the column ids: array<long>).
-
-    No special tokens. Null or empty text: no ids. Null doc_ids and repeated rows each get a row. Other columns are
-    ignored. An empty table gives an empty result.
+            block, known, size, serial = block + 1, {}, 0, 0
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, kind and n -> (doc_id, ids)."""
+    unpack = zstandard.ZstdDecompressor()
+    block = None
+    values: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    flat, place, length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        owner, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (kind[1:] != kind[:-1])])) if len(owner) else []
+        for s, e in zip(cuts, [*cuts[1:], len(owner)], strict=True):
+            if owner[s] != block:
+                block, values, sizes = owner[s], [], []
+            if kind[s] == 0:
+                lists = b.column("ids").slice(s, e - s)
+                values.append(lists.flatten().to_numpy())
+                sizes.append(pa.compute.list_value_length(lists).to_numpy())
+                continue
+            if sizes:
+                flat, length = np.concatenate(values), np.concatenate(sizes).astype(np.int64)
+                place, values, sizes = np.cumsum(length) - length, [], []
+            for k in range(s, e):
+                planes = np.frombuffer(unpack.decompress(b.column("codes")[k].as_py()), np.uint8)
+                codes = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+                ids = tokenize.gather(flat, place[codes], length[codes])
+                ends = np.cumsum(length[codes])
+                counts = np.array(b.column("counts")[k].as_py(), np.int64)
+                stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+                docs = b.column("docs")[k].values
+                for i in range(0, len(docs), 100):
+                    own = stops[i : i + 101]
+                    yield pa.RecordBatch.from_arrays([docs.slice(i, 100), pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(ids[own[0] : own[-1]].astype(np.int32)))], ["doc_id", "ids"])
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, ids (array<int>), as the tiktoken library gives them for ordinary text.
+
+    Every match of the pattern is encoded by itself, and words are told apart by their bytes. No special tokens. Null
+    or empty text: no ids. Null doc_ids and repeated rows each get a row. Other columns are ignored, whatever their
+    names. An empty table gives an empty result.
     """
-    ranks = Ranks(path)
-    by_byte = read_ranks(path)
-    byte_ids = np.array([by_byte[bytes([i])] for i in range(256)], np.int64)
-    finish = finish or (lambda ids, _: F.struct(ids.alias("ids")))
+    scratch = Scratch(docs.sparkSession, "bpe")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "docs array<struct<doc_id: bigint, codes: array<int>>>, words array<array<bigint>>"
-    blocks = src.mapInArrow(functools.partial(_split, byte_ids=byte_ids, block_bytes=block_bytes), schema)
-
-    def document(d: Column, encoded: Column) -> Column:
-        ids = F.flatten(F.transform(d["codes"], lambda c: F.get(encoded, c)))
-        return F.struct(d["doc_id"].alias("doc_id"), bind(ids, lambda x: finish(x, ranks)).alias("made"))
-
-    made = bind(F.transform("words", ranks.merge), lambda encoded: F.transform(F.col("docs"), lambda d: document(d, encoded)))
-    return blocks.select(F.explode(made).alias("d")).select("d.doc_id", "d.made.*")
-
-
-def digests(ids: Column, ranks: Ranks) -> Column:
-    """Number of ids, sha256 of the ids as text, and of the bytes decoded from them."""
-    return F.struct(
+    rows = scratch.table(src.mapInArrow(functools.partial(_split, path=path, block_bytes=block_bytes), ROW_DDL), "blocks")
+    # a block names a word once, so no word has a large share of these rows; a set number of partitions, since words cost time, not bytes
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = rows.where("kind = 0").select("block", "n", "word", "long").repartition(n, "word")
+    words = rows.where("kind = 0 and long is null").select("word").distinct().repartition(n, "word")
+    ids = words.select("word", Ranks(path).merge(F.col("word")).alias("ids"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("docs", "array<long>"), ("counts", "array<long>"), ("codes", "binary"))]
+    back = places.join(ids.hint("merge"), "word", "left").select("block", F.lit(0).cast("tinyint").alias("kind"), "n", F.coalesce("long", "ids").alias("ids"), *none)
+    listed = rows.where("kind = 1").select("block", "kind", "n", F.lit(None).cast("array<int>").alias("ids"), "docs", "counts", "codes")
+    return back.unionByName(listed).repartition("block").sortWithinPartitions("block", "kind", "n").mapInArrow(_assemble, "doc_id long, ids array<int>")
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, number of ids, sha256 of the ids as text, and of the bytes decoded from them."""
+    ids = F.col("ids")
+    return encoded.select(
+        "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
-        F.sha2(ranks.decode(ids), 256).alias("decoded_sha256"),
+        F.sha2(Ranks(path).decode(ids), 256).alias("decoded_sha256"),
     )

@@ -18,8 +18,10 @@ PIECE_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one in the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, one in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
@@ -122,6 +124,66 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(_U))
 
 
+def spans_equal(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """Whether a[a_start : + size] and b[b_start : + size] hold the same values, for every span (size 1 at least)."""
+    same = np.ones(len(size), bool)
+    if not len(size):
+        return same
+    ends = np.cumsum(size)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), step), "right")).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True):
+        n = size[lo:hi].astype(np.int64)
+        first = np.cumsum(n) - n
+        total = int(n.sum())
+        for k in range(0, total, 8 * step):  # one span may be longer than a step
+            at = np.arange(k, min(k + 8 * step, total))
+            owner = np.repeat(np.arange(len(n)), n)[k : k + 8 * step] if total <= 8 * step else np.searchsorted(first, at, "right") - 1
+            differ = a[(a_start[lo:hi] - first)[owner] + at] != b[(b_start[lo:hi] - first)[owner] + at]
+            same[lo + owner[differ]] = False
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of equal spans, group of every span): hashes only sort, the values decide."""
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size, of = ends - starts, first[which]
+    odd = size != size[of]
+    even = np.flatnonzero(~odd & (of != np.arange(len(of))))
+    if len(even):
+        odd[even[~spans_equal(data, starts[even], data, starts[of[even]], size[even])]] = True
+    if odd.any():  # spans whose hash another span has
+        known: dict[bytes, int] = {}
+        extra: list[int] = []
+        for i in np.flatnonzero(odd).tolist():
+            value = data[starts[i] : ends[i]].tobytes()
+            if value not in known:
+                known[value] = len(first) + len(extra)
+                extra.append(i)
+            which[i] = known[value]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, which
+
+
+# --------------------------------------------------------------------------- joins with hot keys
+
+#: Slices of a hot key's rows.
+SLICES = 32
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], copies: str, rows: int) -> DataFrame:
+    """left join right (one row for each key) where a key may have a large share of left's `rows` rows.
+
+    `copies` is right's column of how many rows of left its key has. Keys with more than a share of 1 / (8 x shuffle
+    partitions) of them are no more than that many, so they may be broadcast; their rows are dealt to SLICES slices.
+    """
+    most = 8 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(right.where(F.col(copies) * most > max(rows, most)).select(*keys, F.lit(True).alias("__hot")))
+    a = left.join(hot, keys, "left").withColumn("__slice", F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SLICES))).otherwise(0).cast("int"))
+    slices = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(hot, keys, "left").withColumn("__slice", F.explode(slices)).drop("__hot", copies)
+    return a.drop("__hot").join(b.hint("merge"), [*keys, "__slice"], "left").drop("__slice")
+
+
 # --------------------------------------------------------------------------- connected components
 
 

@@ -29,7 +29,8 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), bpe.digests)
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encode(documents(spark, sf_dir), path), path)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import mix, powers
+from .common import distinct_spans, mix, powers, spans_equal
 
 _U = np.uint64
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
@@ -40,8 +40,8 @@ def _contractions(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(single, 2, np.where(pair, 3, 0))
 
 
-def split(texts: list[str], spaced: bool) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(joined text, starts, ends, document, hashes) of the words.
+def split(texts: list[str], spaced: bool) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined text, its code points, starts, ends, document, hashes) of the words. Hashes sort words, they don't name them.
 
     spaced: the byte-level pattern, where one blank goes with the word after it and white space forms words of its
     own; otherwise white space is dropped and every number character stands alone.
@@ -79,7 +79,7 @@ def split(texts: list[str], spaced: bool) -> tuple[str, np.ndarray, np.ndarray,
     prefix = np.zeros(len(cp) + 1, _U)
     np.cumsum(values[cp] * up[:-1], out=prefix[1:])
     hashes = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U))
-    return joined, starts, ends, np.searchsorted(last, starts), hashes
+    return joined, cp, starts, ends, np.searchsorted(last, starts), hashes
 
 
 def normalised(text: str) -> str:
@@ -88,7 +88,7 @@ def normalised(text: str) -> str:
 
 
 class WordCache:
-    """Ids of the words met so far, by hash: sorted hashes beside places in one array of ids."""
+    """Ids of the words met so far: sorted hashes beside the words themselves and places in one array of ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -103,7 +103,8 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.place, self.length, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.place, self.length, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.at, self.size, self.spelled = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def tokenized(self, words: list[str]) -> list[list[int]]:
         """Ids by word. Words without white space but one blank before them are joined by line breaks, which the
@@ -122,17 +123,24 @@ class WordCache:
             lists[i] = e.ids
         return lists
 
-    def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        """hashes: sorted, none of them known."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.clear()
-        lists = self.tokenized(words)
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))
+    def find(self, hashes: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each word in the cache, -1 if it isn't there."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        hit = np.flatnonzero((self.known[at] == hashes) & (self.size[at] == sizes))
+        hit = hit[spans_equal(cp, starts[hit], self.spelled, self.at[at[hit]], sizes[hit])]
+        out = np.full(len(hashes), -1)
+        out[hit] = at[hit]
+        return out
+
+    def add(self, hashes: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers words whose hashes are sorted, distinct and not known; their ids lie at `place` in ids."""
         at = np.searchsorted(self.known, hashes)
-        place = len(self.ids) + np.cumsum(n) - n
-        self.known, self.place, self.length = np.insert(self.known, at, hashes), np.insert(self.place, at, place), np.insert(self.length, at, n)
-        self.ids = np.concatenate([self.ids, new])
+        new = {"known": hashes, "place": place + len(self.ids), "length": length, "at": len(self.spelled) + np.cumsum(sizes) - sizes, "size": sizes}
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+        self.spelled, self.ids = np.concatenate([self.spelled, gather(cp, starts, sizes)]), np.concatenate([self.ids, ids])
 
 
 def gather(values: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -152,17 +160,26 @@ def encode(texts: list[str], path: str, kind: str) -> tuple[np.ndarray, np.ndarr
     cache = _caches.get((path, kind)) or _caches.setdefault((path, kind), WordCache(path))
     if kind == "word":
         texts = [normalised(t) for t in texts]
-    joined, starts, ends, doc, hashes = split(texts, kind == "byte")
-    unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    at = np.searchsorted(cache.known, unique)
-    missing = np.flatnonzero((at == len(cache.known)) | (cache.known[np.minimum(at, max(len(cache.known) - 1, 0))] != unique)) if len(cache.known) else np.arange(len(unique))
-    if len(missing):
-        if len(cache.known) + len(missing) > REMEMBERED:
-            cache.clear()
-            missing = np.arange(len(unique))
-        spans = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)
-        cache.add(unique[missing], [joined[s:e] for s, e in spans])
-        at = np.searchsorted(cache.known, unique)
-    place, length = cache.place[at][which], cache.length[at][which]
-    counts = np.bincount(doc, length, len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
-    return gather(cache.ids, place, length), counts
+    joined, cp, starts, ends, doc, hashes = split(texts, kind == "byte")
+    first, which = distinct_spans(cp, starts, ends, hashes)
+    start, size, h = starts[first], ends[first] - starts[first], hashes[first]
+    number = cache.find(h, cp, start, size)
+    if len(cache.known) + np.count_nonzero(number < 0) > REMEMBERED:
+        cache.clear()
+        number[:] = -1
+    missing = np.flatnonzero(number < 0)
+    lists = cache.tokenized([joined[s : s + n] for s, n in zip(start[missing].tolist(), size[missing].tolist(), strict=True)]) if len(missing) else []
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    new = np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))
+    place, length = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    old = np.flatnonzero(number >= 0)
+    place[old], length[old] = cache.place[number[old]], cache.length[number[old]]
+    place[missing], length[missing] = len(cache.ids) + np.cumsum(n) - n, n
+    pool = np.concatenate([cache.ids, new]) if len(new) else cache.ids
+    ids, counts = gather(pool, place[which], length[which]), np.zeros(len(texts), np.int64)
+    np.add.at(counts, doc, length[which])
+    # remembered: one word for each new hash; another word with the hash of a known one is encoded anew each time
+    by = missing[np.argsort(h[missing], kind="stable")]
+    fresh = by[np.concatenate([[True], h[by][1:] != h[by][:-1]]) & ~np.isin(h[by], cache.known)] if len(by) else by
+    cache.add(h[fresh], cp, start[fresh], size[fresh], place[fresh] - len(cache.ids), length[fresh], new)
+    return ids, counts
