@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import json
+import pickle
 import random
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import tokenize
+from . import files, tokenize
 from .common import Scratch, distinct_spans, text_pieces
 
 #: Bits of an id or rank, and of a place in a word, in the packed state of the fold.
@@ -33,7 +35,10 @@ NONE = (1 << ID) - 1
 #: Words of more bytes are merged in Arrow batches with a heap: the fold takes a word's length squared.
 LONG = 1 << (PLACE - 1)
 #: Bytes of text in a block, unless one document has more.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 36_000_000
+#: Bits of a word's number in its block, of a block's number in its task; and of the tasks whose places of a word are
+#: gathered together: a word is folded once for each such group.
+WORD, BLOCK, CROWD = 28, 12, 9
 
 
 @functools.lru_cache(maxsize=4)
@@ -41,6 +46,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
+@functools.lru_cache(maxsize=4)
+def pieces_by_id(path: str) -> list[bytes]:
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        out[i] = token
+    return out
+
+
+def id_type(path: str) -> np.dtype:
+    """How ids of words are packed."""
+    return np.dtype(">u2" if len(pieces_by_id(path)) <= 1 << 16 else ">u4")
+
+
+def packed(ids: Column, path: str) -> Column:
+    """An array of ids as bytes, id_type each."""
+    digits = 2 * id_type(path).itemsize
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), ""))
+
+
 def next_prime(n: int) -> int:
     return next(k for k in range(n | 1, 2 * n + 9, 2) if all(k % d for d in range(3, int(k**0.5) + 1, 2)))
 
@@ -164,103 +189,139 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-#: Rows of a block: its words (kind 0; long ones with their ids) and its documents (kind 1; packed word numbers).
-ROW = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("n", pa.int32()), ("word", pa.list_(pa.int8())), ("long", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
-ROW_DDL = "block long, kind tinyint, n int, word array<tinyint>, long array<int>, docs array<long>, counts array<long>, codes binary"
+def pack_numbers(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers of which small ones are frequent: a byte each, 255 for those whose rest stands in the second part."""
+    small, packer = x < 255, zstandard.ZstdCompressor(level=1)
+    planes = (x[~small] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one significance lie together
+    return packer.compress(np.where(small, x, 255).astype(np.uint8).tobytes()), packer.compress(planes)
+
+
+def unpack_numbers(packed: tuple[bytes, bytes]) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor()
+    x = np.frombuffer(unpack.decompress(packed[0]), np.uint8).astype(np.int64)
+    x[x == 255] += np.ascontiguousarray(np.frombuffer(unpack.decompress(packed[1]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return x
 
 
-def _split(batches: Iterator[pa.RecordBatch], path: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], path: str, folder: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (place, word, long): the distinct words of a block, frequent ones first, long ones with their ids; place is
+    the block's number and the word's. The block's documents go into a file of the shared folder: pieces of ids, word
+    counts and packed word numbers. Blocks are the same whenever a task runs again, and so are their files."""
     ranks = read_ranks(path)
-    block = TaskContext.get().partitionId() << 32
+    block = TaskContext.get().partitionId() << BLOCK
     known: dict[bytes, int] = {}
-    size, serial = 0, 0
-    packer = zstandard.ZstdCompressor(level=1)
+    held: list[tuple] = []
+    size = 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        often = np.bincount(np.concatenate([c for *_, c in held]), minlength=len(known)) if known else np.zeros(0, np.int64)
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        files.write_named(folder, f"block-{block}", pickle.dumps([(own, counts, pack_numbers(rank[codes])) for own, counts, codes in held]))
+        words = list(known)
+        words = [words[i] for i in order.tolist()] or [b""]  # a block without words has a row too
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))])
+            spelled = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(part), np.int8)))
+            done = pa.array([np.array(merge_long(w, ranks), id_type(path)).tobytes() if len(w) > LONG else None for w in part], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((block << WORD) + np.arange(i, i + len(part))), spelled, done], ["place", "word", "long"])
+
     for own, texts in text_pieces(batches):
         joined, cp, starts, ends, doc, hashes = tokenize.split([t.decode(errors="replace") for t in texts], True)
         first, which = distinct_spans(cp, starts, ends, hashes)
         words = [joined[s:e].encode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        before = len(known)
-        number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        new = [w for w, k in zip(words, number.tolist(), strict=True) if k >= before]
-        flat = np.frombuffer(b"".join(new), np.int8)
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
-        spelled = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-        done = pa.array([merge_long(w, ranks) if len(w) > LONG else None for w in new], pa.list_(pa.int32()))
-        none = lambda k, name: pa.nulls(k, ROW.field(name).type)
-        for i in range(0, len(new), 20_000):
-            k = min(20_000, len(new) - i)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.zeros(k, np.int8)), pa.array(np.arange(before + i, before + i + k, dtype=np.int32)), spelled.slice(i, k), done.slice(i, k), none(k, "docs"), none(k, "counts"), none(k, "codes")], schema=ROW)
-        counts = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
-        codes = number[which].astype("<u4")
-        planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one significance lie together, which packs better
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([1], pa.int8()), pa.array([serial], pa.int32()), none(1, "word"), none(1, "long"), pa.array([own], ROW.field("docs").type), pa.array([counts.tolist()], ROW.field("counts").type), pa.array([packer.compress(planes)], pa.binary())], schema=ROW)
-        serial += 1
+        number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+        held.append((own, np.bincount(doc, minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64), number[which]))
         size += sum(map(len, texts))
         if size > block_bytes:
-            block, known, size, serial = block + 1, {}, 0, 0
+            yield from close()
+            block, known, held, size = block + 1, {}, [], 0
+    if held:
+        yield from close()
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, kind and n -> (doc_id, ids)."""
-    unpack = zstandard.ZstdDecompressor()
-    block = None
-    values: list[np.ndarray] = []
+def _documents(folder: str, block: int, flat: np.ndarray, length: np.ndarray) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(doc_ids, ids of each) of a block, some at a time; flat, length: the ids of its words."""
+    place = np.cumsum(length) - length
+    with files.open_input(f"{folder}/block-{block}") as f:
+        pieces = pickle.loads(f.read())
+    for docs, counts, packed in pieces:
+        codes = unpack_numbers(packed)
+        ids, ends = tokenize.gather(flat, place[codes], length[codes]), np.cumsum(length[codes])
+        stops = np.concatenate([[0], ends])[np.cumsum(counts)]
+        yield docs, np.split(ids, stops[:-1])
+
+
+def lists(docs: list, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(docs), 100):
+        part = ids[i : i + 100]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 100], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(part).astype(np.int32)))], ["doc_id", "ids"])
+
+
+class Digests:
+    """Number of ids, sha256 of the ids as text, and of the bytes decoded from them: the pieces, one after another."""
+
+    DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, docs: list, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_by_id(self.path)
+        names = [str(i) for i in range(len(pieces))]
+        rows = []
+        for d, x in zip(docs, map(np.ndarray.tolist, ids), strict=True):
+            said, raw = " ".join([names[i] for i in x]).encode(), b"".join([pieces[i] for i in x])
+            rows.append((d, len(x), hashlib.sha256(said).hexdigest(), hashlib.sha256(raw).hexdigest()))
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch], path: str, folder: str, finish: Callable[[list, list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Rows (place, ids) in order -> what `finish` makes of the documents."""
+    block, kind = None, id_type(path)
+    values: list[bytes] = []
     sizes: list[np.ndarray] = []
-    flat, place, length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for docs, ids in _documents(folder, block, np.frombuffer(b"".join(values), kind), np.concatenate(sizes) // kind.itemsize):
+            yield from finish(docs, ids)
+
     for b in batches:
-        owner, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (kind[1:] != kind[:-1])])) if len(owner) else []
+        owner = b.column("place").to_numpy() >> WORD
+        cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
         for s, e in zip(cuts, [*cuts[1:], len(owner)], strict=True):
             if owner[s] != block:
-                block, values, sizes = owner[s], [], []
-            if kind[s] == 0:
-                lists = b.column("ids").slice(s, e - s)
-                values.append(lists.flatten().to_numpy())
-                sizes.append(pa.compute.list_value_length(lists).to_numpy())
-                continue
-            if sizes:
-                flat, length = np.concatenate(values), np.concatenate(sizes).astype(np.int64)
-                place, values, sizes = np.cumsum(length) - length, [], []
-            for k in range(s, e):
-                planes = np.frombuffer(unpack.decompress(b.column("codes")[k].as_py()), np.uint8)
-                codes = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-                ids = tokenize.gather(flat, place[codes], length[codes])
-                ends = np.cumsum(length[codes])
-                counts = np.array(b.column("counts")[k].as_py(), np.int64)
-                stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-                docs = b.column("docs")[k].values
-                for i in range(0, len(docs), 100):
-                    own = stops[i : i + 101]
-                    yield pa.RecordBatch.from_arrays([docs.slice(i, 100), pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(ids[own[0] : own[-1]].astype(np.int32)))], ["doc_id", "ids"])
-
-
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, ids (array<int>), as the tiktoken library gives them for ordinary text.
+                if block is not None:
+                    yield from out()
+                block, values, sizes = int(owner[s]), [], []
+            part = b.column("ids").slice(s, e - s)
+            values.append(b"".join(part.to_pylist()))
+            sizes.append(pa.compute.binary_length(part).to_numpy().astype(np.int64))
+    if block is not None:
+        yield from out()
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, ids (array<int>), as the tiktoken library gives them for ordinary text; with
+    `digest` what `Digests` makes of the ids instead.
 
     Every match of the pattern is encoded by itself, and words are told apart by their bytes. No special tokens. Null
     or empty text: no ids. Null doc_ids and repeated rows each get a row. Other columns are ignored, whatever their
     names. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "bpe")
+    spark = docs.sparkSession
+    folder = Scratch(spark, "bpe").path("blocks")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.table(src.mapInArrow(functools.partial(_split, path=path, block_bytes=block_bytes), ROW_DDL), "blocks")
-    # a block names a word once, so no word has a large share of these rows; a set number of partitions, since words cost time, not bytes
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = rows.where("kind = 0").select("block", "n", "word", "long").repartition(n, "word")
-    words = rows.where("kind = 0 and long is null").select("word").distinct().repartition(n, "word")
-    ids = words.select("word", Ranks(path).merge(F.col("word")).alias("ids"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("docs", "array<long>"), ("counts", "array<long>"), ("codes", "binary"))]
-    back = places.join(ids.hint("merge"), "word", "left").select("block", F.lit(0).cast("tinyint").alias("kind"), "n", F.coalesce("long", "ids").alias("ids"), *none)
-    listed = rows.where("kind = 1").select("block", "kind", "n", F.lit(None).cast("array<int>").alias("ids"), "docs", "counts", "codes")
-    return back.unionByName(listed).repartition("block").sortWithinPartitions("block", "kind", "n").mapInArrow(_assemble, "doc_id long, ids array<int>")
-
-
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, number of ids, sha256 of the ids as text, and of the bytes decoded from them."""
-    ids = F.col("ids")
-    return encoded.select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
-        F.sha2(Ranks(path).decode(ids), 256).alias("decoded_sha256"),
-    )
+    rows = src.mapInArrow(functools.partial(_split, path=path, folder=folder, block_bytes=block_bytes), "place long, word array<tinyint>, long binary")
+    # a block names a word once, so a group holds no more places of it than CROWD tasks have blocks; ids are made before places are dealt out
+    crowd = F.shiftright("place", BLOCK + WORD + CROWD).alias("crowd")
+    words = rows.repartition(n, "word").groupBy("word", crowd, "long").agg(F.collect_list("place").alias("places"))
+    made = words.select(F.coalesce("long", packed(Ranks(path).merge(F.col("word")), path)).alias("ids"), "places")
+    ids = made.select(F.explode("places").alias("place"), "ids")
+    finish, ddl = (Digests(path), Digests.DDL) if digest else (lists, "doc_id long, ids array<int>")
+    return ids.repartition(n, F.shiftright("place", WORD)).sortWithinPartitions("place").mapInArrow(functools.partial(_assemble, path=path, folder=folder, finish=finish), ddl)

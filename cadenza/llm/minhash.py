@@ -4,7 +4,8 @@ Signatures of 128 minima are cut into 32 bands of 4; documents that agree on a b
 compared in batches of 32 minima: after n comparisons with m agreements the posterior of the similarity under a flat
 prior is Beta(m + 1, n - m + 1), and a pair goes as soon as P(similarity >= threshold) falls below `miss`. The full
 shingle sets of what survives decide. Equal sets are one class from the start, and a block of candidates yields a
-spanning forest of its links, never its pairs.
+spanning forest of its links, never its pairs. Words are told apart by their bytes and named by a keyed 128-bit hash;
+a shingle is named by 64 bits that are mixed, word by word, from the names of its words, and a set by 128.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_batches, binary_array, connected_components, mix, prefix_hash, span_hash, text_pieces
+from .common import Scratch, as_batches, binary_array, connected_components, distinct_spans, join_spread, mix, prefix_hash, span_hash, text_pieces
 
 MINIMA, BANDS, BATCH = 128, 32, 32
 ROWS = MINIMA // BANDS
 #: Documents of a candidate block; larger buckets are cut into pairs of such blocks.
 BLOCK = 4096
+#: Seed of the names of words.
+KEY = 0x51ED270B7F3A9C25
 _U = np.uint64
 _rng = np.random.default_rng(7919)
 _XOR = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
@@ -35,30 +39,45 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys (document number << 52 | 52 hash bits), one for each distinct shingle, and their number by document."""
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of the name of each word, a row each."""
+    first, which = distinct_spans(data, start, end, span_hash(prefix_hash(data), start, end))
+    raw, named = data.tobytes(), xxhash.xxh3_128_digest
+    spans = zip(start[first].tolist(), end[first].tolist(), strict=True)
+    names = np.frombuffer(b"".join([named(raw[s:e], KEY) for s, e in spans]), _U).reshape(-1, 2)
+    return names[which].T
+
+
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names of the distinct shingles, sorted by document; their number by document; another 64 bits of each shingle)."""
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     sep = _SEP[data]
     before = np.concatenate([[True], sep[:-1]])
     start, end = np.flatnonzero(~sep & before), np.flatnonzero(sep & ~before)
-    word = span_hash(prefix_hash(data), start, end)
+    if not len(start):
+        return np.zeros(0, _U), np.zeros(len(texts), np.int64), np.zeros(0, _U)
     doc = np.searchsorted(first, start, "right") - 1
     n = np.bincount(doc, minlength=len(texts))
     ends = np.cumsum(n)
-    k = np.arange(len(word))
-    room = ends[doc] - k if len(word) else k
-    h = np.zeros(len(word), _U)
-    for j in range(words):  # short documents: what there is, from the first word alone
-        at = np.minimum(k + j, max(len(word) - 1, 0))
-        h += np.where(room > j, word[at] * _POS[j % 64] + _U(j), _U(0))
-    keep = (room >= words) | ((n[doc] < words) & (k == (ends - n)[doc])) if len(word) else np.zeros(0, bool)
-    h, doc = mix(h[keep]), doc[keep]
-    keys = (doc.astype(_U) << _U(52)) | (h >> _U(12))
-    keys.sort()
-    if len(keys):
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return keys, np.bincount((keys >> _U(52)).astype(np.int64), minlength=len(texts))
+    k = np.arange(len(start))
+    room = ends[doc] - k
+    halves = []
+    for name in word_names(data, start, end):
+        h = np.zeros(len(name), _U)
+        for j in range(words):  # short documents: what there is, from the first word alone
+            at = np.minimum(k + j, len(name) - 1)
+            h = np.where(room > j, mix(h * _POS[j % 64] + name[at], j + 1), h)
+        halves.append(h)
+    keep = (room >= words) | ((n[doc] < words) & (k == (ends - n)[doc]))
+    h, other, doc = halves[0][keep], halves[1][keep], doc[keep]
+    stops = np.cumsum(np.bincount(doc, minlength=len(texts)))
+    for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+        if b - a > 1:
+            by = np.argsort(h[a:b])
+            h[a:b], other[a:b] = h[a:b][by], other[a:b][by]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+    return h[new], np.bincount(doc[new], minlength=len(texts)), other[new]
 
 
 def signatures(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -67,7 +86,7 @@ def signatures(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(counts)
     if len(full):
         starts = (np.cumsum(counts) - counts)[full]
-        x = (mix(keys & _U((1 << 52) - 1)) >> _U(32)).astype(np.uint32)
+        x = (keys >> _U(32)).astype(np.uint32)
         y = np.empty_like(x)
         for i in range(MINIMA):
             np.bitwise_xor(x, _XOR[i], out=y)
@@ -89,14 +108,13 @@ def min_matches(threshold: float, miss: float) -> dict[int, int]:
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_pieces(batches):
-        keys, counts = shingle_sets(texts, words)
+        keys, counts, other = shingle_sets(texts, words)
         sig = signatures(keys, counts)
         full, sums = counts > 0, np.zeros((2, len(ids)), np.int64)
-        h = keys & _U((1 << 52) - 1)
         if full.any():
             starts = (np.cumsum(counts) - counts)[full]
-            for j in range(2):
-                sums[j, full] = np.add.reduceat(mix(h, 0xABCDEF + j), starts).view(np.int64)
+            for j, h in enumerate((mix(keys, 0xABCDEF), mix(other, 0xABCDF0))):
+                sums[j, full] = np.add.reduceat(h, starts).view(np.int64)
         yield from as_batches(pa.table({
             "doc_id": pa.array(ids, pa.int64()), "n": pa.array(counts, pa.int64()), "c1": sums[0], "c2": sums[1],
             "sig": binary_array(sig, np.arange(1, len(ids) + 1) * (4 * MINIMA)),
@@ -131,18 +149,15 @@ def _blocks(ids: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> the blocks of every key that two documents share."""
-    rows: list[tuple[int, int, list, int]] = []
+    rows: list[tuple[int, np.ndarray, int]] = []
 
     def emit(band: int, ids: np.ndarray) -> None:
         ids = np.unique(ids)
         if len(ids) > 1:
-            for members, left in _blocks(ids):
-                h = mix(members.astype(_U) * _U(3) + _U(left + 1))
-                gid = int(mix(np.array([h.sum(dtype=_U) ^ _U(len(members))], _U)).view(np.int64)[0])
-                rows.append((gid, band, members, left))
+            rows.extend((band, members, left) for members, left in _blocks(ids))
 
     def out() -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int32())], ["gid", "band", "members", "left"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int32())], ["band", "members", "left"])
         rows.clear()
 
     carry: tuple[int, int, list[np.ndarray]] | None = None
@@ -157,7 +172,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if carry and sum(map(len, carry[2])) > 1:
                 emit(carry[1], np.concatenate(carry[2]))
             carry = (int(key[c]), int(band[c]), [ids[c : c + s]])
-        if sum(len(r[2]) for r in rows) > 50_000:
+        if sum(len(r[1]) for r in rows) > 50_000:
             yield from out()
     if carry and sum(map(len, carry[2])) > 1:
         emit(carry[1], np.concatenate(carry[2]))
@@ -165,6 +180,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def distinct_blocks(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks of equal members once, with the first band that has them and a number of their own."""
+    once = found.groupBy("members", "left").agg(F.min("band").alias("band"))
+    return scratch.table(once.select(F.monotonically_increasing_id().alias("gid"), "band", "members", "left"), "blocks")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Consecutive rows of equal gid, whole."""
     held: list[pa.RecordBatch] = []
@@ -232,8 +253,8 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         groups = b.column("groups").to_pylist()
         at = 0
         for ids, texts in text_pieces(iter([b.select([0, 1])])):
-            keys, counts = shingle_sets(texts, words)
-            sets = np.split(keys & _U((1 << 52) - 1), np.cumsum(counts)[:-1])
+            keys, counts, _ = shingle_sets(texts, words)
+            sets = np.split(keys, np.cumsum(counts)[:-1])
             rows = [(g["gid"], i, g["is_left"], g["cross"], s.tobytes()) for i, s, gs in zip(ids, sets, groups[at : at + len(ids)], strict=True) for g in gs]
             at += len(ids)
             yield from as_batches(pa.table({
@@ -296,11 +317,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "minhash")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.table(src.mapInArrow(functools.partial(_sign, words=words), "doc_id long, n long, c1 long, c2 long, sig binary"), "signed")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("doc_id"))
-    reps = scratch.table(signed.where("n > 0").join(classes.hint("merge"), ["c1", "c2", "n", "doc_id"], "left_semi").select("doc_id", "sig"), "reps")
+    n = signed.count()
+    classes = scratch.table(signed.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
+    reps = scratch.table(signed.where("n > 0").join(classes.select("c1", "c2", "n", "doc_id").hint("merge"), ["c1", "c2", "n", "doc_id"], "left_semi").select("doc_id", "sig"), "reps")
     keyed = reps.mapInArrow(_bands, "key long, band int, doc_id long").repartition("key").sortWithinPartitions("key")
-    blocks = keyed.mapInArrow(_buckets, "gid long, band int, members array<long>, left int")
-    blocks = scratch.table(blocks.groupBy("gid").agg(F.min(F.struct("band", "members", "left")).alias("b")).select("gid", "b.*"), "blocks")
+    blocks = distinct_blocks(keyed.mapInArrow(_buckets, "band int, members array<long>, left int"), scratch)
     members = blocks.select("gid", "band", "left", F.posexplode("members").alias("at", "doc_id")).select("gid", "band", "doc_id", (F.col("at") < F.col("left")).alias("is_left"), (F.col("left") > 0).alias("cross"))
     pruned = members.join(reps.hint("merge"), "doc_id").repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_prune, threshold=num / den, miss=miss), "gid long, doc_id long, is_left boolean, cross boolean")
     pruned = scratch.table(pruned, "pruned")
@@ -309,7 +330,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = sets.repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_verify, num=num, den=den), "a long, b long")
     found = connected_components(links, scratch)
     scratch.drop(reps, blocks, pruned)
-    named = classes.join(found, classes.doc_id == found.id, "left").select("c1", "c2", "n", F.coalesce("component", "doc_id").alias("component"))
-    out = signed.select("doc_id", "n", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.join(found, classes.doc_id == found.id, "left").select("c1", "c2", "n", "copies", F.coalesce("component", "doc_id").alias("component"))
+    slim = signed.select("doc_id", "n", "c1", "c2")
+    out = join_spread(slim.where("n > 0 and doc_id is not null"), named, ["c1", "c2", "n"], "copies", n).select("doc_id", "n", "component")
+    out = out.unionByName(slim.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))

@@ -29,8 +29,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(documents(spark, sf_dir), path), path)
+    return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), digest=True)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_batches, connected_components, mix
-from .minhash import _buckets, _groups
+from .minhash import _buckets, _groups, distinct_blocks
 
 BITS, TABLES = 14, 80
 #: Further signs of a vector, and the most of them in which linked vectors differ: at cosine 0.93 more do with
@@ -178,8 +178,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = rows.where("vec is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vec").alias("vec"))
     classes = scratch.table(classes, "classes")
     keyed = classes.mapInArrow(_keys, "key long, band int, doc_id long, s0 long, s1 long").repartition("key").sortWithinPartitions("key")
-    blocks = keyed.mapInArrow(_candidates, "gid long, band int, members array<long>, left int")
-    blocks = scratch.table(blocks.groupBy("gid").agg(F.min(F.struct("band", "members", "left")).alias("b")).select("gid", "b.*"), "blocks")
+    blocks = distinct_blocks(keyed.mapInArrow(_candidates, "band int, members array<long>, left int"), scratch)
     members = blocks.select("gid", "band", "left", F.posexplode("members").alias("at", "vec_id")).select("gid", "band", "vec_id", (F.col("at") < F.col("left")).alias("is_left"), (F.col("left") > 0).alias("cross"))
     found = members.join(classes.select("vec_id", "n", "vec"), "vec_id").repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_verify, least=least), "a long, b long, links long")
     found = scratch.table(found, "found")
