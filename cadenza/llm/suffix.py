@@ -3,19 +3,21 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier (in a document of smaller id, or further
 left in the same one). Strings are dealt to tasks by content: each string of `length` bytes has an anchor, the leftmost
 of its k-grams with the smallest hash, so equal strings have equal anchors. A run of strings with one anchor is a
-segment. Segments meet by the anchor's fingerprint; equal segments are combined before the shuffle, and only those that
-share an anchor with a different segment have their bytes fetched, put into a suffix array and compared with their
-neighbours in it. Anchors with very many different segments are dealt again by nearly whole strings.
+segment. Segments meet by the anchor's fingerprint; equal segments (by a keyed 128-bit hash of their bytes) are combined
+before the shuffle, and only those that share an anchor with a different segment have their bytes fetched, put into a
+suffix array and compared with their neighbours in it. Anchors with very many different segments are dealt again by
+nearly whole strings.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,11 @@ OWN_PIECE = 500_000
 #: Segments that a task of the first pass holds before it deals them out.
 HELD = 100_000
 _U = np.uint64
-SEGMENT = np.dtype([("fp", "u8"), ("ch", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1")])
+#: Seed of the hashes of segments.
+KEY = 0x2545F4914F6CDD1D
+#: Bytes of text to a partition at most, about; more partitions than spark.sql.shuffle.partitions if that takes it.
+PART_BYTES = 64_000_000
+SEGMENT = np.dtype([("fp", "u8"), ("ch", "u8"), ("ch2", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1")])
 MARK = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
 REQUEST = np.dtype([("fp", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1"), ("hot", "u1")])
 PIECE = np.dtype([("doc", "i8"), ("lo", "u4"), ("size", "u2"), ("n", "u2"), ("part", "u2")])
@@ -205,10 +211,21 @@ def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["target", "kind", "doc_id", "head", "body"])
 
 
-def segments(ids: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
-    """The SEGMENTs of documents."""
+def segments(ids: np.ndarray, texts: list[bytes], length: int) -> Iterator[np.ndarray]:
+    """The SEGMENTs of documents; long ones go by parts, each string of `length` bytes in the part where it starts."""
+    if len(texts) > 1 or len(texts[0]) <= OWN_PIECE:
+        yield _segments(ids, texts, length)
+        return
+    for base in range(0, len(texts[0]) - length + 1, OWN_PIECE):
+        out = _segments(ids, [texts[0][base : base + OWN_PIECE + length - 1]], length)
+        out["lo"] += np.uint32(base)
+        yield out
+
+
+def _segments(ids: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, np.uint8)
     if len(data) < length:
         return np.zeros(0, SEGMENT)
     prefix = prefix_hash(data)
@@ -234,15 +251,17 @@ def segments(ids: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     e = np.append(b[1:], len(start)) - 1
     out = np.zeros(len(b), SEGMENT)
     lo, hi, p = start[b], start[e], anchor[b]
-    out["fp"], out["ch"] = mix(gram[p], 5), span_hash(prefix, lo, hi + length)
+    named = xxhash.xxh3_128_digest
+    names = np.frombuffer(b"".join([named(raw[i:j], KEY) for i, j in zip(lo.tolist(), (hi + length).tolist(), strict=True)]), _U).reshape(-1, 2)
+    out["fp"], out["ch"], out["ch2"] = mix(gram[p], 5), names[:, 0], names[:, 1]
     out["doc"], out["lo"], out["anchor"], out["n"] = ids[doc[b]], lo - first[doc[b]], p - lo, hi - lo + 1
     return out
 
 
 def combine(s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The first of equal segments, and the marks of the others. s comes back sorted by fp, ch."""
-    s = s[np.lexsort((s["lo"], s["doc"], s["ch"], s["fp"]))]
-    new = np.concatenate([[True], (s["fp"][1:] != s["fp"][:-1]) | (s["ch"][1:] != s["ch"][:-1])])
+    s = s[np.lexsort((s["lo"], s["doc"], s["ch2"], s["ch"], s["fp"]))]
+    new = np.concatenate([[True], (s["fp"][1:] != s["fp"][:-1]) | (s["ch"][1:] != s["ch"][:-1]) | (s["ch2"][1:] != s["ch2"][:-1])])
     b = np.flatnonzero(new)
     reach = np.diff(np.append(b, len(s)))
     later = (s["doc"] != np.repeat(s["doc"][b], reach)) | (s["lo"] != np.repeat(s["lo"][b], reach))
@@ -259,9 +278,10 @@ def _first(batches: Iterator[pa.RecordBatch], length: int, targets: np.ndarray)
         yield from _rows([*_deal(kept, kept["fp"], targets, SEGMENTS), *_deal(gone, gone["doc"], targets, MARKS)])
 
     for ids, texts in text_pieces(batches, OWN_PIECE):
-        held.append(segments(np.array(ids, np.int64), texts, length))
-        if sum(map(len, held)) > HELD:
-            yield from out()
+        for part in segments(np.array(ids, np.int64), texts, length):
+            held.append(part)
+            if sum(map(len, held)) > HELD:
+                yield from out()
     if sum(map(len, held)):
         yield from out()
 
@@ -405,15 +425,16 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
         rows.clear()
-        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "starts", "ends", "kept"])
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.uint64())
+        columns = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].view(pa.int64())], ["doc_id", "starts", "ends", "kept", "text_hash"])
 
     size = 0
     for doc, text, entries in _documents(batches, {MARKS: MARK}):
         s = spans(doc, text, entries[MARKS])
         edges = [0, *s.ravel().tolist(), len(text)]
         kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-        rows.append((doc, s[:, 0].tolist(), s[:, 1].tolist(), kept))
+        rows.append((doc, s[:, 0].tolist(), s[:, 1].tolist(), kept, xxhash.xxh64_intdigest(text, 42)))
         size += len(kept)
         if len(rows) >= 1000 or size > 4_000_000:
             yield out()
@@ -429,7 +450,8 @@ def even_targets(spark: SparkSession, n: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, starts, ends (maximal removed runs, in bytes) and kept (the other bytes).
+    """One row per document: doc_id, starts, ends (maximal removed runs, in bytes), kept (the other bytes) and text_hash
+    (the whole text's, as Spark's xxhash64 gives it).
 
     Null or empty text: no bytes. doc_id names a document: repeated rows of one id and text count as one document and
     each get its row. Rows with a null doc_id are compared with nothing. Other columns are ignored. An empty table
@@ -437,7 +459,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // PART_BYTES))
     targets = even_targets(spark, n)
     args = {"length": length, "targets": targets}
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
@@ -449,9 +472,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = asked.mapInArrow(functools.partial(_third, **args), ROW).repartition(n, "target").mapInArrow(functools.partial(_fourth, **args), ROW)
     found = scratch.table(found, "found")
     every = second.where(F.col("kind") == MARKS).unionByName(found).unionByName(texts).repartition(n, "target").sortWithinPartitions("kind")
-    out = every.mapInArrow(_last, "doc_id long, starts array<long>, ends array<long>, kept binary")
+    out = every.mapInArrow(_last, "doc_id long, starts array<long>, ends array<long>, kept binary, text_hash long")
     none = F.expr("cast(array() as array<bigint>)")
-    return out.unionByName(src.where("doc_id is null").select("doc_id", none.alias("starts"), none.alias("ends"), F.col("text").alias("kept")))
+    return out.unionByName(src.where("doc_id is null").select("doc_id", none.alias("starts"), none.alias("ends"), F.col("text").alias("kept"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
 
 
 def cut(text: bytes, starts: list[int], ends: list[int]) -> bytes:
@@ -478,10 +501,16 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100) -> DataFrame:
-    """docs with the repeated passages cut out of `text_col`; a character of which a byte goes goes whole. Null texts
-    and rows with a null id stay as they are. Ids name documents: rows that repeat an id need equal texts."""
-    found = repeated_spans(docs.dropDuplicates([id_col]), id_col, text_col, length=length).where(F.size("starts") > 0)
-    new = found.select(F.col("doc_id").alias("__suffix_id"), F.col("starts").alias("__suffix_starts"), F.col("ends").alias("__suffix_ends"))
-    joined = docs.join(new.hint("merge"), F.col(id_col).cast("long") == F.col("__suffix_id"), "left")
-    spans = joined.select(*docs.columns, "__suffix_starts", "__suffix_ends")
-    return spans.mapInArrow(functools.partial(_cut, at=docs.columns.index(text_col)), docs.schema)
+    """docs with the repeated passages cut out of `text_col`; a character of which a byte goes goes whole.
+
+    Null texts and rows with a null id stay as they are. Repeated rows of an id and a text are cut alike. An id with
+    several texts stands for the one whose hash is least; its other texts stay as they are. Columns may have any name.
+    """
+    i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    one = docs.where(i.isNotNull()).select(i.alias("doc_id"), text.alias("text")).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    own = uuid.uuid4().hex  # names that docs doesn't have
+    found = repeated_spans(one, length=length).where(F.size("starts") > 0)
+    new = found.select(F.col("doc_id").alias(f"id_{own}"), F.col("text_hash").alias(f"hash_{own}"), F.col("starts").alias(f"starts_{own}"), F.col("ends").alias(f"ends_{own}"))
+    joined = docs.where(i.isNotNull()).join(new.hint("merge"), (i == F.col(f"id_{own}")) & (F.xxhash64(text) == F.col(f"hash_{own}")), "left")
+    spans = joined.select(*(F.col(f"`{c}`") for c in docs.columns), f"starts_{own}", f"ends_{own}")
+    return spans.mapInArrow(functools.partial(_cut, at=docs.columns.index(text_col)), docs.schema).unionByName(docs.where(i.isNull()))
