@@ -1,31 +1,42 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Mentions are found by one pattern. A mention names an entity (type, canonical form); every entity of the corpus gets
+Mentions are found by one pattern, in one pass. A mention names an entity (type, canonical form); every entity of the corpus gets
 one keyed surrogate of its type, script and format, so mentions of one entity stay mentions of one entity, however
 they are written. Rounds of collision checks keep different entities different and no surrogate is a real entity.
 """
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import bind
-from .common import Scratch
+from .common import Scratch, join_spread
 
 # What introduces a name, by gender.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "г-жа", "госпожа", "κυρία"]
 EITHER = ["Dr", "Prof"]
-# Given names by script and gender.
+# Given names by script and gender; those of no gender are of use to both.
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Gustav", "Henry", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noel", "Oscar", "Paul"],
     ("latin", "f"): ["Anna", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olivia", "Paula"],
+    ("latin", ""): ["Alex", "Chris", "Jamie", "Jules", "Kim", "Luca", "Micha", "Noor", "Quinn", "Robin", "Sam", "Toni"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Денис", "Иван", "Олег", "Павел", "Сергей"],
     ("cyrillic", "f"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Софья"],
+    ("cyrillic", ""): ["Валя", "Женя", "Саша", "Слава"],
     ("greek", "m"): ["Γιώργος", "Κώστας", "Νίκος", "Πέτρος"],
     ("greek", "f"): ["Άννα", "Ελένη", "Μαρία", "Σοφία"],
+    ("greek", ""): ["Άλεξ", "Χάρις"],
 }
+# Further given names that tell a gender where no title does.
+TELLING = {
+    "m": "albert alexander andreas anthony antonio arthur benjamin charles christian christopher daniel dieter dmitri edward eric ernst francisco frank franz fred friedrich george giovanni hans harry heinrich hugo jack jacques james jan jean johann john jorge jose joseph josé juan jürgen klaus lars lewis louis luis manuel marco mark max michael miguel nicolas nikolai otto pablo patrick pedro peter philip pierre richard robert rudolf sergio simon stefan stephen thomas tobias tom victor walter werner william wolfgang алексей андрей владимир дмитрий михаил николай пётр γιάννης δημήτρης",
+    "f": "alice amelia ana andrea angela angelika ann anne beatrice birgit brigitte camille carla carmen caroline catherine charlotte christina christine claudia cristina doris dorothea edith elisabeth elizabeth emily emma erika eva florence frieda gabriele gertrud hannah heidi helga hilda ida ingrid isabel jane jean jennifer jessica johanna josefa juliette karen katharina linda lisa lucia lucy luisa margaret margarita marie marta martha mary monika nancy nina patricia petra renate rosa ruth sabine sandra sara sarah sofia sophie susan susanne teresa ursula vera victoria александра екатерина наталья светлана татьяна αικατερίνη δήμητρα",
+}
 # Sets of characters that stand in for each other.
 CLASSES = [
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
@@ -33,37 +44,57 @@ CLASSES = [
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
     "αειουω", "βγδζθκλμνξπρστφχψ", "ΑΕΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 ]
+#: Blocks of letters: what no class above holds is replaced within its block and case.
+BLOCKS = [(0xDF, 0x250), (0x370, 0x400), (0x400, 0x530), (0x531, 0x588), (0x5D0, 0x5EB), (0x621, 0x64B), (0x904, 0x93A), (0xE01, 0xE31), (0x10D0, 0x10FB), (0x3041, 0x3097), (0x30A1, 0x30FB)]
+#: Blocks that are letters throughout: replaced by code point.
+RANGES = [(0x4E00, 0x9FA6), (0xAC00, 0xD7A4)]
 HEX = "0123456789abcdef"
+LONG = 256
+
+
+def _blocks() -> list[str]:
+    done, out = set("".join(CLASSES)), []
+    for first, last in BLOCKS:
+        for case in (("Ll",), ("Lu", "Lt"), ("Lo",)):
+            letters = "".join(c for c in map(chr, range(first, last)) if unicodedata.category(c) in case and c not in done)
+            out += [letters] if len(letters) > 1 else []
+    return out
+
 
-_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
+ALL_CLASSES = CLASSES + _blocks()
+
+# The groups that repeat are possessive, so no text makes the matcher recurse or retry.
+_SECRET = r"(?i:p(?:assw(?:or)?d|wd)|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + EITHER, key=lambda t: -len(t))) + r")\.?\s"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_LABEL = r"[\p{L}0-9]++(?:-++[\p{L}0-9]++)*+"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 PATTERN = "|".join([
-    r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[\p{L}0-9-]+\.)+\p{L}{2,}",
-    _SECRET + r"(?=[A-Za-z+/_.-]*\d)[A-Za-z0-9+/_.-]{8,}",
+    rf"(?<![\p{{L}}0-9._%+-])[\p{{L}}0-9._%+-]++@{_LABEL}(?:\.{_LABEL})++",
+    _SECRET + r"(?=[A-Za-z+/_.-]*+\d)[A-Za-z0-9+/_.-]{8,}+",
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    r"(?<![\p{L}\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    rf"(?<![\p{{L}}\d:.])(?=[A-Fa-f:]*+\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}:(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![\p{{L}}\d:])",
     rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d|\.\d)",
-    rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
 ])
+# Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Rounds of collision checks after which a surrogate grows beyond its format to stay distinct.
 STRICT_ROUNDS = 8
 
 
-def found(text: Column) -> Column:
-    """All mentions of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-
-
 def kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike("^" + _SECRET), "secret")
         .when(m.startswith("AKIA"), "access_key")
-        .when(m.startswith("+"), "phone")
+        .when(m.rlike(r"^[+(]\d"), "phone")
+        .when(m.rlike("^[0-9A-Fa-f]{1,4}:"), "ipv6")
         .when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "national_id")
         .when(m.rlike(r"^[\d -]+$"), "card")
@@ -78,9 +109,12 @@ def parsed(m: Column) -> Column:
     def of(k: Column) -> Column:
         prefix = F.when(k == "secret", F.regexp_extract(m, f"^({_SECRET})", 1)).when(k == "name", F.regexp_extract(m, f"^({_TITLE})", 1)).otherwise("")
         title = F.regexp_replace(F.trim(prefix), r"\.$", "")
-        gender = F.when(k != "name", "").when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("")
         value = F.substring(m, F.length(prefix) + 1, F.length(m))
-        canonical = F.when(k.isin("email", "name"), F.lower(value)).when(k.isin("phone", "card", "national_id", "iban"), F.regexp_replace(value, "[^0-9A-Za-z]", "")).otherwise(value)
+        given = F.lower(F.regexp_extract(value, r"^(\p{L}+) \p{L}", 1))
+        known = {g: TELLING[g].split() + [n.lower() for (_, h), names in GIVEN.items() if h == g for n in names] for g in "mf"}
+        titled = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f")
+        gender = F.when(k != "name", "").otherwise(F.coalesce(titled, F.when(given.isin(known["m"]), "m").when(given.isin(known["f"]), "f"), F.lit("")))
+        canonical = F.when(k.isin("email", "name", "ipv6"), F.lower(value)).when(k == "phone", F.regexp_replace(value, "[^0-9+]", "")).when(k.isin("card", "national_id", "iban"), F.regexp_replace(value, "[^0-9A-Za-z]", "")).otherwise(value)
         return F.struct(k.alias("kind"), gender.alias("gender"), prefix.alias("prefix"), value.alias("value"), canonical.alias("canonical"))
 
     return bind(kind(m), of)
@@ -90,27 +124,43 @@ def char(s: Column, i: Column) -> Column:
     return F.substring(s, i, F.lit(1))
 
 
+def chars(s: Column) -> Column:
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+
+
 def nibble(hexes: Column, i: Column) -> Column:
     return F.instr(F.lit(HEX), char(hexes, i)) - 1
 
 
-def scramble(value: Column, seed: Column, classes: list[str] = CLASSES) -> Column:
-    """Character by character another one of its class, by a keyed stream; what is in no class stays."""
+def scramble(value: Column, seed: Column, classes: list[str] = ALL_CLASSES) -> Column:
+    """Character by character another one of its class or block, by a keyed stream; what is in none stays. In values of
+    more than LONG characters each class is rotated by a keyed step instead."""
+
+    def one(c: Column, i: Column, blocks: Column) -> Column:
+        hexes, at = F.get(blocks, F.floor(i / 32).cast("int")), (i % 32) * 2 + 1
+        r = nibble(hexes, at) * 16 + nibble(hexes, at + 1)
+        out = None
+        for k in classes:
+            pick = F.substring(F.lit(k), r % len(k) + 1, F.lit(1))
+            inside = F.instr(F.lit(k), c) > 0
+            out = F.when(inside, pick) if out is None else out.when(inside, pick)
+        code = F.ascii(c)
+        for first, last in RANGES:
+            made = first + (code - first + 1 + r * 79) % (last - first)
+            out = out.when((code >= first) & (code < last), F.decode(F.unhex(F.lpad(F.hex(made), 4, "0")), "UTF-16BE"))
+        return out.otherwise(c)
 
-    def by(hexes: Column) -> Column:
-        def one(i: Column) -> Column:
-            c, r = char(value, i), nibble(hexes, 2 * i - 1) * 16 + nibble(hexes, 2 * i)
-            out = None
-            for k in classes:
-                pick = F.substring(F.lit(k), r % len(k) + 1, F.lit(1))
-                inside = F.instr(F.lit(k), c) > 0
-                out = F.when(inside, pick) if out is None else out.when(inside, pick)
-            return out.otherwise(c)
+    def stream(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (F.length(value) / 32).cast("int")), lambda j: F.sha2(F.concat_ws("|", digest, j.cast("string")), 256))
 
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    def rotated(digest: Column) -> Column:
+        steps = [1 + (nibble(digest, F.lit(1 + j % 63)) * 16 + nibble(digest, F.lit(2 + j % 63))) % (len(k) - 1) for j, k in enumerate(classes)]
+        turned = [F.concat(F.substring(F.lit(k), r + 1, F.lit(len(k))), F.substring(F.lit(k), F.lit(1), r)) for k, r in zip(classes, steps, strict=True)]
+        return F.call_function("translate", value, F.lit("".join(classes)), F.concat(*turned))
 
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(value) / 32).cast("int")), lambda j: F.sha2(F.concat_ws("|", seed, j.cast("string")), 256)), "")
-    return F.when(F.length(value) == 0, value).otherwise(bind(stream, by))
+    long = (F.length(value) > LONG) & ~value.rlike("[" + "".join(f"\\x{{{a:X}}}-\\x{{{b - 1:X}}}" for a, b in RANGES) + "]")
+    streamed = bind(bind(F.sha2(seed, 256), stream), lambda blocks: F.array_join(F.transform(chars(value), lambda c, i: one(c, i, blocks)), ""))
+    return F.when(long, bind(F.sha2(seed, 256), rotated)).otherwise(streamed)
 
 
 def check_digit(digits: Column) -> Column:
@@ -125,55 +175,82 @@ def check_digit(digits: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def check_pair(country: Column, rest: Column) -> Column:
+    """The two digits that make an account number of a country leave 1 modulo 97."""
+    whole = F.concat(rest, country, F.lit("00"))
+
+    def step(a: Column, i: Column) -> Column:
+        v = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.upper(char(whole, i))) - 1
+        return (a * F.when(v < 10, 10).otherwise(100) + v) % 97
+
+    return F.lpad((98 - F.aggregate(F.sequence(F.lit(1), F.length(whole)), F.lit(0), step)).cast("string"), 2, "0")
+
+
 def pick(names: list[str], seed: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), F.pmod(F.xxhash64(F.sha2(seed, 256)), F.lit(len(names))).cast("int") + 1)
 
 
 def surrogate(k: Column, gender: Column, canonical: Column, n: Column, key: str) -> Column:
-    """The n-th surrogate of an entity, in canonical form."""
+    """The n-th surrogate of an entity, in canonical form: what is secret of it is scrambled, the rest made anew."""
     seed = F.concat_ws("|", F.lit(key), k, canonical, n.cast("string"))
-    at = F.instr(canonical, "@")
+    tail = lambda keep: F.substring(canonical, F.lit(keep + 1), F.length(canonical))
+    at, code, words = F.instr(canonical, "@"), F.regexp_extract(canonical, COUNTRY, 0), F.split(canonical, " ")
     domain = F.substring(canonical, at + 1, F.length(canonical))
     host, top = F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 1), F.regexp_extract(domain, r"(\.[^.]+)$", 1)
-    email = F.concat(scramble(F.substring(canonical, F.lit(1), at - 1), seed), F.lit("@"), scramble(host, F.concat_ws("|", F.lit(key), F.lit("domain"), host)), top)
-    octets = F.sha2(seed, 256)
-    ip = F.concat_ws(".", (11 + (nibble(octets, F.lit(1)) * 16 + nibble(octets, F.lit(2))) % 80).cast("string"), *((1 + (nibble(octets, F.lit(i)) * 16 + nibble(octets, F.lit(i + 1))) % 254).cast("string") for i in (3, 5, 7)))
-    tail = lambda keep: F.concat(F.substring(canonical, F.lit(1), F.lit(keep)), scramble(F.substring(canonical, F.lit(keep + 1), F.length(canonical)), seed))
-    digits = F.concat(F.substring(canonical, F.lit(1), F.lit(1)), scramble(F.substring(canonical, F.lit(2), F.length(canonical) - 2), seed))
-    card = bind(digits, lambda d: F.concat(d, check_digit(d)))
-    script = F.when(canonical.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canonical.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    words = F.split(canonical, " ")
     token = lambda w: F.concat_ws("|", F.lit(key), F.lit("name"), w, n.cast("string"))
+    hidden = (
+        F.when(k == "email", F.substring(canonical, F.lit(1), at - 1))
+        .when(k == "card", F.substring(canonical, F.lit(2), F.length(canonical) - 2))
+        .when(k.isin("access_key", "iban"), tail(4))
+        .when(k == "phone", F.substring(canonical, F.length(code) + 1, F.length(canonical)))
+        .when(k == "name", F.element_at(words, -1))
+        .otherwise(canonical)
+    )
+    hexes = (k == "ipv6") | ((k == "secret") & canonical.rlike("^[0-9a-f]+$"))
+    made = F.when(hexes, scramble(hidden, seed, [HEX])).otherwise(scramble(hidden, F.when(k == "name", token(hidden)).otherwise(seed)))
+    script = F.when(canonical.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canonical.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given = None
     for (s, g), names in GIVEN.items():
-        this = (script == s) & ((gender == g) if g == "m" else (gender != "m"))
+        this = (script == s) & (gender == g)
         given = F.when(this, pick(names, token(words[0]))) if given is None else given.when(this, pick(names, token(words[0])))
-    family = F.initcap(scramble(F.element_at(words, -1), token(F.element_at(words, -1))))
-    name = F.when(F.size(words) > 1, F.concat_ws(" ", given, family)).otherwise(family)
-    secret = F.when(canonical.rlike("^[0-9a-f]+$"), scramble(canonical, seed, [HEX])).otherwise(scramble(canonical, seed))
-    made = F.when(k == "email", email).when(k == "ip", ip).when(k == "card", card).when(k == "name", name).when(k == "secret", secret).when(k == "access_key", tail(4)).when(k == "phone", tail(1)).when(k == "iban", tail(2)).otherwise(scramble(canonical, seed))
-    return F.concat(made, F.when(n >= STRICT_ROUNDS, F.substring(F.sha2(seed, 256), F.lit(1), n)).otherwise(""))
+    octets = F.sha2(seed, 256)
+    ip = F.concat_ws(".", (11 + (nibble(octets, F.lit(1)) * 16 + nibble(octets, F.lit(2))) % 80).cast("string"), *((1 + (nibble(octets, F.lit(i)) * 16 + nibble(octets, F.lit(i + 1))) % 254).cast("string") for i in (3, 5, 7)))
+    country = F.substring(canonical, 1, 2)
+
+    def whole(x: Column) -> Column:
+        digits, family = F.concat(F.substring(canonical, F.lit(1), F.lit(1)), x), F.initcap(x)
+        return (
+            F.when(k == "email", F.concat(x, F.lit("@"), scramble(host, F.concat_ws("|", F.lit(key), F.lit("domain"), host)), top))
+            .when(k == "ip", ip)
+            .when(k == "card", F.concat(digits, check_digit(digits)))
+            .when(k == "name", F.when(F.size(words) > 1, F.concat_ws(" ", given, family)).otherwise(family))
+            .when(k == "access_key", F.concat(F.substring(canonical, F.lit(1), F.lit(4)), x))
+            .when(k == "phone", F.concat(code, x))
+            .when(k == "iban", F.concat(country, check_pair(country, x), x))
+            .otherwise(x)
+        )
+
+    return F.concat(bind(made, whole), F.when(n >= STRICT_ROUNDS, F.substring(F.sha2(seed, 256), F.lit(1), n)).otherwise(""))
 
 
 def rendered(m: Column, s: Column) -> Column:
     """A surrogate in the writing of a mention: its prefix, separators and capitals."""
-    value = m["value"]
+    value, plain = m["value"], F.regexp_replace(s, "[^0-9A-Za-z]", "")
 
     def filled(i: Column) -> Column:
         c = char(value, i)
         done = F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9A-Za-z]", ""))
-        return F.when(c.rlike("[0-9A-Za-z]"), char(s, done)).otherwise(c)
+        return F.when(c.rlike("[0-9A-Za-z]"), char(plain, done)).otherwise(c)
 
-    def cased(i: Column) -> Column:
-        c = char(value, i)
-        return F.when(c != F.lower(c), F.upper(char(s, i))).otherwise(char(s, i))
+    def cased(c: Column, x: Column) -> Column:
+        return F.when(c != F.lower(c), F.upper(x)).otherwise(F.coalesce(x, F.lit("")))
 
     places = F.sequence(F.lit(1), F.length(value))
     rest = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-    numeric = F.concat(F.array_join(F.transform(places, filled), ""), F.substring(s, rest + 1, F.length(s)))
-    email = F.concat(F.array_join(F.transform(places, cased), ""), F.substring(s, F.length(value) + 1, F.length(s)))
+    numeric = F.concat(F.array_join(F.transform(places, filled), ""), F.substring(plain, rest + 1, F.length(plain)))
+    email = F.array_join(F.zip_with(chars(value), chars(s), cased), "")
     name = F.when(value == F.upper(value), F.upper(s)).otherwise(s)
-    return F.concat(m["prefix"], F.when(m["kind"].isin("phone", "card", "national_id", "iban"), numeric).when(m["kind"] == "email", email).when(m["kind"] == "name", name).otherwise(s))
+    return F.concat(m["prefix"], F.when(m["kind"].isin("phone", "card", "national_id", "iban"), numeric).when(m["kind"].isin("email", "ipv6"), email).when(m["kind"] == "name", name).otherwise(s))
 
 
 def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -183,9 +260,10 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     be a real entity or given away before. The others go on to the next round.
     """
     real = entities.select("kind", F.lower("canonical").alias("folded"))
+    made = surrogate(F.col("kind"), F.col("gender"), F.col("canonical"), F.col("round"), key)
     open_, done = entities, None
-    for n in range(64):
-        proposed = scratch.table(open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("gender"), F.col("canonical"), F.lit(n), key)).withColumn("folded", F.lower("surrogate")), "proposed")
+    for n in itertools.count():  # from STRICT_ROUNDS on surrogates grow, so a round comes that leaves none open
+        proposed = scratch.table(open_.withColumn("round", F.lit(n)).withColumn("surrogate", made).withColumn("folded", F.lower("surrogate")).drop("round"), "proposed")
         first = proposed.groupBy("kind", "folded").agg(F.min("canonical").alias("winner"))
         free = first.join(real, ["kind", "folded"], "left_anti")
         if done is not None:
@@ -198,26 +276,53 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     return done
 
 
+def called(value: Column, new: Column) -> Column:
+    """What stands for a name and for its words, wherever its document has them: [(length, old, new)]."""
+    a, b = F.split(value, " "), F.split(new, " ")
+    one = lambda x, y: F.struct((-F.length(x)).alias("n"), x.alias("old"), y.alias("new"))
+    whole = F.array(one(value, new))
+    return F.when(F.size(a) < 2, whole).otherwise(F.concat(whole, F.array(one(F.element_at(a, -1), F.element_at(b, -1)), one(F.element_at(a, 1), F.element_at(b, 1)))))
+
+
 def surrogates(docs: DataFrame, key: str, text_col: str = "text", *, count: str | None = None) -> DataFrame:
-    """docs with every mention in `text_col` replaced; all columns stay. count: a column for the number of mentions.
+    """docs with every mention in `text_col` replaced; all columns stay. count: a column for the number of mentions,
+    which takes the place of one of that name.
 
-    Null and empty texts stay as they are. Texts are matched by content, so null ids and repeated rows need no care,
-    and further columns may have any name. An empty table gives an empty result.
+    The pattern runs over each text once. A name found after its title is also replaced where the same document has it,
+    its last or its first word without one. Null and empty texts stay as they are. Texts are matched by content, so null
+    ids and repeated rows need no care, and further columns may have any name. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "pii")
+    text = F.col("text")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    keys = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")]
-    hit = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
-    texts = rows.select(*keys, "text").where(hit).groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    mentions = scratch.table(texts.select("h1", "h2", F.posexplode(found(F.col("text"))).alias("place", "mention")).select("h1", "h2", "place", parsed(F.col("mention")).alias("m")), "mentions")
-    entities = scratch.table(mentions.groupBy("m.kind", "m.canonical").agg(F.max("m.gender").alias("gender")), "entities")
-    given = assign(entities, key, scratch)
-    mine = mentions.select("h1", "h2", "place", "m", F.col("m.kind").alias("kind"), F.col("m.canonical").alias("canonical")).join(given, ["kind", "canonical"])
-    new = mine.select("h1", "h2", F.struct("place", rendered(F.col("m"), F.col("surrogate")).alias("said")).alias("s")).groupBy("h1", "h2").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    new = scratch.table(new.select("h1", "h2", F.col("s.said").alias("said")), "said")
-    changed = rows.where(hit).select("row", "text", *keys).join(new.hint("merge"), ["h1", "h2"])
-    parts = F.split("text", PATTERN, -1)
-    text = F.array_join(F.flatten(F.zip_with(parts, F.col("said"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = changed.select("row", text.alias("text"), F.size("said").alias("n")).unionByName(rows.where(~hit).select("row", "text", F.lit(0).alias("n")))
-    made = [(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
-    return out.select(*made, *([F.col("n").alias(count)] if count else []))
+    # mentions are set off by a mark that depends on the text, so the text doesn't have it: parts alternate between plain and mention
+    marked = rows.withColumn("mark", F.concat(F.lit("\x01"), F.hex(F.xxhash64("text"))))
+    parts = F.split(F.regexp_replace(text, F.lit(PATTERN), F.concat("mark", F.lit("$0"), "mark")), F.col("mark"))
+    cut = marked.withColumn("parts", parts).select(F.monotonically_increasing_id().alias("id"), "row", "mark", F.when(F.size("parts") > 1, F.col("parts")).alias("parts"))
+    cut = scratch.table(cut, "cut")
+    hit = cut.where("parts is not null")
+    each = F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), lambda i: F.get("parts", i))
+    mentions = hit.select("id", F.posexplode(each).alias("place", "mention")).select("id", "place", parsed(F.col("mention")).alias("m"))
+    mentions = scratch.table(mentions.select("id", "place", "m", F.col("m.kind").alias("kind"), F.col("m.canonical").alias("canonical")), "mentions")
+    entities = scratch.table(mentions.groupBy("kind", "canonical").agg(F.max("m.gender").alias("gender"), F.count("*").alias("copies")), "entities")
+    given = assign(entities.drop("copies"), key, scratch).join(entities.select("kind", "canonical", "copies"), ["kind", "canonical"])
+    mine = join_spread(mentions, given, ["kind", "canonical"], "copies", mentions.count())
+    said = F.struct("place", rendered(F.col("m"), F.col("surrogate")).alias("said"), F.when(F.col("kind") == "name", called(F.col("m.value"), F.col("surrogate"))).alias("names"))
+    new = mine.select("id", said.alias("s")).groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    none = F.expr("cast(array() as array<struct<n: int, old: string, new: string>>)")
+    new = new.select("id", F.col("s.said").alias("said"), F.array_sort(F.flatten(F.transform("s.names", lambda x: F.coalesce(x, none)))).alias("names"))
+    joined = hit.join(new.hint("merge"), "id")
+
+    def plain(part: Column) -> Column:
+        """Names that were found elsewhere in the document, replaced too."""
+        names = F.col("names")
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(F.transform(names, lambda x: x["old"]), "|"), F.lit(r")(?![\p{L}\p{M}])"))
+        pieces = F.split(F.regexp_replace(part, pattern, F.concat("mark", F.lit("$0"), "mark")), F.col("mark"))
+        other = lambda old: F.get(F.filter(names, lambda x: x["old"] == old), F.lit(0))["new"]
+        whole = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, other(x)).otherwise(x)), "")
+        return F.when(F.size(names) == 0, part).otherwise(whole)
+
+    written = F.array_join(F.transform("parts", lambda x, i: F.when(i % 2 == 1, F.get("said", F.floor(i / 2).cast("int"))).otherwise(plain(x))), "")
+    out = joined.select("row", written.alias("text"), F.size("said").alias("n")).unionByName(cut.where("parts is null").select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), F.lit(0).alias("n")))
+    made = [(F.col("text") if c == text_col else F.col("n") if c == count else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return out.select(*made, *([F.col("n").alias(count)] if count and count not in docs.columns else []))
