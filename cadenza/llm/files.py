@@ -15,15 +15,28 @@ def locate(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), uri
 
 
-def write_whole(folder: str, name: str, data: bytes) -> str:
-    """Writes under a name of its own, so that a repeated task never meets a half-written file; returns the URI."""
-    system, base = locate(folder)
-    system.create_dir(base, recursive=True)
-    own = f"{name}-{uuid.uuid4().hex}"
-    with system.open_output_stream(f"{base}/{own}.part", compression=None) as f:
-        f.write(data)
-    system.move(f"{base}/{own}.part", f"{base}/{own}")
-    return f"{folder}/{own}"
+class created:  # noqa: N801
+    """A file under a name of its own, streamed and moved into place at the end, so that a repeated task never meets a
+    half-written one. Without open() there is no file."""
+
+    def __init__(self, folder: str, name: str):
+        self.system, self.base = locate(folder)
+        self.own = f"{name}-{uuid.uuid4().hex}"
+        self.path, self.stream = f"{folder}/{self.own}", None
+
+    def open(self):
+        self.system.create_dir(self.base, recursive=True)
+        self.stream = self.system.open_output_stream(f"{self.base}/{self.own}.part", compression=None)
+        return self.stream
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if self.stream is not None:
+            self.stream.close()
+            if kind is None:
+                self.system.move(f"{self.base}/{self.own}.part", f"{self.base}/{self.own}")
 
 
 def write_named(folder: str, name: str, data: bytes) -> None:

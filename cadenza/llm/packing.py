@@ -235,7 +235,9 @@ def slots(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {x: np.array(rows, np.int64) for x, rows in out.items()}
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, kind: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, kind: str, end: int, capacity: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """The pieces, dealt to blocks in turn: copies of a row too are spread over the blocks."""
+    serial = 0
     for ids, texts in text_pieces(batches):
         flat, counts = tokenize.encode([t.decode() for t in texts], tokenizer, kind)
         rows: list[tuple] = []
@@ -247,7 +249,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, kind: str, end: i
                 part = x[s : s + capacity]
                 rows.append((i, p, s, len(part), zlib.crc32(part.tobytes())))
         cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        block = pa.array((serial + np.arange(len(rows))) % blocks, pa.int32())
+        serial += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), block], ["doc_id", "piece", "start", "length", "ids_crc32", "block"])
 
 
 def _place(batches: Iterator[pa.RecordBatch], table: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +283,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "packing")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = scratch.table(src.mapInArrow(functools.partial(_pieces, tokenizer=tokenizer, kind=kind, end=end, capacity=capacity), schema), "pieces")
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    cut = functools.partial(_pieces, tokenizer=tokenizer, kind=kind, end=end, capacity=capacity, blocks=blocks)
+    pieces = scratch.table(src.mapInArrow(cut, schema + ", block int"), "pieces")
     counts = scratch.table(pieces.groupBy("length", "block").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = slots(plan(histogram, capacity))

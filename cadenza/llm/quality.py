@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 
 from .labelled import labelled_sample, logistic, positive_share, sigmoid
 
-DICTIONARY, LEVEL, SLICE = 65_536, 3, 400
+DICTIONARY, LEVEL, SLICE = 65_536, 3, 200
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A trained dictionary of slices of the texts; their raw end where there are too few to train one."""
-    slices = [t[i : i + SLICE] for t in texts for i in range(0, len(t), SLICE)]
-    if sum(map(len, slices)) >= 12 * size and len(slices) > 200:
-        try:
-            return zstandard.train_dictionary(size, slices).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(slices)[-size:]
+def dictionaries(bad: list[bytes], good: list[bytes]) -> tuple[bytes, bytes]:
+    """Trained dictionaries of slices of either class's texts, of one size: at most DICTIONARY and a tenth of the smaller
+    class's bytes. Where that is too little to train both, neither class has one."""
+    size = min(DICTIONARY, min(sum(map(len, bad)), sum(map(len, good))) // 10)
+    slices = [[t[i : i + SLICE] for t in texts for i in range(0, len(t), SLICE)] for texts in (bad, good)]
+    try:
+        return tuple(zstandard.train_dictionary(size, s).as_bytes() for s in slices)
+    except (zstandard.ZstdError, ValueError):
+        return b"", b""
 
 
 @dataclass
@@ -66,7 +66,7 @@ def fit_sample(sample: list[tuple[int, str, int]], share: float | None = None, *
             used[y] += len(b)
         else:
             rest.append((b, y))
-    model = Model(dictionary(parts[0]), dictionary(parts[1]), np.zeros(6))
+    model = Model(*dictionaries(parts[0], parts[1]), np.zeros(6))
     y = np.array([k for _, k in rest], float)
     if len(y) and y.min() < y.max():
         share = y.mean() if share is None else min(max(share, 1e-6), 1 - 1e-6)
@@ -78,7 +78,7 @@ def fit_sample(sample: list[tuple[int, str, int]], share: float | None = None, *
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most 2 * per_class labelled rows."""
+    """Fits on at most 2 * per_class labelled rows, long texts by parts spread over the whole text."""
     sample = labelled_sample(docs, labels, label, per_class=per_class, id_col=id_col, text_col=text_col)
     return fit_sample(sample, positive_share(labels, label))
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,18 +101,20 @@ class Reader:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, kind: str, end: int) -> Iterator[pa.RecordBatch]:
-    writer, first, total, last = None, None, 0, np.array([end], np.uint32)
-    for ids, texts in text_pieces(batches):
-        flat, counts = tokenize.encode([t.decode() for t in texts], tokenizer, kind)
-        if writer is None:
-            writer, first = Writer(io.BytesIO(), width(max(tokenize.largest_id(tokenizer, kind), end))), ids[0]
-        for i, x in zip(ids, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
-            writer.add(i, np.concatenate([x, last]))
-        total += len(flat) + len(ids)
-    if writer is not None:
-        writer.close()
-        path = files.write_whole(folder, "ids", writer.out.getbuffer())
-        yield pa.RecordBatch.from_pydict({"path": [path], "first": pa.array([first], pa.int64()), "docs": [len(writer.docs)], "tokens": [total]})
+    last, total, docs = np.array([end], np.uint32), 0, 0
+    with files.created(folder, "ids") as made:
+        writer = None
+        for ids, texts in text_pieces(batches):
+            flat, counts = tokenize.encode([t.decode() for t in texts], tokenizer, kind)
+            writer = writer or Writer(made.open(), width(max(tokenize.largest_id(tokenizer, kind), end)))
+            for i, x in zip(ids, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                writer.add(i, np.concatenate([x, last]))
+            total += len(flat) + len(ids)
+            docs += len(ids)
+        if writer is not None:
+            writer.close()
+    if docs:
+        yield pa.RecordBatch.from_pydict({"path": [made.path], "part": pa.array([TaskContext.get().partitionId()], pa.int64()), "docs": [docs], "tokens": [total]})
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,18 +129,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, kind: str = "byte", end: int = 0) -> DataFrame:
     """Writes the documents' ids in ascending id order, a file for each range of ids; returns the lazy manifest
-    (path, first, docs, tokens): materialise it once, then only files that it lists count."""
+    (path, part, docs, tokens): materialise it once, then only files that it lists count."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return dealt.mapInArrow(functools.partial(_write, folder=folder, tokenizer=tokenizer, kind=kind, end=end), "path string, first long, docs long, tokens long")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # rows of one id are dealt and ordered by their texts
+    dealt = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(functools.partial(_write, folder=folder, tokenizer=tokenizer, kind=kind, end=end), "path string, part long, docs long, tokens long")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
-    """One row per document from the files alone: doc_id, start, n_tokens, ids_crc32. The running sum is over files, not documents."""
-    w = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    """One row per document from the files alone: doc_id, start, n_tokens, ids_crc32. The running sum is over files, not
+    documents, and the files are dealt to tasks evenly."""
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("start"))
-    return placed.repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, kind: str = "byte", end: int = 0) -> DataFrame:

@@ -1,14 +1,16 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another by linear models over the rates of telling character 5-grams; each later
-model also reads the probabilities of the earlier categories, and is trained on their out-of-fold predictions. The first
-category is the label, and its model alone decides. Rates don't grow with a text, so long clean texts stay.
+model also reads the probabilities of the earlier categories, and is trained on their out-of-fold predictions. The last
+category is the label, and its probability, which reads all earlier ones, decides. Where labels only tell toxic or not,
+the earlier categories are clusters of the toxic texts by their words. Rates don't grow with a text, so long clean texts
+stay.
 """
 
 from __future__ import annotations
 
 import functools
-import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,14 +25,14 @@ from .labelled import labelled_sample, logistic, sigmoid
 GRAM = 5
 #: Characters in which one occurrence of a gram counts whole; in longer texts it counts as its share of a unit.
 UNIT = 600
-#: Longer texts than SPREAD characters enter the fit by PARTS evenly spaced parts of together SPREAD characters.
-SPREAD, PARTS = 200_000, 20
+#: Clusters of toxic texts, and the hashed words by which they are found.
+CLUSTERS, WORDS = 3, 512
 
 
-def grams(text: str) -> set[str]:
-    """Character 5-grams within words; a blank marks where a word begins or ends."""
+def grams(text: str) -> Counter:
+    """Character 5-grams within words, with their number; a blank marks where a word begins or ends."""
     t = f" {' '.join(text.lower().split())} "
-    return {g for i in range(len(t) - GRAM + 1) if " " not in (g := t[i : i + GRAM])[1:-1]}
+    return Counter(g for i in range(len(t) - GRAM + 1) if " " not in (g := t[i : i + GRAM])[1:-1])
 
 
 def count_hits(text: str, automaton) -> Counter:
@@ -81,60 +83,107 @@ class Chain:
         return out
 
 
-def telling_grams(texts: list[str], y: np.ndarray, most: int, least: int) -> list[str]:
-    """The grams most associated with label 1 by the log-likelihood ratio, among those in `least` such texts or more."""
-    pos, n1, n0 = Counter(), int(y.sum()), int(len(y) - y.sum())
-    for t, k in zip(texts, y, strict=True):
-        if k:
-            pos.update(grams(t))
-    pos = Counter({g: c for g, c in pos.items() if c >= least})
-    neg: Counter = Counter()
-    wanted = pos.keys()
-    for t, k in zip(texts, y, strict=True):
-        if not k:
-            neg.update(grams(t) & wanted)
-
-    def ratio(g: str) -> float:
-        a, b = pos[g], neg[g]
-        p = (a + b) / (n1 + n0)
-        if a * n0 <= 3 * b * n1:
-            return 0.0
-        part = lambda k, n: (k * math.log(k / n / p) if k else 0.0) + ((n - k) * math.log((n - k) / n / (1 - p)) if n > k else 0.0)
-        return part(a, n1) + part(b, n0)
-
-    scored = sorted(((ratio(g), g) for g in pos), key=lambda s: (-s[0], s[1]))
-    return [g for s, g in scored[:most] if s > 0]
-
-
-def graded(y: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The categories of the chain where labels only tell toxic or not: toxic; repeatedly so (hits beyond the lower
-    quartile of toxic texts); densely so (hits by word beyond their median)."""
-    rate = hits / np.maximum(words, 1)
-    toxic = y == 1
-    low, mid = (np.quantile(hits[toxic], 0.25), np.median(rate[toxic])) if toxic.any() else (np.inf, np.inf)
-    return np.stack([toxic, toxic & (hits > low), toxic & (rate > mid)], 1).astype(float)
+@dataclass
+class Occurrences:
+    """How often each gram occurs in each text, as parallel arrays; only grams of `least` texts of label 1 are held."""
+
+    names: list[str]
+    text: np.ndarray
+    gram: np.ndarray
+    count: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], y: np.ndarray, least: int) -> Occurrences:
+        found = [grams(t) for t in texts]
+        often = Counter(g for f, k in zip(found, y, strict=True) if k for g in f)
+        names = sorted(g for g, c in often.items() if c >= least)
+        number = {g: i for i, g in enumerate(names)}
+        rows = [(k, number[g], c) for k, f in enumerate(found) for g, c in f.items() if g in number]
+        cols = np.array(rows, np.int64).reshape(-1, 3).T
+        return cls(names, *cols, np.array([len(t) for t in texts]))
+
+    def telling(self, y: np.ndarray, inside: np.ndarray, most: int, least: int) -> np.ndarray:
+        """The grams most associated with label 1 among the texts `inside`, by the log-likelihood ratio."""
+        own, n1 = inside[self.text], int(y[inside].sum())
+        n0, size = int(inside.sum()) - n1, len(self.names)
+        a = np.bincount(self.gram[own & (y[self.text] == 1)], minlength=size).astype(float)
+        b = np.bincount(self.gram[own & (y[self.text] == 0)], minlength=size).astype(float)
+        if not n0 or not n1:
+            return np.zeros(0, np.int64)
+        p = np.clip((a + b) / (n1 + n0), 1e-12, 1 - 1e-12)
+
+        def part(k: np.ndarray, n: int) -> np.ndarray:
+            some, rest = np.maximum(k, 1e-12), np.maximum(n - k, 1e-12)
+            return k * np.log(some / n / p) + (n - k) * np.log(rest / n / (1 - p))
+
+        ratio = np.where((a >= least) & (a * n0 > 3 * b * n1), part(a, n1) + part(b, n0), 0.0)
+        best = np.argsort(-ratio, kind="stable")[:most]
+        return best[ratio[best] > 0]
+
+    def matrix(self, chosen: np.ndarray) -> np.ndarray:
+        """Chain.matrix for the chosen grams."""
+        place = np.full(len(self.names), -1)
+        place[chosen] = np.arange(len(chosen))
+        x = np.zeros((len(self.length), 1 + len(chosen)))
+        x[:, 0] = 1
+        own = place[self.gram] >= 0
+        share = UNIT / np.maximum(self.length, UNIT)
+        x[self.text[own], 1 + place[self.gram[own]]] = np.minimum(1.0, self.count[own] * share[self.text[own]])
+        return x
+
+
+def clusters(texts: list[str], k: int = CLUSTERS, rounds: int = 20) -> np.ndarray:
+    """A cluster of each text: spherical k-means over hashed words, from starts far apart."""
+    v = np.zeros((len(texts), WORDS))
+    for i, t in enumerate(texts):
+        for w, c in Counter(t.lower().split()).items():
+            v[i, zlib.crc32(w.encode()) % WORDS] += c
+    v = np.sqrt(v / np.maximum(v.sum(1, keepdims=True), 1)) - np.sqrt(v / np.maximum(v.sum(1, keepdims=True), 1)).mean(0)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    centre = v[:1]
+    while len(centre) < k:
+        centre = np.concatenate([centre, v[[np.argmin((v @ centre.T).max(1))]]])
+    for _ in range(rounds):
+        own = np.argmax(v @ centre.T, 1)
+        centre = np.stack([v[own == j].sum(0) if (own == j).any() else centre[j] for j in range(k)])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    return np.argmax(v @ centre.T, 1)
+
+
+def targets_of(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """Texts x categories where labels only tell toxic or not: toxic of each cluster, then toxic."""
+    toxic = np.flatnonzero(y == 1)
+    out = np.zeros((len(y), CLUSTERS + 1))
+    out[toxic, clusters([texts[i] for i in toxic])] = 1
+    out[:, -1] = y
+    return out
 
 
 def fit_chain(sample: list[tuple[int, str, int]], categories: list[str] | None = None, targets: np.ndarray | None = None, *, most: int = 512, least: int = 5, folds: int = 5, ridge: float = 1.0) -> Chain:
-    """targets: texts x categories of 0 and 1, in the order of the chain; the first is the label itself. Without
-    targets, `graded` derives them. Folds go by id. A sample of one class fits a chain that never fires."""
-    chain = Chain(categories or ["toxic", "repeated", "dense"])
+    """targets: texts x categories of 0 and 1, in the order of the chain; the last is the label itself. Without targets,
+    `targets_of` derives them. Folds go by id; each chooses its grams and fits its models without its own texts, and
+    gives the out-of-fold probabilities that later models are trained on. A sample of one class fits a chain that never
+    fires."""
+    chain = Chain(categories or [*(f"kind_{i + 1}" for i in range(CLUSTERS)), "toxic"])
     texts, y = [t for _, t, _ in sample], np.array([k for _, _, k in sample], float)
     if not len(y) or y.min() == y.max():
         chain.weights = [np.concatenate([[-5.0], np.zeros(k)]) for k in range(len(chain.categories))]
         return chain
-    chain.grams = telling_grams(texts, y, most, least)
-    x, hits = chain.matrix(texts)
-    t = targets if targets is not None else graded(y, hits, np.array([len(s.split()) for s in texts]))
+    seen, t = Occurrences.of(texts, y, least), targets_of(texts, y) if targets is None else targets
+    every = np.ones(len(y), bool)
+    chosen = seen.telling(y, every, most, least)
+    chain.grams = [seen.names[i] for i in chosen]
+    x = seen.matrix(chosen)
     fold = np.array([i % folds for i, _, _ in sample])
+    inner = [(fold != f, seen.matrix(seen.telling(y, fold != f, most, least))) for f in range(folds) if (fold == f).any() and (fold != f).any()]
     earlier = np.zeros((len(y), 0))
     for k in range(t.shape[1]):
-        own = np.concatenate([x, earlier], 1)
-        chain.weights.append(logistic(own, t[:, k], ridge))
-        outside = np.zeros(len(y))
-        for f in range(folds):
-            inside = fold != f
-            outside[~inside] = sigmoid(own[~inside] @ (logistic(own[inside], t[inside, k], ridge) if inside.any() else chain.weights[-1]))
+        chain.weights.append(logistic(np.concatenate([x, earlier], 1), t[:, k], ridge))
+        outside = sigmoid(np.concatenate([x, earlier], 1) @ chain.weights[-1])  # all ids in one fold: no other texts to fit on
+        for inside, own in inner:
+            own = np.concatenate([own, earlier], 1)
+            outside[~inside] = sigmoid(own[~inside] @ logistic(own[inside], t[inside, k], ridge))
         earlier = np.concatenate([earlier, outside[:, None]], 1)
     return chain
 
@@ -153,19 +202,16 @@ def _clean(batches: Iterator[pa.RecordBatch], at: int, chain: Chain, threshold:
         for i in range(0, b.num_rows, 500):
             part = b.slice(i, 500)
             p = chain.predict(chain.matrix([t or "" for t in part.column(at).to_pylist()])[0])
-            yield part.filter(pa.array(p[:, 0] < threshold))
+            yield part.filter(pa.array(p[:, -1] < threshold))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fits a chain on at most 2 * per_class labelled documents, long ones by parts spread over the whole text."""
-    text, n = F.col(text_col).cast("string"), F.char_length(F.col(text_col).cast("string"))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, (F.floor(i * n / PARTS) + 1).cast("int"), F.lit(SPREAD // PARTS)))
-    spread = docs.select(F.col(id_col), F.when(n > SPREAD, F.array_join(parts, " ")).otherwise(text).alias(text_col))
-    return fit_chain(labelled_sample(spread, labels, label, per_class=per_class, id_col=id_col, text_col=text_col, most_bytes=5 * SPREAD))
+    return fit_chain(labelled_sample(docs, labels, label, per_class=per_class, id_col=id_col, text_col=text_col))
 
 
 def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, p_<category> for each category of the chain, toxic (0 or 1: the first category's
+    """One row per document: doc_id, p_<category> for each category of the chain, toxic (0 or 1: the last category's
     probability reaches the threshold). Whole texts are read.
 
     Null or empty text: no gram, so the constants decide (not toxic). Null ids and repeated rows each get a row. Other
@@ -174,7 +220,7 @@ def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     p = [f"p_{c}" for c in chain.categories]
     scored = src.mapInArrow(functools.partial(_score, chain=chain), "doc_id long, " + ", ".join(f"{c} double" for c in p))
-    return scored.select("doc_id", *p, (F.col(p[0]) >= threshold).cast("int").alias("toxic"))
+    return scored.select("doc_id", *p, (F.col(p[-1]) >= threshold).cast("int").alias("toxic"))
 
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:

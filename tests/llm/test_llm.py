@@ -74,11 +74,41 @@ def test_minhash_equals_brute_force(spark, docs):
 
 
 def test_minhash_blocks_and_bounds():
-    assert sorted({tuple(sorted((a, b))) for m, left in minhash._blocks(np.arange(10_000)) for a, b in [(m[0], m[-1])]})
+    ids, met = np.arange(10_000), np.zeros((10_000, 10_000), np.int8)
+    for m, left in minhash._blocks(ids):
+        a, b = (m[:left], m[left:]) if left else (m, m)
+        met[np.ix_(a, b)] += 1
+    assert (met[np.triu_indices(10_000, 1)] == 1).all()
     least = minhash.min_matches(0.8, 1e-6)
     assert all(0.3 * n < m < 0.8 * n for n, m in least.items())
 
 
+def thue_morse(n):
+    """Two words that a linear hash modulo 2 ** 64 doesn't tell apart."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_words_and_segments_of_equal_linear_hashes(spark):
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    words = [*thue_morse(1024), *thue_morse(4096)]
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    for parts in (1, 2):
+        df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").repartition(parts)
+        assert all(r["kept"] for r in minhash.near_duplicates(df).collect())
+        assert {r["doc_id"]: r["ids"] for r in bpe.encode(df, path).collect()} == {i: enc.encode_ordinary(w) for i, w in enumerate(words)}
+        gone = removed([w.encode() for w in words], 100)
+        assert {r["doc_id"]: sum(e - s for s, e in zip(r["starts"], r["ends"])) for r in suffix.repeated_spans(df).collect()} == {i: int(g.sum()) for i, g in enumerate(gone)}
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        t = Tokenizer.from_file(P.path(name))
+        ids, counts = tokenize.encode([" ".join(words)], P.path(name), kind)
+        assert ids.tolist() == t.encode(" ".join(words), add_special_tokens=False).ids
+
+
 def test_minhash_edge_cases(edge, empty):
     rows = minhash.near_duplicates(edge).orderBy("doc_id").collect()
     assert len(rows) == len(EDGE)
@@ -94,8 +124,12 @@ def test_bpe_equals_tiktoken(spark, edge, empty, docs):
 
     path = P.path("byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    short = edge.where("doc_id is null or doc_id <> 6")
-    assert sorted(map(str, (enc.encode_ordinary(t or "") for i, t in EDGE if i != 6))) == sorted(str(r["ids"]) for r in bpe.encode(short, path).collect())
+    assert sorted(map(str, (enc.encode_ordinary(t or "") for i, t in EDGE))) == sorted(str(r["ids"]) for r in bpe.encode(edge, path).collect())
+    long = ["a" * 1_000_000, "ab" * 64, "ab" * 63, "é" * 64 + "x"]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    encoded = bpe.encode(df, path)
+    assert {r["doc_id"]: r["ids"] for r in encoded.collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(long)}
+    assert {r["doc_id"]: bytes(r["raw"]) for r in encoded.where("doc_id > 0").select("doc_id", bpe.Ranks(path).decode(F.col("ids")).alias("raw")).collect()} == {i: t.encode() for i, t in enumerate(long) if i}
     got = {r["doc_id"]: r for r in queries.op2_byte_bpe(spark, DATA).collect()}
     for i, t in zip(docs.doc_id, docs.text):
         ids = enc.encode_ordinary(t)
@@ -125,8 +159,36 @@ def test_toxicity_on_unseen_labels():
     train, held = [r for r in rows if r[0] % 3], [r for r in rows if r[0] % 3 == 0]
     chain = toxicity.fit_chain(train)
     p = chain.predict(chain.matrix([t for _, t, _ in held])[0])
-    assert p.shape[1] == 3
-    assert np.mean((p[:, 0] >= 0.5) == np.array([y for *_, y in held])) > 0.9
+    assert p.shape[1] == 4
+    assert np.mean((p[:, -1] >= 0.5) == np.array([y for *_, y in held])) > 0.9
+
+
+def test_toxicity_last_link_reads_the_earlier_ones():
+    d = "/root/testdata/sf0.1"
+    m = pd.read_parquet(f"{d}/documents.parquet").merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
+    rows = [(int(i), t, int(y)) for i, t, y in zip(m.doc_id, m.text, m.toxic)][:1500]
+    chain = toxicity.fit_chain(rows)
+    x = chain.matrix([t for _, t, _ in rows])[0]
+    p = chain.predict(x)
+    w = chain.weights[-1].copy()
+    w[-3:] = 0
+    alone = toxicity.Chain(chain.categories, chain.grams, [*chain.weights[:-1], w]).predict(x)
+    assert ((alone[:, -1] >= 0.5) != (p[:, -1] >= 0.5)).any()
+    # brute force: probabilities from the weights, link by link
+    out = np.zeros((len(x), 0))
+    for weights in chain.weights:
+        z = np.concatenate([x, out], 1) @ weights
+        out = np.concatenate([out, (1 / (1 + np.exp(-z)))[:, None]], 1)
+    assert np.abs(out - p).max() < 1e-9
+    # refit of the first two links: the second reads out-of-fold probabilities of the first, whose grams are chosen in the fold
+    y, fold = np.array([k for *_, k in rows], float), np.array([i % 5 for i, _, _ in rows])
+    texts = [t for _, t, _ in rows]
+    seen, t = toxicity.Occurrences.of(texts, y, 5), toxicity.targets_of(texts, y)
+    held = np.zeros(len(y))
+    for f in range(5):
+        own = seen.matrix(seen.telling(y, fold != f, 512, 5))
+        held[fold == f] = toxicity.sigmoid(own[fold == f] @ toxicity.logistic(own[fold != f], t[fold != f, 0]))
+    assert np.abs(toxicity.logistic(np.concatenate([x, held[:, None]], 1), t[:, 1]) - chain.weights[1]).max() < 1e-6
 
 
 def test_toxicity_of_long_texts(spark):
@@ -143,7 +205,7 @@ def test_toxicity_of_long_texts(spark):
                 while sum(map(len, parts)) < size:
                     parts.append(r.choice(held))
                 texts.append("\n".join(parts))
-            assert ((chain.predict(chain.matrix(texts)[0])[:, 0] >= 0.5) == y).all(), (y, size)
+            assert ((chain.predict(chain.matrix(texts)[0])[:, -1] >= 0.5) == y).all(), (y, size)
     # labelled texts of more than SPREAD characters take part in the fit
     long = [(i, ("you idiot and fool " if i % 2 else "you friend and helper ") * 12_000, i % 2) for i in range(20)]
     df = spark.createDataFrame(long, "doc_id long, text string, toxic int").repartition(4)
@@ -308,6 +370,28 @@ def test_pii(spark, edge, empty):
     assert not pii.surrogates(empty, "k").count()
 
 
+def test_pii_names_formats_and_hard_texts(spark):
+    texts = [
+        "Mr. John Smith called. Later John Smith left and Smith wrote; John too. Smithson stayed.", "Dr. Karl Weber and Prof Martin Braun met Dr. Qi Xu",
+        "call +49 30 1234567 or (212) 555-1234, IBAN DE89 3704 0044 0532 0130 00 at 2001:db8::8a2e:370:7334, time 12:30:45", "日本太郎@example.com ß.ø.ł@böse.de Иванё@пример.рф",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.surrogates(df, "k", count="doc_id").columns == ["doc_id", "text"]
+    a, b, c, d = [r["text"] for r in pii.surrogates(df, "k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. Later (\w+) (\w+) left and (\w+) wrote; (\w+) too\. Smithson stayed\.", a)
+    assert m and m[1] == m[3] == m[6] != "John" and m[2] == m[4] == m[5] != "Smith" and m[1] in pii.GIVEN["latin", "m"]
+    m = re.fullmatch(r"Dr\. (\w+) \w+ and Prof (\w+) \w+ met Dr\. (\w+) \w+", b)
+    assert m and m[1] in pii.GIVEN["latin", "m"] and m[2] in pii.GIVEN["latin", "m"] and m[3] in pii.GIVEN["latin", ""]
+    m = re.fullmatch(r"call \+49 \d\d \d{7} or \(\d{3}\) \d{3}-\d{4}, IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) at (\S+), time 12:30:45", c)
+    assert m and "2001" not in m[2] and "1234567" not in c and m[1] != "DE89 3704 0044 0532 0130 00"
+    account = m[1].replace(" ", "")
+    assert int("".join(str(int(x, 36)) for x in account[4:] + account[:4])) % 97 == 1
+    assert not set(d) & set("日本太郎ßøłИванё")
+    big = ["x@" + "a." * 20_000 + " 1", "a." * 500_000 + "@", "token=" + "a" * 1_000_000, "+1 " * 300_000, "1." * 500_000, "A" * 1_000_000, "GB12 " + "ABCD " * 200_000, "Mr. " * 250_000, "1-" * 500_000, "a@" * 500_000, "x@" + "a-" * 500_000, "fe80:" * 200_000, "9" * 1_000_000]
+    hard = spark.createDataFrame([(t,) for t in big], "t string")
+    assert hard.select(F.regexp_replace("t", F.lit(pii.PATTERN), F.lit("@")).alias("t")).where("length(t) > 0").count() == len(big)
+
+
 def test_pii_surrogates_stay_distinct(spark):
     ips = [f"{a}.{b}.7.9" for a in range(20, 60) for b in range(1, 11)]
     df = spark.createDataFrame([(i, f"from {x} on") for i, x in enumerate(ips)], "doc_id long, text string")
