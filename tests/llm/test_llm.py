@@ -386,7 +386,7 @@ def test_pii_names_formats_and_hard_texts(spark):
     assert m and "2001" not in m[2] and "1234567" not in c and m[1] != "DE89 3704 0044 0532 0130 00"
     account = m[1].replace(" ", "")
     assert int("".join(str(int(x, 36)) for x in account[4:] + account[:4])) % 97 == 1
-    assert not set(d) & set("日本太郎ßøłИванё")
+    assert not [x for x in (*"日本太郎ßøł", "böse", "Иванё", "пример") if x in d] and d.isprintable()
     big = ["x@" + "a." * 20_000 + " 1", "a." * 500_000 + "@", "token=" + "a" * 1_000_000, "+1 " * 300_000, "1." * 500_000, "A" * 1_000_000, "GB12 " + "ABCD " * 200_000, "Mr. " * 250_000, "1-" * 500_000, "a@" * 500_000, "x@" + "a-" * 500_000, "fe80:" * 200_000, "9" * 1_000_000]
     hard = spark.createDataFrame([(t,) for t in big], "t string")
     assert hard.select(F.regexp_replace("t", F.lit(pii.PATTERN), F.lit("@")).alias("t")).where("length(t) > 0").count() == len(big)
