@@ -95,13 +95,19 @@ class Occurrences:
 
     @classmethod
     def of(cls, texts: list[str], y: np.ndarray, least: int) -> Occurrences:
-        found = [grams(t) for t in texts]
-        often = Counter(g for f, k in zip(found, y, strict=True) if k for g in f)
+        often: Counter = Counter()
+        for t, k in zip(texts, y, strict=True):
+            if k:
+                often.update(grams(t).keys())
         names = sorted(g for g, c in often.items() if c >= least)
         number = {g: i for i, g in enumerate(names)}
-        rows = [(k, number[g], c) for k, f in enumerate(found) for g, c in f.items() if g in number]
-        cols = np.array(rows, np.int64).reshape(-1, 3).T
-        return cls(names, *cols, np.array([len(t) for t in texts]))
+        owner, gram, count = [], [], []
+        for k, t in enumerate(texts):  # a text's grams at a time: all of them together are many times the texts
+            own = {number[g]: c for g, c in grams(t).items() if g in number}
+            owner.append(np.full(len(own), k, np.int32))
+            gram.append(np.fromiter(own.keys(), np.int32, len(own)))
+            count.append(np.fromiter(own.values(), np.int32, len(own)))
+        return cls(names, np.concatenate(owner), np.concatenate(gram), np.concatenate(count), np.array([len(t) for t in texts]))
 
     def telling(self, y: np.ndarray, inside: np.ndarray, most: int, least: int) -> np.ndarray:
         """The grams most associated with label 1 among the texts `inside`, by the log-likelihood ratio."""
