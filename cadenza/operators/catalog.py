@@ -36,3 +36,10 @@ def playlist_means(items: DataFrame, songs: DataFrame) -> DataFrame:
 def featured_on(items: DataFrame, songs: DataFrame) -> DataFrame:
     """Which artists stand on which playlists."""
     return items.join(songs.select("song_id", "artist_id"), "song_id").select("artist_id", F.col("pid").alias("playlist_id")).distinct()
+
+
+def overlay(songs: DataFrame, first: str, second: str) -> DataFrame:
+    """The radial profiles of two songs side by side: place, category, first, second."""
+    r = radial_profile(songs.where(F.col("name").isin(first, second)))
+    one = lambda name: F.max(F.when(F.col("name") == name, F.col("r")))
+    return r.groupBy("place", "category").agg(one(first).alias("first"), one(second).alias("second"))

@@ -182,3 +182,128 @@ def generations(arcs: DataFrame) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
         nodes, left, k = cut(nodes.join(top, "node", "left_anti")), cut(left.join(top.select(F.col("node").alias("a")), "a", "left_anti")), k + 1
     return out if out is not None else nodes.withColumn("generation", F.lit(0))
+
+
+def weight_split(edges: DataFrame, at: float) -> DataFrame:
+    """a, b, weight, heavy: whether the weight is above `at`."""
+    return edges.withColumn("heavy", F.col("weight") > at)
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """component, n, largest: sizes of the components, and which is the largest (the smallest name of equal ones)."""
+    sizes = components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    best = F.broadcast(sizes.agg(F.max_by("component", F.struct("n", (-F.col("component")).alias("o"))).alias("best")))
+    return sizes.join(best).select("component", "n", (F.col("component") == F.col("best")).alias("largest"))
+
+
+def hub(edges: DataFrame) -> DataFrame:
+    """The node of the highest degree, the smallest of equal ones."""
+    return degrees(edges).agg(F.max_by("node", F.struct("degree", (-F.col("node")).alias("o"))).alias("node"), F.max("degree").alias("degree"))
+
+
+def path_histogram(edges: DataFrame) -> DataFrame:
+    """distance, n: ordered pairs of connected nodes by their distance."""
+    return all_sources(edges).groupBy("distance").agg(F.count("*").alias("n"))
+
+
+def eccentricities(edges: DataFrame) -> DataFrame:
+    """node, eccentricity, centre, periphery within the whole graph's radius and diameter."""
+    far = cut(all_sources(edges).groupBy(F.col("source").alias("node")).agg(F.max("distance").alias("eccentricity")))
+    ends = F.broadcast(far.agg(F.min("eccentricity").alias("radius"), F.max("eccentricity").alias("diameter")))
+    return far.join(ends).select("node", "eccentricity", (F.col("eccentricity") == F.col("radius")).alias("centre"), (F.col("eccentricity") == F.col("diameter")).alias("periphery"))
+
+
+def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: the modularity of a partition (node, part)."""
+    part = lambda c: groups.select(F.col("node").alias(c), F.col("part").alias("p" + c))
+    inside = edges.join(part("a"), "a").join(part("b"), "b").where("pa = pb").groupBy(F.col("pa").alias("part")).agg(F.count("*").alias("l"))
+    total = F.broadcast(edges.agg(F.count("*").alias("m")))
+    ends = degrees(edges).join(groups, "node").groupBy("part").agg(F.sum("degree").alias("d"))
+    term = F.coalesce("l", F.lit(0)) / F.col("m") - (F.col("d") / (2.0 * F.col("m"))) * (F.col("d") / (2.0 * F.col("m")))
+    return ends.join(inside, "part", "left").join(total).agg(F.round(F.sum(term), 6).alias("modularity"))
+
+
+def same_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges whose ends have one label (node, label)."""
+    one = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+    return edges.join(one("a"), "a").join(one("b"), "b").where("la = lb").select("a", "b")
+
+
+def quotient(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b, n: the edges between parts (node, part), the smaller part first; edges within a part too."""
+    one = lambda c: groups.select(F.col("node").alias(c), F.col("part").alias("p" + c))
+    ends = edges.join(one("a"), "a").join(one("b"), "b")
+    return ends.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.count("*").alias("n"))
+
+
+def multiplicity(edges: DataFrame) -> DataFrame:
+    """a, b, n of a multigraph: parallel edges counted, whichever way they run."""
+    return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+
+
+def digit_squares(numbers: DataFrame) -> DataFrame:
+    """n, image, fixed: the sum of the squares of n's decimal digits, and whether it is n."""
+    digits = F.transform(F.regexp_extract_all(F.col("n").cast("string"), F.lit("[0-9]"), F.lit(0)), lambda d: d.cast("long") * d.cast("long"))
+    image = F.aggregate(digits, F.lit(0).cast("long"), lambda s, x: s + x)
+    return numbers.select("n", image.alias("image")).withColumn("fixed", F.col("n") == F.col("image"))
+
+
+def circular_distance(edges: DataFrame, size: int) -> DataFrame:
+    """a, b, distance: steps between the ends on a circle of `size` nodes."""
+    d = F.pmod(F.abs(F.col("a") - F.col("b")), F.lit(size))
+    return edges.select("a", "b", F.least(d, F.lit(size) - d).alias("distance"))
+
+
+def nearest(points: DataFrame, x: float, y: float) -> DataFrame:
+    """The node (node, x, y) nearest to a point, the smallest of equal ones."""
+    d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    return points.agg(F.min_by("node", F.struct(d, "node")).alias("node"))
+
+
+def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """node, label after so many rounds: each node takes the most frequent label of its neighbours, the smallest of equal ones."""
+    both = cut(both_ways(edges))
+    now = cut(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
+    for _ in range(rounds):
+        votes = both.join(now.withColumnRenamed("node", "v"), "v").groupBy("u", "label").agg(F.count("*").alias("n"))
+        now = cut(votes.groupBy(F.col("u").alias("node")).agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("o"))).alias("label")))
+    return now
+
+
+def eigenvector(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, centrality by power iteration of the adjacency and the identity, of length 1."""
+    both = cut(both_ways(edges))
+    now = cut(both.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)))
+    for _ in range(rounds):
+        got = both.join(now.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("x").alias("s"))
+        new = now.join(got, "node").select("node", (F.col("x") + F.col("s")).alias("x"))
+        norm = F.broadcast(new.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")))
+        now = cut(new.join(norm).select("node", (F.col("x") / F.col("norm")).alias("x")))
+    return now.select("node", F.round("x", 6).alias("centrality"))
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """a, b, weight of a minimum spanning forest: each round joins every part to another by its lightest edge; ties go by ends."""
+    left = cut(edges.select("a", "b", "weight", F.col("a").alias("pa"), F.col("b").alias("pb")))
+    chosen = None
+    while not left.isEmpty():
+        ways = left.select("pa", "a", "b", "weight").unionByName(left.select(F.col("pb").alias("pa"), "a", "b", "weight"))
+        best = ways.groupBy("pa").agg(F.min(F.struct("weight", "a", "b")).alias("e")).select("e.a", "e.b", "e.weight").distinct()
+        chosen = cut(best if chosen is None else chosen.unionByName(best).distinct())
+        part = cut(components(chosen.select("a", "b")))
+        one = lambda c: part.select(F.col("node").alias(c), F.col("component").alias("p" + c))  # noqa: B023, E731
+        left = cut(edges.join(one("a"), "a", "left").join(one("b"), "b", "left").select("a", "b", "weight", F.coalesce("pa", "a").alias("pa"), F.coalesce("pb", "b").alias("pb")).where("pa <> pb"))
+    return chosen if chosen is not None else edges.select("a", "b", "weight")
+
+
+def path_between(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """step, node of a shortest path, by smallest predecessors; no rows where there is none."""
+    far = cut(path_lengths(edges, source))
+    back = both_ways(edges).join(far.select(F.col("node").alias("u"), F.col("distance").alias("d")), "u")
+    before = cut(back.join(far.select(F.col("node").alias("v"), F.col("distance").alias("dv")), "v").where("d = dv - 1").groupBy("v").agg(F.min("u").alias("u")))
+    here = far.where(F.col("node") == target).select(F.col("distance").cast("int").alias("step"), "node")
+    out = here = cut(here)
+    while not here.isEmpty():
+        here = cut(here.join(before, F.col("node") == F.col("v")).select((F.col("step") - 1).alias("step"), F.col("u").alias("node")))
+        out = out.unionByName(here)
+    return out

@@ -103,7 +103,7 @@ def similarity_graph_nodes(spark, d):
     return R.enumerated(R.playlist_items(spark, d)).join(R.songs(spark, d), "song_id").select("pid", "r", F.col("name").alias("id"))
 
 
-@query(graph_sql(100, ITEMS, "SELECT pid, i, j, source, target, score, round(log10(score * 100), 9) AS value FROM hits WHERE i < j"))
+@query(f"WITH {SONGS}, {ITEMS}, {vectors_sql(100)}, {PAIRS.replace('a.r <> b.r', 'a.r < b.r')} SELECT pid, i, j, source, target, score, round(log10(score * 100), 9) AS value FROM hits")
 def similarity_undirected(spark, d):
     return M.undirected_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), pop_div=100)
 
@@ -253,7 +253,7 @@ def email_extract(spark, d):
 @query("""WITH e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS email, lang FROM documents),
 known AS (SELECT DISTINCT email FROM e WHERE lang = 'en'), tried AS (SELECT DISTINCT email FROM e UNION SELECT 'not an address')
 SELECT t.email, CAST(CASE WHEN t.email = 'not an address' OR k.email IS NOT NULL THEN 400 ELSE 200 END AS INT) AS status,
-CASE WHEN t.email = 'not an address' THEN 'Invalid email address' WHEN k.email IS NOT NULL THEN 'Email already subscribed' ELSE 'Subscribed' END AS message FROM tried t LEFT JOIN known k ON t.email = k.email""")
+CASE WHEN t.email = 'not an address' THEN 'Invalid email address.' WHEN k.email IS NOT NULL THEN 'Email already subscribed.' ELSE 'Email subscribed successfully.' END AS message FROM tried t LEFT JOIN known k ON t.email = k.email""")
 def mailing_list_upsert(spark, d):
     e = R.table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), F.lit(0))).alias("email"))
     tried = e.select("email").unionByName(spark.createDataFrame([("not an address",)], "email string"))
@@ -412,3 +412,109 @@ def word_graph(spark, d):
 def graph_generations(spark, d):
     """Edges run from the smaller id to the larger, so there is no cycle."""
     return G.generations(partner_edges(spark, d))
+
+
+# --------------------------------------------------------------------------- further graph operators
+
+_HOPS = f"WITH RECURSIVE {EDGES}, hop AS (SELECT node AS s, node AS t, 0 AS d FROM deg UNION SELECT s, v, d + 1 FROM hop JOIN ways2 ON t = u WHERE d < 15), far AS (SELECT s, t, min(d) AS d FROM hop GROUP BY 1, 2)"
+
+
+@query(f"{_REACH}, c AS (SELECT s AS node, min(t) AS component FROM reach GROUP BY 1), z AS (SELECT component, count(*) AS n FROM c GROUP BY 1) SELECT component, n, row_number() OVER (ORDER BY n DESC, component) = 1 AS largest FROM z")
+def graph_component_sizes(spark, d):
+    return G.component_sizes(partner_edges(spark, d))
+
+
+@query(f"WITH {EDGES} SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 1")
+def graph_hub(spark, d):
+    return G.hub(partner_edges(spark, d))
+
+
+@query(f"{_HOPS} SELECT CAST(d AS INT) AS distance, count(*) AS n FROM far GROUP BY 1")
+def graph_path_histogram(spark, d):
+    return G.path_histogram(partner_edges(spark, d))
+
+
+@query(f"{_HOPS}, e AS (SELECT s AS node, CAST(max(d) AS INT) AS eccentricity FROM far GROUP BY 1) SELECT node, eccentricity, eccentricity = (SELECT min(eccentricity) FROM e) AS centre, eccentricity = (SELECT max(eccentricity) FROM e) AS periphery FROM e")
+def graph_eccentricity(spark, d):
+    return G.eccentricities(partner_edges(spark, d))
+
+
+def supplier_nations(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias(name))
+
+
+@query(f"""WITH {EDGES}, p AS (SELECT s_suppkey AS node, s_nationkey AS part FROM supplier), m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM edges),
+l AS (SELECT x.part, count(*) AS l FROM edges JOIN p x ON a = x.node JOIN p y ON b = y.node WHERE x.part = y.part GROUP BY 1), dd AS (SELECT part, sum(degree) AS d FROM deg JOIN p USING (node) GROUP BY 1)
+SELECT round(sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM dd LEFT JOIN l ON dd.part = l.part, m""")
+def graph_modularity(spark, d):
+    return G.modularity(partner_edges(spark, d), supplier_nations(spark, d, "part"))
+
+
+@query(f"WITH {EDGES} SELECT a, b FROM edges JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey WHERE x.s_nationkey = y.s_nationkey")
+def graph_same_label(spark, d):
+    return G.same_label(partner_edges(spark, d), supplier_nations(spark, d, "label"))
+
+
+@query(f"WITH {EDGES} SELECT least(x.s_nationkey, y.s_nationkey) AS a, greatest(x.s_nationkey, y.s_nationkey) AS b, count(*) AS n FROM edges JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey GROUP BY 1, 2")
+def graph_quotient(spark, d):
+    return G.quotient(partner_edges(spark, d), supplier_nations(spark, d, "part"))
+
+
+@query("WITH bip AS (SELECT DISTINCT l_suppkey AS lft, l_partkey AS rgt FROM lineitem) SELECT x.lft AS a, y.lft AS b, count(*) AS weight, count(*) > 2 AS heavy FROM bip x JOIN bip y ON x.rgt = y.rgt AND x.lft < y.lft GROUP BY 1, 2")
+def graph_weight_split(spark, d):
+    return G.weight_split(bipartite_projection(spark, d), 2)
+
+
+@query("SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def graph_multiplicity(spark, d):
+    return G.multiplicity(R.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
+
+
+@query("SELECT p_partkey AS n, CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda x: CAST(x AS BIGINT) * CAST(x AS BIGINT))) AS BIGINT) AS image, image = p_partkey AS fixed FROM part")
+def graph_digit_squares(spark, d):
+    return G.digit_squares(R.table(spark, d, "part").select(F.col("p_partkey").alias("n")))
+
+
+@query(f"WITH {EDGES} SELECT a, b, least(abs(a - b) % 1000, 1000 - abs(a - b) % 1000) AS distance FROM edges")
+def graph_circular_distance(spark, d):
+    return G.circular_distance(partner_edges(spark, d), 1000)
+
+
+@query("SELECT p_partkey AS node FROM part ORDER BY (p_size - 25) * (p_size - 25) + (p_retailprice - 1000) * (p_retailprice - 1000), p_partkey LIMIT 1")
+def graph_nearest(spark, d):
+    return G.nearest(R.table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y")), 25, 1000)
+
+
+@query()
+def graph_label_propagation(spark, d):
+    return G.label_propagation(partner_edges(spark, d))
+
+
+@query()
+def graph_eigenvector(spark, d):
+    return G.eigenvector(partner_edges(spark, d), rounds=20)
+
+
+@query()
+def graph_spanning_forest(spark, d):
+    return G.spanning_forest(bipartite_projection(spark, d))
+
+
+@query()
+def graph_path_between(spark, d):
+    return G.path_between(partner_edges(spark, d), 1, 2)
+
+
+@query(f"""WITH {SONGS}, r AS (SELECT song_id, unnest([0, 1, 2, 3, 4, 5]) AS place, unnest(['danceability', 'energy', 'mode', 'valence', 'tempo', 'danceability']) AS category, unnest([danceability, energy, mode / CAST(5 AS DOUBLE), valence, tempo / CAST(10000 AS DOUBLE), danceability]) AS r FROM songs WHERE song_id IN (1, 2))
+SELECT place, category, max(CASE WHEN song_id = 1 THEN r END) AS "first", max(CASE WHEN song_id = 2 THEN r END) AS "second" FROM r GROUP BY 1, 2""")
+def radial_overlay(spark, d):
+    songs = R.songs(spark, d)
+    two = songs.where("song_id in (1, 2)").withColumn("name", F.col("song_id").cast("string"))
+    return C.overlay(two, "1", "2")
+
+
+@query(f"WITH {SONGS}, {vectors_sql(100)}, e AS (SELECT a.name FROM vec a JOIN vec b ON b.song_id = 1 AND a.name <> b.name WHERE {COSINE} > 0.97 UNION SELECT name FROM vec WHERE song_id = 1) SELECT song_id, name, genre FROM songs WHERE name IN (SELECT name FROM e)")
+def comparison_nodes(spark, d):
+    songs = R.songs(spark, d)
+    probe = songs.where("song_id = 1")
+    return M.comparison_nodes(songs, M.compare_track(songs, probe, pop_div=100), probe).select("song_id", "name", "genre")

@@ -10,6 +10,15 @@ TOP_TRACKS = "tracks array<struct<name: string, uri: string>>"
 HEADER = "name string, owner struct<display_name: string, uri: string>, followers struct<total: int>, description string, images array<struct<url: string>>"
 
 
+SEARCH = "tracks struct<items: array<struct<name: string, uri: string, artists: array<struct<name: string, uri: string>>>>>, artists struct<items: array<struct<name: string, uri: string, genres: array<string>>>>, playlists struct<items: array<struct<name: string, uri: string, owner: struct<display_name: string, uri: string>>>>"
+FEATURES = "uri string, danceability double, energy double, mode int, valence double, tempo double, key int"
+TRACK = "uri string, name string, popularity int, artists array<struct<name: string, uri: string>>"
+ARTIST = "uri string, name string, genres array<string>"
+CATEGORIES = "categories struct<items: array<struct<id: string, name: string>>>"
+PLAYLISTS = "playlists struct<items: array<struct<name: string, uri: string, description: string>>>"
+GRAPH = "nodes array<struct<id: string>>, links array<struct<source: string, target: string, value: double>>"
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
@@ -28,6 +37,58 @@ def header(doc: DataFrame) -> DataFrame:
     return doc.select("name", F.to_json(F.array("owner.display_name", "owner.uri")).alias("owner"), F.col("followers.total").alias("follow_count"), "description", F.try_element_at("images", F.lit(1)).getField("url").alias("cover_image"))
 
 
+def search_hits(doc: DataFrame, category: str) -> DataFrame:
+    """pos, name, subtitle, uri of a search document: the first artist of a track, the genres of an artist, the owner of a playlist."""
+    subtitle = {"track": F.try_element_at("hit.artists", F.lit(1)).getField("name"), "artist": F.array_join("hit.genres", ", "), "playlist": F.col("hit.owner.display_name")}
+    if category not in subtitle:
+        raise ValueError(f"unknown category {category}")
+    return doc.select(F.posexplode(f"{category}s.items").alias("pos", "hit")).where("hit is not null").select("pos", "hit.name", subtitle[category].alias("subtitle"), "hit.uri")
+
+
+def track_details(doc: DataFrame) -> DataFrame:
+    """uri, name, popularity, artist_uri: the first artist."""
+    return doc.select("uri", "name", "popularity", F.try_element_at("artists", F.lit(1)).getField("uri").alias("artist_uri"))
+
+
+def categories(doc: DataFrame) -> DataFrame:
+    return doc.select(F.posexplode("categories.items").alias("pos", "c")).select("pos", "c.id", "c.name")
+
+
+def listed_playlists(doc: DataFrame) -> DataFrame:
+    """pos, name, uri, description of a featured or category document."""
+    return doc.select(F.posexplode("playlists.items").alias("pos", "p")).where("p is not null").select("pos", "p.name", "p.uri", "p.description")
+
+
+def graph_nodes(doc: DataFrame) -> DataFrame:
+    return doc.select(F.explode("nodes").alias("n")).select("n.id")
+
+
+def graph_links(doc: DataFrame) -> DataFrame:
+    return doc.select(F.explode("links").alias("l")).select("l.source", "l.target", "l.value")
+
+
+def literal_list(spark: SparkSession, names: list[str]) -> DataFrame:
+    """A given list as rows: pos, name."""
+    return spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, *, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, **options: str) -> DataFrame:
+    """A table of a relational database; with a numeric key and its bounds it is read by several tasks."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
+    return reader.load()
+
+
+def read_edges(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
+    """a, b of an edge list; lines that begin with # are comments."""
+    return spark.read.schema("a string, b string").option("sep", sep).option("comment", "#").csv(path)
+
+
+def write_edges(edges: DataFrame, path: str, sep: str = " ") -> None:
+    edges.select("a", "b").write.option("sep", sep).csv(path)
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path: the files of a folder in ascending order."""
     return spark.read.format("binaryFile").load(folder).select("path").orderBy("path")

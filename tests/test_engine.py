@@ -97,6 +97,56 @@ def test_graph(spark):
     assert [tuple(r) for r in G.word_graph(words).collect()] == [("cat", "cot")]
 
 
+def test_graph_iterations(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (6, 7)], "a long, b long")
+    assert [(r["step"], r["node"]) for r in G.path_between(e, 1, 4).orderBy("step").collect()] == [(0, 1), (1, 3), (2, 4)]
+    assert not G.path_between(e, 1, 7).count()
+    w = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 3.0), (3, 4, 1.0), (6, 7, 5.0)], "a long, b long, weight double")
+    assert {(r["a"], r["b"]) for r in G.spanning_forest(w).collect()} == {(1, 2), (2, 3), (3, 4), (6, 7)}
+    assert {r["node"]: r["label"] for r in G.label_propagation(e, 1).collect()} == {1: 2, 2: 1, 3: 1, 4: 3, 6: 7, 7: 6}
+    import numpy as np
+
+    a = np.eye(4)
+    for i, j in ((0, 1), (1, 2), (0, 2), (2, 3)):
+        a[i, j] = a[j, i] = 1
+    x = np.ones(4)
+    for _ in range(10):
+        x = a @ x
+        x /= np.linalg.norm(x)
+    got = {r["node"]: r["centrality"] for r in G.eigenvector(e.where("a < 5"), 10).collect()}
+    assert all(abs(got[i + 1] - x[i]) < 1e-5 for i in range(4))
+
+
+def test_exactly_one_users_and_playlists(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "name string, v int")
+    assert I.exactly_one(one, ["name"]).count() == 2
+    with pytest.raises(Exception, match="not exactly one row for a"):
+        I.exactly_one(one.unionByName(one.where("v = 1")), ["name"]).collect()
+    users = spark.createDataFrame([("a@b.co", "x")], "email string, name string")
+    assert I.insert_users(users, spark.createDataFrame([("a@b.co", "y"), ("n@b.co", "z"), ("bad", "q")], "email string, name string")).count() == 2
+    head = spark.createDataFrame([("p:1", "mix")], "uri string, name string")
+    items = spark.createDataFrame([(0, "t", "u0"), (1, "s", "u1"), (2, "t", "u2")], "pos int, name string, uri string")
+    songs = spark.createDataFrame([("u1", "s", "a:1"), ("u2", "t", "a:1")], "uri string, name string, artist_uri string")
+    out = I.ingest_playlist(head, items, songs)
+    assert {tuple(r) for r in out["playlist_songs"].collect()} == {("p:1", "u1"), ("p:1", "u2")} and [tuple(r) for r in out["artist_playlists"].collect()] == [("a:1", "p:1")]
+    links = spark.createDataFrame([("a", "b"), ("a", "z")], "source string, target string")
+    assert [r["target"] for r in M.dangling_links(links, spark.createDataFrame([("a",), ("b",)], "id string")).collect()] == ["z"]
+
+
+def test_landed_search_and_edges(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"tracks": {"items": [{"name": "t", "uri": "u", "artists": [{"name": "A", "uri": "a"}]}, {"name": "x", "uri": "v", "artists": []}]}}')
+    doc = L.read_json(spark, str(tmp_path / "s.json"), L.SEARCH)
+    assert [tuple(r) for r in L.search_hits(doc, "track").collect()] == [(0, "t", "A", "u"), (1, "x", None, "v")]
+    with pytest.raises(ValueError):
+        L.search_hits(doc, "album")
+    (tmp_path / "f.json").write_text('{"playlists": {"items": [{"name": "p", "uri": "u", "description": "d"}]}}')
+    assert [tuple(r) for r in L.listed_playlists(L.read_json(spark, str(tmp_path / "f.json"), L.PLAYLISTS)).collect()] == [(0, "p", "u", "d")]
+    edges = spark.createDataFrame([("a", "b"), ("c", "d")], "a string, b string")
+    L.write_edges(edges, str(tmp_path / "edges"))
+    assert {tuple(r) for r in L.read_edges(spark, str(tmp_path / "edges")).collect()} == {("a", "b"), ("c", "d")}
+    assert [tuple(r) for r in L.literal_list(spark, ["x", "y"]).collect()] == [(0, "x"), (1, "y")]
+
+
 def test_landed_documents(spark, tmp_path):
     (tmp_path / "items.json").write_text('{"items": [{"track": {"name": "a", "uri": "u"}}, {"track": null}]}')
     assert [tuple(r) for r in L.playlist_tracks(L.read_json(spark, str(tmp_path / "items.json"), L.ITEMS)).collect()] == [(0, "a", "u")]
