@@ -3,7 +3,7 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier (in a document of smaller id, or further
 left in the same one). Strings are dealt to tasks by content: each string of `length` bytes has an anchor, the leftmost
 of its k-grams with the smallest hash, so equal strings have equal anchors. A run of strings with one anchor is a
-segment. Segments meet by the anchor's fingerprint; equal segments (by a keyed 128-bit hash of their bytes) are combined
+segment. Segments meet by the anchor's fingerprint; equal segments (by 96 bits of a keyed hash of their bytes) are combined
 before the shuffle, and only those that share an anchor with a different segment have their bytes fetched, put into a
 suffix array and compared with their neighbours in it. Anchors with very many different segments are dealt again by
 nearly whole strings.
@@ -37,7 +37,7 @@ _U = np.uint64
 KEY = 0x2545F4914F6CDD1D
 #: Bytes of text to a partition at most, about; more partitions than spark.sql.shuffle.partitions if that takes it.
 PART_BYTES = 64_000_000
-SEGMENT = np.dtype([("fp", "u8"), ("ch", "u8"), ("ch2", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1")])
+SEGMENT = np.dtype([("fp", "u8"), ("ch", "u8"), ("ch2", "u4"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1")])
 MARK = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
 REQUEST = np.dtype([("fp", "u8"), ("doc", "i8"), ("lo", "u4"), ("anchor", "u1"), ("n", "u1"), ("hot", "u1")])
 PIECE = np.dtype([("doc", "i8"), ("lo", "u4"), ("size", "u2"), ("n", "u2"), ("part", "u2")])
@@ -253,7 +253,7 @@ def _segments(ids: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     lo, hi, p = start[b], start[e], anchor[b]
     named = xxhash.xxh3_128_digest
     names = np.frombuffer(b"".join([named(raw[i:j], KEY) for i, j in zip(lo.tolist(), (hi + length).tolist(), strict=True)]), _U).reshape(-1, 2)
-    out["fp"], out["ch"], out["ch2"] = mix(gram[p], 5), names[:, 0], names[:, 1]
+    out["fp"], out["ch"], out["ch2"] = mix(gram[p], 5), names[:, 0], (names[:, 1] >> _U(32)).astype(np.uint32)
     out["doc"], out["lo"], out["anchor"], out["n"] = ids[doc[b]], lo - first[doc[b]], p - lo, hi - lo + 1
     return out
 
