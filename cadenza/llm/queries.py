@@ -82,4 +82,47 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_dedup, op2_byte_bpe, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op8_pii_surrogates, op9_gif_media, op10_best_fit_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Links within (x, y) become each row's smallest reachable id; `links` holds both directions.
+_REACH = """reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]) END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT c.x, c.y FROM common c JOIN sizes a ON a.doc_id = c.x JOIN sizes b ON b.doc_id = c.y WHERE 100 * c.n >= 80 * (a.n + b.n - c.n)),
+{_REACH}
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.y, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = d.doc_id""",
+    "op4_vector_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(embedding, lambda z: z <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+{_REACH}
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id, e.vec_id <= coalesce(l.y, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.x = e.vec_id LEFT JOIN least l ON l.x = e.vec_id""",
+    "op6_suffix_array_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+-- windows are cut from slices of 500 starts, so that no long text is walked for each of them
+slices AS (SELECT doc_id, k, substring(h, 1000 * k + 1, 1198) AS h FROM (SELECT doc_id, h, unnest(range(0, n // 500 + 1)) AS k FROM h WHERE n >= 100)),
+windows AS (SELECT doc_id, 500 * k + j AS p, substring(h, 2 * j + 1, 200) AS s FROM (SELECT doc_id, k, h, unnest(range(0, 500)) AS j FROM slices) WHERE length(h) >= 2 * j + 200),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1),
+gaps AS (SELECT doc_id, p, p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS fresh FROM later),
+runs AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM gaps),
+spans AS (SELECT doc_id, run, min(p) AS s, max(p) + 100 AS e FROM runs GROUP BY doc_id, run),
+between_ AS (SELECT h.doc_id, h.h, coalesce(x.s, h.n) AS upto, x.e FROM h LEFT JOIN spans x USING (doc_id) UNION ALL SELECT h.doc_id, h.h, h.n, NULL FROM h WHERE doc_id IN (SELECT doc_id FROM spans)),
+pieces AS (SELECT doc_id, upto, substring(h, (2 * b + 1)::BIGINT, (2 * (upto - b))::BIGINT) AS t FROM (SELECT doc_id, h, upto, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY upto, e NULLS LAST), 0) AS b FROM between_)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(t, '' ORDER BY upto))) AS k FROM pieces GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(e - s)::BIGINT AS n, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT h.doc_id, h.n AS n_bytes, coalesce(r.n, 0) AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, k.k AS kept_sha256
+FROM h JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)""",
+}
