@@ -1,14 +1,16 @@
 """Near-duplicate vectors by random-hyperplane sign hashing in several tables, exact cosines and connected components.
 
-Equal vectors of one label are one class. A table's key is the label and BITS signs; classes that share a key form
+Equal vectors of one label are one class. A table's key is the label and some signs; classes that share a key form
 blocks, in which matrix products give exact cosines. A pair counts in the first table that brings it together, so link
-counts are sums over blocks; each block also yields a spanning forest of its links. With 14 signs in 80 tables a pair
-at cosine 0.93 is missed with probability 5e-7.
+counts are sums over blocks; each block also yields a spanning forest of its links. The signs of a key follow the number
+of different vectors of its label, so a vector meets a bounded number of strangers in a table however large the label;
+the tables follow the signs, so a pair at the threshold is missed with the same probability in labels of every size.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import struct
 from collections.abc import Iterator
 
@@ -18,34 +20,56 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_batches, connected_components, mix
+from .common import Scratch, as_batches, connected_components, join_spread, mix
 from .minhash import _buckets, _groups, distinct_blocks
 
-BITS, TABLES = 14, 80
-#: Further signs of a vector, and the most of them in which linked vectors differ: at cosine 0.93 more do with
-#: probability 1e-10, and two random vectors differ in no more than these with 2e-5.
-SKETCH, DIFFER = 128, 40
+#: Least and most signs of a key, and the probability with which a pair at the threshold shares none.
+LEAST_BITS, MOST_BITS, MISS = 14, 40, 5e-7
+#: Further signs of a vector, and the probability with which linked vectors differ in too many of them.
+SKETCH, SKETCH_MISS = 128, 1e-10
 #: Members up to which a bucket is compared by sketch; larger ones go on whole.
 SMALL = 16
 _U = np.uint64
-_planes: dict[int, np.ndarray] = {}
+_planes: dict[tuple[int, int], np.ndarray] = {}
 
 
-def planes(size: int) -> np.ndarray:
+def bits(members: int) -> int:
+    """Signs of a key in a label of so many vectors: in a table, a quarter of a stranger for each vector."""
+    return min(max(math.ceil(math.log2(max(members, 1))) + 2, LEAST_BITS), MOST_BITS)
+
+
+def tables(n_bits: int, least: float) -> int:
+    """The fewest tables in which vectors at cosine `least` share no key with probability MISS at most."""
+    same = min(1 - math.acos(min(least, 1.0)) / math.pi, 1 - 1e-9) ** n_bits
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-same)))
+
+
+def differ(least: float) -> int:
+    """The fewest signs of SKETCH that vectors at cosine `least` exceed in differences with probability SKETCH_MISS at most."""
+    q, tail, d = math.acos(min(least, 1.0)) / math.pi, 0.0, SKETCH
+    while d and (tail := tail + math.comb(SKETCH, d) * q**d * (1 - q) ** (SKETCH - d)) <= SKETCH_MISS:
+        d -= 1
+    return d
+
+
+def planes(size: int, count: int) -> np.ndarray:
     """Integer-valued normal vectors: products with scaled components are exact, so signs never depend on the batch."""
-    if size not in _planes:
-        _planes[size] = np.rint(np.random.default_rng(20240601 + size).standard_normal((size, BITS * TABLES + SKETCH)) * 256)
-    return _planes[size]
+    if (size, count) not in _planes:
+        _planes[size, count] = np.rint(np.random.default_rng(20240601 + size).standard_normal((size, count)) * 256)
+    return _planes[size, count]
 
 
-def signs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n x TABLES keys of BITS signs, n x 2 words of the sketch)."""
-    unit = np.rint(v / np.sqrt((v * v).sum(1, keepdims=True)) * 2.0**20)
-    bits = unit @ planes(v.shape[1]) >= 0
-    keys = np.zeros((len(v), TABLES), np.int64)
-    for j in range(BITS):
-        keys |= bits[:, j : TABLES * BITS : BITS].astype(np.int64) << j
-    return keys, np.packbits(bits[:, TABLES * BITS :], axis=1).view(np.int64)
+def signs(v: np.ndarray, n_bits: int, n_tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n x n_tables keys of n_bits signs, n x 2 words of the sketch)."""
+    keys, sketch = np.zeros((len(v), n_tables), np.int64), np.zeros((len(v), SKETCH // 64), np.int64)
+    normals, cut = planes(v.shape[1], n_bits * n_tables + SKETCH), n_bits * n_tables
+    for i in range(0, len(v), 1000):
+        part = v[i : i + 1000]
+        found = np.rint(part / np.sqrt((part * part).sum(1, keepdims=True)) * 2.0**20) @ normals >= 0
+        for j in range(n_bits):
+            keys[i : i + 1000] |= found[:, j:cut:n_bits].astype(np.int64) << j
+        sketch[i : i + 1000] = np.packbits(found[:, cut:], axis=1).view(np.int64)
+    return keys, sketch
 
 
 def _unit_safe(values: list | None) -> bytes | None:
@@ -76,21 +100,24 @@ def matrix(raw: list[bytes]) -> np.ndarray:
     return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(label, members, vec_id, vec) -> a row for each table; `band` is the number of signs x 65536 + the table."""
     for b in batches:
         raw, ids = b.column("vec").to_pylist(), b.column("vec_id").to_numpy()
-        labels = [xxhash.xxh64_intdigest(x) for x in b.column("label").to_pylist()]
-        sizes = np.array([len(x) for x in raw])
-        for size in np.unique(sizes):
-            for part in np.array_split(np.flatnonzero(sizes == size), max(1, int((sizes == size).sum() // 1000))):
-                s, sketch = signs(matrix([raw[i] for i in part]))
-                s = s.astype(_U)
-                h = np.array([labels[i] for i in part], _U) + _U(size)
-                key = mix(mix(h)[:, None] + s + (np.arange(TABLES, dtype=_U) << _U(32))[None, :]).view(np.int64)
-                yield from as_batches(pa.table({"key": key.ravel(), "band": np.tile(np.arange(TABLES, dtype=np.int32), len(part)), "doc_id": np.repeat(ids[part], TABLES), "s0": np.repeat(sketch[:, 0], TABLES), "s1": np.repeat(sketch[:, 1], TABLES)}), 100_000)
-
-
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = np.array([xxhash.xxh64_intdigest(x) for x in b.column("label").to_pylist()], _U)
+        sizes, n_bits = np.array([len(x) for x in raw]), np.array([bits(n) for n in b.column("members").to_pylist()])
+        for size, n in sorted(set(zip(sizes.tolist(), n_bits.tolist(), strict=True))):
+            t = tables(n, least)
+            at = np.flatnonzero((sizes == size) & (n_bits == n))
+            for part in np.array_split(at, -(-len(at) // 1000)):
+                s, sketch = signs(matrix([raw[i] for i in part]), n, t)
+                h = mix(labels[part] + _U(size))
+                key = mix(mix(h[:, None] + s.astype(_U)) + np.arange(t, dtype=_U)[None, :]).view(np.int64)
+                band = np.tile(n * 65536 + np.arange(t, dtype=np.int32), len(part)).astype(np.int32)
+                yield from as_batches(pa.table({"key": key.ravel(), "band": band, "doc_id": np.repeat(ids[part], t), "s0": np.repeat(sketch[:, 0], t), "s1": np.repeat(sketch[:, 1], t)}), 100_000)
+
+
+def _live(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> those with a partner of the same key whose sketch is near; large buckets stay whole."""
     held: pa.Table | None = None
 
@@ -101,7 +128,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alive = np.repeat(size > SMALL, size)
         for o in range(1, int(min(size.max(), SMALL))):
             x = np.flatnonzero(key[:-o] == key[o:])
-            x = x[np.bitwise_count(s0[x] ^ s0[x + o]).astype(np.int16) + np.bitwise_count(s1[x] ^ s1[x + o]) <= DIFFER]
+            x = x[np.bitwise_count(s0[x] ^ s0[x + o]).astype(np.int16) + np.bitwise_count(s1[x] ^ s1[x + o]) <= most]
             alive[x] = alive[x + o] = True
         return t.select(["key", "band", "doc_id"]).filter(pa.array(alive)).combine_chunks()
 
@@ -119,12 +146,13 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from near(held).to_batches()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _buckets(_live(batches))
+def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    return _buckets(_live(batches, most))
 
 
-def links(v: np.ndarray, weight: np.ndarray, left: np.ndarray, cross: bool, table: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def links(v: np.ndarray, weight: np.ndarray, left: np.ndarray, cross: bool, band: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(weight of the partners that each vector of a block links with in this table first, edges of a spanning forest)."""
+    n_bits, table = divmod(band, 65536)
     unit = v / np.sqrt((v * v).sum(1, keepdims=True))
     count, edges, label = np.zeros(len(v), np.int64), [], np.arange(len(v))
     sig: np.ndarray | None = None
@@ -136,7 +164,7 @@ def links(v: np.ndarray, weight: np.ndarray, left: np.ndarray, cross: bool, tabl
         if not ok.any():
             continue
         if sig is None:
-            sig = signs(v)[0]
+            sig = signs(v, n_bits, tables(n_bits, least))[0]
         x, y = np.nonzero(ok)
         x += i
         for c in range(0, len(x), 100_000):
@@ -169,16 +197,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors of equal, non-null label are linked by a cosine of at least `least` in double precision. A null or empty
     vector, one of zeros, with null or non-finite components, without label or without id links with nothing. Vectors
-    of different length don't link. Repeated rows are vectors of their own and link with each other. Other columns are
+    of different length don't link. `least` is above 0; tables and sketch follow it. Repeated rows are vectors of their own and link with each other. Other columns are
     ignored. An empty table gives an empty result.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     scratch = Scratch(vectors.sparkSession, "vectors")
     src = vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vector_col).cast("array<double>"))
     rows = scratch.table(src.mapInArrow(_prepare, "vec_id long, h1 long, h2 long, label string, vec binary"), "rows")
     classes = rows.where("vec is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vec").alias("vec"))
     classes = scratch.table(classes, "classes")
-    keyed = classes.mapInArrow(_keys, "key long, band int, doc_id long, s0 long, s1 long").repartition("key").sortWithinPartitions("key")
-    blocks = distinct_blocks(keyed.mapInArrow(_candidates, "band int, members array<long>, left int"), scratch)
+    # the vectors of each label and length, joined with hot labels in slices
+    sized = classes.select("vec_id", "vec", "label", F.octet_length("vec").alias("size"))
+    members = sized.groupBy("label", "size").agg(F.count("*").alias("copies")).withColumn("members", F.col("copies"))
+    sized = join_spread(sized, members, ["label", "size"], "copies", classes.count()).select("label", "members", "vec_id", "vec")
+    keyed = sized.mapInArrow(functools.partial(_keys, least=least), "key long, band int, doc_id long, s0 long, s1 long").repartition("key").sortWithinPartitions("key")
+    blocks = distinct_blocks(keyed.mapInArrow(functools.partial(_candidates, most=differ(least)), "band int, members array<long>, left int"), scratch)
     members = blocks.select("gid", "band", "left", F.posexplode("members").alias("at", "vec_id")).select("gid", "band", "vec_id", (F.col("at") < F.col("left")).alias("is_left"), (F.col("left") > 0).alias("cross"))
     found = members.join(classes.select("vec_id", "n", "vec"), "vec_id").repartition("gid").sortWithinPartitions("gid").mapInArrow(functools.partial(_verify, least=least), "a long, b long, links long")
     found = scratch.table(found, "found")

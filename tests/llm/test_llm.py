@@ -243,6 +243,26 @@ def test_vectors_equal_brute_force(spark):
     assert not vectors.near_vectors(df.where("false")).count()
 
 
+def test_vectors_of_a_large_label(spark):
+    assert (vectors.bits(1), vectors.bits(4096), vectors.bits(6000), vectors.bits(10**6)) == (14, 14, 15, 22)
+    for n in (14, 15, 22, 30):  # strangers in a table don't grow with the label, and no size misses more than another
+        same = 0.8802**n
+        assert (1 - same) ** vectors.tables(n, 0.93) < 6e-7 and (1 - same) ** (vectors.tables(n, 0.93) - 1) > 4e-7
+    r = np.random.default_rng(5)
+    v = r.standard_normal((4400, 24))
+    v[4000:] = v[:400] + r.standard_normal((400, 24)) * r.choice([0.1, 0.3, 0.42], (400, 1))
+    label = ["hot"] * 4300 + ["rare"] * 100  # the last hundred are near vectors of another label
+    df = spark.createDataFrame(list(zip(range(4400), v.tolist(), label)), "vec_id long, embedding array<double>, label string")
+    got = {x["vec_id"]: x for x in vectors.near_vectors(df).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(near, False)
+    assert 150 < near.sum() // 2 < 300
+    assert [got[i]["n_links"] for i in range(4400)] == near.sum(1).tolist()
+    want = brute_components(list(range(4400)), lambda i, j: near[i, j])
+    assert {i: x["component_id"] for i, x in got.items()} == want
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     m = queries.op5_quality_compression(spark, d).toPandas().merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
