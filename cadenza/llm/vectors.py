@@ -59,6 +59,17 @@ def planes(size: int, count: int) -> np.ndarray:
     return _planes[size, count]
 
 
+def first_keys(v: np.ndarray, n_bits: int, n_tables: int, upto: int) -> np.ndarray:
+    """n x upto: the keys of signs() in the first tables alone."""
+    keys, normals = np.zeros((len(v), upto), np.int64), planes(v.shape[1], n_bits * n_tables + SKETCH)[:, : n_bits * upto]
+    for i in range(0, len(v), 1000):
+        part = v[i : i + 1000]
+        found = np.rint(part / np.sqrt((part * part).sum(1, keepdims=True)) * 2.0**20) @ normals >= 0
+        for j in range(n_bits):
+            keys[i : i + 1000] |= found[:, j::n_bits].astype(np.int64) << j
+    return keys
+
+
 def signs(v: np.ndarray, n_bits: int, n_tables: int) -> tuple[np.ndarray, np.ndarray]:
     """(n x n_tables keys of n_bits signs, n x 2 words of the sketch)."""
     keys, sketch = np.zeros((len(v), n_tables), np.int64), np.zeros((len(v), SKETCH // 64), np.int64)
@@ -155,7 +166,8 @@ def links(v: np.ndarray, weight: np.ndarray, left: np.ndarray, cross: bool, band
     n_bits, table = divmod(band, 65536)
     unit = v / np.sqrt((v * v).sum(1, keepdims=True))
     count, edges, label = np.zeros(len(v), np.int64), [], np.arange(len(v))
-    sig: np.ndarray | None = None
+    sig = np.zeros((len(v), table), np.int64)  # of the vectors met so far that have a link
+    known = np.zeros(len(v), bool)
     for i in range(0, len(v), 512):
         rows = np.arange(i, min(i + 512, len(v)))
         ok = (unit[rows] @ unit.T >= least) & (rows[:, None] < np.arange(len(v))[None, :])
@@ -163,8 +175,10 @@ def links(v: np.ndarray, weight: np.ndarray, left: np.ndarray, cross: bool, band
             ok &= left[rows][:, None] != left[None, :]
         if not ok.any():
             continue
-        if sig is None:
-            sig = signs(v, n_bits, tables(n_bits, least))[0]
+        linked = ok.any(0)
+        linked[rows] |= ok.any(1)
+        if table and len(new := np.flatnonzero(linked & ~known)):
+            sig[new], known[new] = first_keys(v[new], n_bits, tables(n_bits, least), table), True
         x, y = np.nonzero(ok)
         x += i
         for c in range(0, len(x), 100_000):
