@@ -333,6 +333,19 @@ def test_suffix_edge_cases(edge, empty):
     assert not suffix.repeated_spans(empty).count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
+    order = sorted(want.columns)
+    assert sorted(got.columns) == order
+    assert sorted(got[order].itertuples(index=False, name=None)) == sorted(want[order].itertuples(index=False, name=None))
+
+
 def test_seekable_files(spark, edge, empty, docs):
     out = io.BytesIO()
     w = seekable.Writer(out)
