@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, minhash, packing, pii, quality, seekable, suffix, toxicity, vectors, whitening
+from . import bpe, gif, infill, minhash, packing, pii, quality, seekable, suffix, toxicity, vectors, whitening
 
 #: The key of the registered query; real runs pass their own secret.
 PII_KEY = "registered-query"
@@ -79,12 +79,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op12_relational_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(documents(spark, sf_dir), seed=1, plain=10, spm=20)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_byte_bpe, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op8_pii_surrogates, op9_gif_media, op10_best_fit_packing, op13_lanczos_whitening)
+    f.__name__: f for f in (op1_minhash_dedup, op2_byte_bpe, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op8_pii_surrogates, op9_gif_media, op10_best_fit_packing, op12_relational_infill, op13_lanczos_whitening)
 }
 #: Links within (x, y) become each row's smallest reachable id; `links` holds both directions.
 _REACH = """reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
@@ -129,4 +134,12 @@ kept AS (SELECT doc_id, sha256(unhex(string_agg(t, '' ORDER BY upto))) AS k FROM
 removed AS (SELECT doc_id, sum(e - s)::BIGINT AS n, count(*) AS spans FROM spans GROUP BY doc_id)
 SELECT h.doc_id, h.n AS n_bytes, coalesce(r.n, 0) AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, k.k AS kept_sha256
 FROM h JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)""",
+    "op12_relational_infill": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t),
+f AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(text, 1, lo) AS prefix, substring(text, lo + 1, hi - lo) AS middle, substring(text, hi + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
