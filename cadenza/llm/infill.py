@@ -18,6 +18,8 @@ from .common import Scratch
 
 #: Units in a run, from coarse to fine; a run without a cut is one row.
 RUNS = (512, 32)
+#: Bits of a piece's length; its ordinal stands above them.
+LENGTH = 31
 #: Fixed values of the output format.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: One code point.
@@ -34,18 +36,21 @@ def matches(text: Column, unit: str, most: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(unit, most)), F.lit(0))
 
 
+def piece(ordinal: Column, length: Column) -> Column:
+    return F.shiftleft(ordinal, LENGTH).bitwiseOR(length.cast("long"))
+
+
 def pieces(text: Column, first: Column, cuts: list[Column], unit: str, sizes: tuple[int, ...] = RUNS) -> Column:
-    """array<struct<ordinal, length>> of the units of a text, of which the first has the ordinal `first`; the units of a
+    """The units of a text, of which the first has the ordinal `first`, as numbers of ordinal and length; the units of a
     run without a cut stand together."""
     if not sizes:
-        return F.transform(matches(text, unit), lambda u, i: F.struct((first + i).alias("ordinal"), F.char_length(u).alias("length")))
+        return F.transform(matches(text, unit), lambda u, i: piece(first + i, F.char_length(u)))
     size = sizes[0]
 
     def run(part: Column, i: Column) -> Column:
         start = first + i * size
         cut = cuts[0].between(start, start + size - 1) | cuts[1].between(start, start + size - 1)
-        whole = F.array(F.struct(start.alias("ordinal"), F.char_length(part).alias("length")))
-        return F.when(cut, pieces(part, start, cuts, unit, sizes[1:])).otherwise(whole)
+        return F.when(cut, pieces(part, start, cuts, unit, sizes[1:])).otherwise(F.array(piece(start, F.char_length(part))))
 
     return F.flatten(F.transform(matches(text, unit, size), run))
 
@@ -79,7 +84,7 @@ def planned(rows: DataFrame, unit: str, seed: int, plain: int, spm: int) -> Data
     formed = counted.withColumn("form", F.when(is_plain, "plain").when(h[3] % 100 < spm, "spm").otherwise("psm"))
     at = [F.when(F.col("form") != "plain", h[k] % (F.col("n") + 1)) for k in range(2)]
     cut = formed.select("key", "text", "n", "form", F.least(*at).alias("low"), F.greatest(*at).alias("high"))
-    end = F.array(F.struct(F.col("n").alias("ordinal"), F.lit(0).alias("length")))
+    end = F.array(piece(F.col("n"), F.lit(0)))
     parts = F.when(F.col("form") != "plain", F.concat(pieces(F.col("text"), F.lit(0).cast("long"), [F.col("low"), F.col("high")], unit), end))
     return cut.select("key", F.struct("n", "form", "low", "high", parts.alias("pieces")).alias("plan")).groupBy("key").agg(F.any_value("plan").alias("plan")).select("key", "plan.*")
 
@@ -87,7 +92,7 @@ def planned(rows: DataFrame, unit: str, seed: int, plain: int, spm: int) -> Data
 def offsets(plans: DataFrame) -> DataFrame:
     """key, low_chars, high_chars: where the two cuts of a text lie, in characters."""
     dealt = plans.where("form <> 'plain'").repartition("key")
-    units = dealt.select("key", F.posexplode("pieces").alias("at", "unit")).select("key", "unit.*")
+    units = dealt.select("key", F.posexplode("pieces").alias("at", "unit")).select("key", F.shiftright("unit", LENGTH).alias("ordinal"), F.col("unit").bitwiseAND((1 << LENGTH) - 1).alias("length"))
     before = Window.partitionBy("key").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     placed = units.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)))
     asked = dealt.select("key", F.explode(F.array(F.struct(F.lit("low").alias("which"), F.col("low").alias("wanted")), F.struct(F.lit("high").alias("which"), F.col("high").alias("wanted")))).alias("request")).select("key", "request.*")
