@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, infill, minhash, packing, pii, quality, seekable, suffix, toxicity, vectors, whitening
+from . import bpe, decontaminate, gif, infill, minhash, packing, pii, quality, seekable, suffix, toxicity, vectors, whitening
 
 #: The key of the registered query; real runs pass their own secret.
 PII_KEY = "registered-query"
@@ -79,6 +79,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op11_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    ids = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op12_relational_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.fill_in_middle(documents(spark, sf_dir), seed=1, plain=10, spm=20)
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
@@ -89,7 +95,7 @@ def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_byte_bpe, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op8_pii_surrogates, op9_gif_media, op10_best_fit_packing, op12_relational_infill, op13_lanczos_whitening)
+    f.__name__: f for f in (op1_minhash_dedup, op2_byte_bpe, op3_toxicity_chain, op4_vector_dedup, op5_quality_compression, op6_suffix_array_dedup, op7_token_files, op8_pii_surrogates, op9_gif_media, op10_best_fit_packing, op11_fm_decontamination, op12_relational_infill, op13_lanczos_whitening)
 }
 #: Links within (x, y) become each row's smallest reachable id; `links` holds both directions.
 _REACH = """reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
@@ -134,6 +140,17 @@ kept AS (SELECT doc_id, sha256(unhex(string_agg(t, '' ORDER BY upto))) AS k FROM
 removed AS (SELECT doc_id, sum(e - s)::BIGINT AS n, count(*) AS spans FROM spans GROUP BY doc_id)
 SELECT h.doc_id, h.n AS n_bytes, coalesce(r.n, 0) AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, k.k AS kept_sha256
 FROM h JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)""",
+    "op11_fm_decontamination": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM items),
+places AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n)),
+found AS (SELECT p.doc_id, p.i, p.n, items.item_id FROM places p JOIN items ON p.s = items.s AND p.n = items.n),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(named.ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op12_relational_infill": """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
 h AS (SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t),
