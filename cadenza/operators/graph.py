@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +27,24 @@ def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.join(F.broadcast(m)).select("nodes", "edges", F.round(F.coalesce(F.try_divide(F.col("edges") * 2.0, F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)), 9).alias("density"))
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """x, y, z of each triangle, once. Edges run from the node of the lower degree (ties: id) to the higher, so no node
+    has more than about the square root of 2m edges that begin wedges, however many neighbours a hub has."""
+    d = degrees(edges)
+    one = lambda c: d.select(F.col("node").alias(c), F.struct("degree", "node").alias("o" + c))
+    sized = edges.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+    up = F.col("oa") < F.col("ob")
+    arcs = cut(sized.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.struct("ob.degree", "b")).otherwise(F.struct("oa.degree", F.col("a").alias("b"))).alias("o")))
+    wedges = arcs.select("x", F.col("o").alias("oy")).join(arcs.select("x", F.col("o").alias("oz")), "x").where("oy < oz")
+    closed = wedges.select("x", F.col("oy.b").alias("y"), F.col("oz.b").alias("z"))
+    return closed.join(arcs.select(F.col("x").alias("y"), F.col("o.b").alias("z")), ["y", "z"], "left_semi").select("x", "y", "z")
+
+
 def clustering(edges: DataFrame) -> DataFrame:
-    """Local clustering coefficient: linked pairs of neighbours by all pairs of neighbours. Each triangle is found once,
-    from its smallest node, by two equi-joins."""
-    e = edges.select("a", "b")
-    wedge = e.join(e.select("a", F.col("b").alias("c")), "a").where("b < c")
-    closed = wedge.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
-    triangles = closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
-    d = F.col("degree")
-    return degrees(edges).join(triangles, "node", "left").select("node", d, F.coalesce("triangles", F.lit(0)).alias("triangles"), F.round(F.coalesce(F.try_divide(F.coalesce("triangles", F.lit(0)) * 2.0, d * (d - 1)), F.lit(0.0)), 9).alias("clustering"))
+    """Local clustering coefficient: linked pairs of neighbours by all pairs of neighbours."""
+    count = triangles(edges).select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    d, t = F.col("degree"), F.coalesce("triangles", F.lit(0))
+    return degrees(edges).join(count, "node", "left").select("node", d, t.alias("triangles"), F.round(F.coalesce(F.try_divide(t * 2.0, d * (d - 1)), F.lit(0.0)), 9).alias("clustering"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -70,63 +75,6 @@ def path_lengths(edges: DataFrame, source: int) -> DataFrame:
     return seen
 
 
-def _from_sources(neighbours: dict[int, list[int]], sources: list[int]) -> Iterator[tuple]:
-    """Brandes: (source, node, distance, dependency) for all that the sources reach."""
-    for s in sources:
-        order, before, paths, dist = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in neighbours.get(v, ()):
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        share: dict[int, float] = defaultdict(float)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-        for w in order:
-            yield s, w, dist[w], share[w] if w != s else 0.0
-
-
-#: Edges up to which the all-sources operators ship the adjacency to every task.
-MOST_EDGES = 2_000_000
-
-
-def all_sources(edges: DataFrame) -> DataFrame:
-    """source, node, distance, dependency for all pairs that are connected. The adjacency goes to every task, so its
-    size is checked; larger graphs need path_lengths from chosen sources."""
-    rows = edges.select("a", "b").limit(MOST_EDGES + 1).collect()
-    if len(rows) > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges: use path_lengths from chosen sources")
-    neighbours: dict[int, list[int]] = defaultdict(list)
-    for a, b in rows:
-        neighbours[a].append(b)
-        neighbours[b].append(a)
-    shared = edges.sparkSession.sparkContext.broadcast(dict(neighbours))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame(_from_sources(shared.value, b["u"].tolist()), columns=["source", "node", "distance", "dependency"])
-
-    return both_ways(edges).select("u").distinct().mapInPandas(run, "source long, node long, distance int, dependency double")
-
-
-def centralities(edges: DataFrame) -> DataFrame:
-    """node, degree_centrality, closeness, eccentricity, betweenness (unordered pairs, unscaled)."""
-    pairs = cut(all_sources(edges))
-    far = pairs.groupBy(F.col("source").alias("node")).agg(F.sum("distance").alias("total"), (F.count("*") - 1).alias("reached"), F.max("distance").alias("eccentricity"))
-    between = pairs.groupBy("node").agg((F.sum("dependency") / 2).alias("betweenness"))
-    n = F.broadcast(degrees(edges).agg(F.count("*").alias("n")))
-    out = degrees(edges).join(far, "node").join(between, "node").join(n)
-    closeness = F.coalesce(F.try_divide(F.col("reached") * F.col("reached"), F.col("total") * (F.col("n") - 1)), F.lit(0.0))
-    return out.select("node", F.round(F.col("degree") / (F.col("n") - 1), 9).alias("degree_centrality"), F.round(closeness, 9).alias("closeness"), "eccentricity", F.round("betweenness", 6).alias("betweenness"))
-
-
 def ego(links: DataFrame, node: str) -> DataFrame:
     """The neighbours of a node in links (source, target, value), with the value of the link."""
     out = links.where(F.col("source") == node).select(F.col("target").alias("neighbour"), "value")
@@ -201,18 +149,6 @@ def hub(edges: DataFrame) -> DataFrame:
     return degrees(edges).agg(F.max_by("node", F.struct("degree", (-F.col("node")).alias("o"))).alias("node"), F.max("degree").alias("degree"))
 
 
-def path_histogram(edges: DataFrame) -> DataFrame:
-    """distance, n: ordered pairs of connected nodes by their distance."""
-    return all_sources(edges).groupBy("distance").agg(F.count("*").alias("n"))
-
-
-def eccentricities(edges: DataFrame) -> DataFrame:
-    """node, eccentricity, centre, periphery within the whole graph's radius and diameter."""
-    far = cut(all_sources(edges).groupBy(F.col("source").alias("node")).agg(F.max("distance").alias("eccentricity")))
-    ends = F.broadcast(far.agg(F.min("eccentricity").alias("radius"), F.max("eccentricity").alias("diameter")))
-    return far.join(ends).select("node", "eccentricity", (F.col("eccentricity") == F.col("radius")).alias("centre"), (F.col("eccentricity") == F.col("diameter")).alias("periphery"))
-
-
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: the modularity of a partition (node, part)."""
     part = lambda c: groups.select(F.col("node").alias(c), F.col("part").alias("p" + c))

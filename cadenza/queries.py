@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import catalog as C
+from .operators import centrality as Z
 from .operators import graph as G
 from .operators import ingest as I  # noqa: E741
 from .operators import search as Q
@@ -379,11 +380,6 @@ def graph_shortest_path(spark, d):
     return G.path_lengths(partner_edges(spark, d), 1)
 
 
-@query()
-def graph_centralities(spark, d):
-    return G.centralities(partner_edges(spark, d))
-
-
 @query(f"WITH {EDGES}, inside AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal > 0) SELECT DISTINCT v AS node FROM ways2 WHERE u IN (SELECT node FROM inside) AND v NOT IN (SELECT node FROM inside)")
 def graph_boundary(spark, d):
     inside = R.table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
@@ -431,12 +427,40 @@ def graph_hub(spark, d):
 
 @query(f"{_HOPS} SELECT CAST(d AS INT) AS distance, count(*) AS n FROM far GROUP BY 1")
 def graph_path_histogram(spark, d):
-    return G.path_histogram(partner_edges(spark, d))
+    return Z.path_histogram(partner_edges(spark, d))
 
 
 @query(f"{_HOPS}, e AS (SELECT s AS node, CAST(max(d) AS INT) AS eccentricity FROM far GROUP BY 1) SELECT node, eccentricity, eccentricity = (SELECT min(eccentricity) FROM e) AS centre, eccentricity = (SELECT max(eccentricity) FROM e) AS periphery FROM e")
 def graph_eccentricity(spark, d):
-    return G.eccentricities(partner_edges(spark, d))
+    return Z.eccentricities(partner_edges(spark, d))
+
+
+#: Shortest paths: how many there are between each two nodes, and how many lead over a third.
+_PATHS = f"""{_HOPS}, p AS (SELECT node AS s, node AS t, 0 AS d, CAST(1 AS DOUBLE) AS c FROM deg UNION ALL
+SELECT p.s, w.v, p.d + 1, sum(p.c) FROM p JOIN ways2 w ON p.t = w.u JOIN far f ON f.s = p.s AND f.t = w.v AND f.d = p.d + 1 GROUP BY ALL),
+over AS (SELECT x.t AS node, x.s, y.t, x.c * y.c / z.c AS share FROM p x JOIN p y ON y.s = x.t JOIN p z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d WHERE x.s <> y.t)"""
+
+
+@query(f"""{_PATHS}, b AS (SELECT node, sum(share) / 2 AS betweenness FROM over WHERE node <> s AND node <> t GROUP BY 1),
+f AS (SELECT s AS node, sum(d) AS total, count(*) - 1 AS reached, max(d) AS eccentricity FROM far GROUP BY 1), n AS (SELECT count(*) AS n FROM deg)
+SELECT deg.node, round(degree / (n - 1), 9) AS degree_centrality, round(CAST(reached AS DOUBLE) * reached / (total * (n - 1)), 9) AS closeness, CAST(eccentricity AS INT) AS eccentricity, round(coalesce(betweenness, 0), 6) AS betweenness
+FROM deg JOIN f ON deg.node = f.node LEFT JOIN b ON deg.node = b.node, n""")
+def graph_centralities(spark, d):
+    return Z.centralities(partner_edges(spark, d))
+
+
+@query(f"""{_PATHS}, k AS (SELECT node FROM deg ORDER BY md5('7:' || CAST(node AS VARCHAR)), node LIMIT 10), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM deg),
+b AS (SELECT node, sum(share) AS b FROM over WHERE s IN (SELECT node FROM k) GROUP BY 1)
+SELECT deg.node, round(coalesce(b, 0) / (n * (n - 1)) * n / least(10, n), 6) AS betweenness FROM deg LEFT JOIN b ON deg.node = b.node, n""")
+def graph_betweenness_sampled(spark, d):
+    """Ten sampled sources, ends counted."""
+    return Z.betweenness(partner_edges(spark, d), k=10, seed=7, endpoints=True, normalized=True).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query(f"""{_PATHS} SELECT e.a, e.b, round(sum(x.c * y.c / z.c), 6) AS betweenness FROM ways2 w JOIN edges e ON e.a = least(w.u, w.v) AND e.b = greatest(w.u, w.v)
+JOIN p x ON x.t = w.u JOIN p y ON y.s = w.v JOIN p z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d + 1 WHERE x.s < y.t GROUP BY 1, 2""")
+def graph_edge_betweenness(spark, d):
+    return Z.edge_betweenness(partner_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 def supplier_nations(spark: SparkSession, d: str, name: str) -> DataFrame:
