@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
+from .operators import biconnected as B
 from .operators import catalog as C
 from .operators import centrality as Z
 from .operators import graph as G
 from .operators import ingest as I  # noqa: E741
 from .operators import search as Q
 from .operators import similarity as M
+from .operators import triads as T
 from .sources import roles as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,12 +76,17 @@ def playlist_graph(spark: SparkSession, d: str, **kw: float) -> DataFrame:
     return M.graph_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), **kw)
 
 
-def partner_edges(spark: SparkSession, d: str) -> DataFrame:
+#: Each supplier and its first partner, and every third supplier's second: bridges, cycles and several components.
+SPARSE = EDGES.replace("WHERE k <= 2", "WHERE k <= CASE WHEN u % 3 = 0 THEN 2 ELSE 1 END")
+
+
+def partner_edges(spark: SparkSession, d: str, sparse: bool = False) -> DataFrame:
     pairs = R.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"))
     shared = G.projection(pairs)
     ways = shared.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "weight"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))).alias("e")).select("e.*")
     k = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("weight"), "v"))
-    return ways.withColumn("k", k).where("k <= 2").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    most = F.when(F.col("u") % 3 == 0, 2).otherwise(1) if sparse else F.lit(2)
+    return ways.withColumn("k", k).where(F.col("k") <= most).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def suppliers(spark: SparkSession, d: str) -> DataFrame:
@@ -463,6 +470,47 @@ def graph_edge_betweenness(spark, d):
     return Z.edge_betweenness(partner_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 6))
 
 
+#: Edges that share a node are in one block if their other ends hang together without it.
+_BLOCKS = f"""WITH RECURSIVE {SPARSE}, hang AS (SELECT x.node AS cut, y.node AS s, y.node AS t FROM deg x JOIN deg y ON x.node <> y.node UNION SELECT cut, s, v FROM hang JOIN ways2 ON t = u AND v <> cut),
+pairs AS (SELECT least(x.u, x.v) AS a, greatest(x.u, x.v) AS b, least(y.u, y.v) AS c, greatest(y.u, y.v) AS d FROM ways2 x JOIN ways2 y ON x.u = y.u JOIN hang ON cut = x.u AND s = x.v AND t = y.v),
+same AS (SELECT a, b, a AS c, b AS d FROM edges UNION SELECT s.a, s.b, p.c, p.d FROM same s JOIN pairs p ON s.c = p.a AND s.d = p.b),
+blocks AS (SELECT a, b, min(struct_pack(c := c, d := d)) AS f FROM same GROUP BY 1, 2)"""
+
+
+@query(f"{_BLOCKS} SELECT a, b, f.c AS block_a, f.d AS block_b, count(*) OVER (PARTITION BY f) = 1 AS bridge FROM blocks")
+def graph_blocks(spark, d):
+    blocks = B.blocks(partner_edges(spark, d, sparse=True))
+    return blocks.join(B.bridges(blocks).withColumn("bridge", F.lit(True)), ["a", "b"], "left").withColumn("bridge", F.coalesce("bridge", F.lit(False)))
+
+
+@query(f"{_BLOCKS} SELECT node, count(*) AS blocks FROM (SELECT a AS node, f FROM blocks UNION SELECT b, f FROM blocks) GROUP BY 1 HAVING count(*) > 1")
+def graph_articulation_points(spark, d):
+    return B.articulation_points(B.blocks(partner_edges(spark, d, sparse=True)))
+
+
+def partner_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """From each supplier to the two with whom it shares most parts."""
+    pairs = R.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"))
+    shared = G.projection(pairs)
+    ways = shared.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))).alias("e")).select("e.*")
+    k = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
+    return ways.withColumn("k", k).where("k <= 2").select("a", "b")
+
+
+@query(f"""WITH {EDGES}, n AS (SELECT s_suppkey AS node FROM supplier), d AS (SELECT least(u, v) AS a, greatest(u, v) AS b, bit_or(CASE WHEN u < v THEN 1 ELSE 2 END) AS code FROM best GROUP BY 1, 2),
+t AS (SELECT x.node AS x, y.node AS y, z.node AS z FROM n x JOIN n y ON x.node < y.node JOIN n z ON y.node < z.node),
+c AS (SELECT coalesce(p.code, 0) AS p, coalesce(q.code, 0) AS q, coalesce(r.code, 0) AS r FROM t LEFT JOIN d p ON p.a = x AND p.b = y LEFT JOIN d q ON q.a = y AND q.b = z LEFT JOIN d r ON r.a = x AND r.b = z),
+f AS (SELECT p, q, r, [p & 1, p // 2, q & 1, q // 2, r & 1, r // 2] AS z, (p = 3)::INT + (q = 3)::INT + (r = 3)::INT AS m, (p IN (1, 2))::INT + (q IN (1, 2))::INT + (r IN (1, 2))::INT AS o FROM c),
+g AS (SELECT m, o, greatest(z[1] + z[5], z[2] + z[3], z[6] + z[4]) AS most_out, least(z[1] + z[5], z[2] + z[3], z[6] + z[4]) AS least_out, greatest(z[2] + z[6], z[1] + z[4], z[5] + z[3]) AS most_in, least(z[2] + z[6], z[1] + z[4], z[5] + z[3]) AS least_in FROM f),
+k AS (SELECT CASE WHEN m = 3 THEN '300' WHEN m = 2 AND o = 1 THEN '210' WHEN m = 2 THEN '201' WHEN m = 1 AND o = 2 THEN CASE WHEN least_in = 0 THEN '120D' WHEN least_out = 0 THEN '120U' ELSE '120C' END
+  WHEN m = 1 AND o = 1 THEN CASE WHEN most_out = 2 THEN '111U' ELSE '111D' END WHEN m = 1 THEN '102' WHEN o = 3 THEN CASE WHEN most_out = 2 THEN '030T' ELSE '030C' END
+  WHEN o = 2 THEN CASE WHEN most_out = 2 THEN '021D' WHEN most_in = 2 THEN '021U' ELSE '021C' END WHEN o = 1 THEN '012' ELSE '003' END AS kind FROM g),
+all_kinds AS (SELECT unnest([{", ".join(f"'{k}'" for k in T.KINDS)}]) AS kind)
+SELECT a.kind, count(k.kind) AS n FROM all_kinds a LEFT JOIN k ON a.kind = k.kind GROUP BY 1""")
+def graph_triad_census(spark, d):
+    return T.census(partner_arcs(spark, d), suppliers(spark, d))
+
+
 def supplier_nations(spark: SparkSession, d: str, name: str) -> DataFrame:
     return R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias(name))
 
