@@ -11,10 +11,15 @@ from .functions import scalars as S
 from .operators import biconnected as B
 from .operators import catalog as C
 from .operators import centrality as Z
+from .operators import communities as K
+from .operators import dynamics as Y
 from .operators import graph as G
 from .operators import ingest as I  # noqa: E741
+from .operators import orders as O  # noqa: E741
 from .operators import search as Q
 from .operators import similarity as M
+from .operators import summaries as U
+from .operators import trees as W
 from .operators import triads as T
 from .sources import roles as R
 
@@ -577,6 +582,133 @@ def graph_path_between(spark, d):
     return G.path_between(partner_edges(spark, d), 1, 2)
 
 
+# --------------------------------------------------------------------------- communities, summaries, orders, trees
+
+
+@query()
+def graph_girvan_newman(spark, d):
+    """Two splits of the sparse graph, with each level's modularity."""
+    edges = partner_edges(spark, d, sparse=True)
+    tree = K.girvan_newman(edges, splits=2)
+    return tree.join(K.modularity_by_level(edges, tree), "level")
+
+
+def typed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Partners, by whether both accounts are on one side of zero."""
+    side = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") > 0).alias("up"))
+    one = lambda c: side.select(F.col("node").alias(c), F.col("up").alias("u" + c))
+    return partner_edges(spark, d, sparse=True).join(one("a"), "a").join(one("b"), "b").select("a", "b", F.when(F.col("ua") == F.col("ub"), "same").otherwise("mixed").alias("type"))
+
+
+def supplier_sides(spark: SparkSession, d: str) -> DataFrame:
+    return R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") > 4000).alias("label"))
+
+
+def _snap_sql(rounds: int = 12) -> str:
+    step = "g{k} AS MATERIALIZED (SELECT node, min(node) OVER (PARTITION BY part, sig) AS part FROM (SELECT g.node, g.part, (SELECT string_agg(DISTINCT t.type || ':' || h.part, ',' ORDER BY t.type || ':' || h.part) FROM typed t JOIN g{p} h ON h.node = t.v WHERE t.u = g.node) AS sig FROM g{p} g))"
+    return f"""WITH {SPARSE}, e AS (SELECT a, b, CASE WHEN (x.s_acctbal > 0) = (y.s_acctbal > 0) THEN 'same' ELSE 'mixed' END AS type FROM edges JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey),
+typed AS (SELECT a AS u, b AS v, type FROM e UNION SELECT b, a, type FROM e), g0 AS MATERIALIZED (SELECT s_suppkey AS node, min(s_suppkey) OVER (PARTITION BY s_acctbal > 4000) AS part FROM supplier),
+{", ".join(step.format(k=k, p=k - 1) for k in range(1, rounds + 1))}"""
+
+
+@query(f"{_snap_sql()} SELECT node, part FROM g12")
+def graph_snap_groups(spark, d):
+    return U.snap_groups(typed_edges(spark, d), supplier_sides(spark, d))
+
+
+@query(f"{_snap_sql()} SELECT least(x.part, y.part) AS a, greatest(x.part, y.part) AS b, type, count(*) AS n FROM e JOIN g12 x ON e.a = x.node JOIN g12 y ON e.b = y.node GROUP BY 1, 2, 3")
+def graph_snap_edges(spark, d):
+    edges = typed_edges(spark, d)
+    return U.snap_edges(edges, U.snap_groups(edges, supplier_sides(spark, d)))
+
+
+_DENSE = """WITH e AS (SELECT DISTINCT user_id AS a, event_type AS b FROM events), high AS (SELECT b FROM e GROUP BY 1 HAVING count(*) > 2), dense AS (SELECT e.* FROM e JOIN high USING (b)),
+sets AS (SELECT a, string_agg(b, ',' ORDER BY b) AS z, count(*) AS t FROM dense GROUP BY 1), groups AS (SELECT z, min(a) AS c FROM sets GROUP BY z, t HAVING count(*) * t > count(*) + t), member AS (SELECT a, c FROM sets JOIN groups USING (z))"""
+
+
+@query(f"""{_DENSE} SELECT 'kept' AS kind, CAST(a AS VARCHAR) AS a, b FROM e WHERE (a, b) NOT IN (SELECT (dense.a, dense.b) FROM dense JOIN member USING (a)) UNION ALL
+SELECT 'in', CAST(a AS VARCHAR), CAST(c AS VARCHAR) FROM member UNION ALL SELECT 'out', CAST(c AS VARCHAR), b FROM member JOIN dense USING (a) WHERE a = c""")
+def graph_dedensify(spark, d):
+    """Users and the types of their events."""
+    return U.dedensify(R.table(spark, d, "events").select(F.col("user_id").alias("a"), F.col("event_type").alias("b")), threshold=2)
+
+
+@query()
+def graph_rcm(spark, d):
+    return O.reverse_cuthill_mckee(partner_edges(spark, d))
+
+
+@query()
+def graph_bandwidth(spark, d):
+    """Of the partners by id, and in the reverse Cuthill-McKee order."""
+    edges = partner_edges(spark, d)
+    by_id = Z.nodes_of(edges).select("node", F.col("node").alias("place"))
+    return O.bandwidth(edges, by_id).select(F.lit("id").alias("by"), "bandwidth").unionByName(O.bandwidth(edges, O.reverse_cuthill_mckee(edges)).select(F.lit("rcm").alias("by"), "bandwidth"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, o AS (SELECT node, row_number() OVER (ORDER BY md5('3:' || CAST(node AS VARCHAR)), node) AS i FROM (SELECT s_suppkey AS node FROM supplier)),
+near AS (SELECT o.node, i, coalesce(list(v) FILTER (v IS NOT NULL), []) AS vs FROM o LEFT JOIN ways2 ON u = o.node GROUP BY 1, 2),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS chosen UNION ALL SELECT near.i, CASE WHEN list_has_any(chosen, vs) THEN chosen ELSE list_append(chosen, node) END FROM walk JOIN near ON near.i = walk.i + 1)
+SELECT unnest(chosen) AS node FROM walk WHERE i = (SELECT max(i) FROM o)""")
+def graph_independent_set(spark, d):
+    return O.independent_set(partner_edges(spark, d), suppliers(spark, d), seed=3)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, val AS (SELECT s_suppkey AS node, s_acctbal AS value FROM supplier), arcs AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY value DESC, v) AS k FROM ways2 JOIN val ON v = node),
+widths AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS w), beam AS (SELECT w, CAST(1 AS BIGINT) AS node, 0 AS step FROM widths UNION SELECT w, v, step + 1 FROM beam JOIN arcs ON u = node AND k <= w WHERE step < 20),
+hit AS (SELECT w, node, min(step) AS step, any_value(value) AS value FROM beam JOIN val USING (node) WHERE value >= 9900 GROUP BY 1, 2)
+SELECT CAST(w AS BIGINT) AS width, step, node, value FROM hit ORDER BY w, step, value DESC, node LIMIT 1""")
+def graph_beam_search(spark, d):
+    values = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))
+    return O.widening_search(partner_edges(spark, d), values, 1, 9900)
+
+
+_WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents)"
+_PREFIXES = f"WITH {_WORDS}, p AS (SELECT word[1:i] AS prefix, i AS depth, len(word) = i AS ends FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM w))"
+
+
+def document_words(spark: SparkSession, d: str) -> DataFrame:
+    return R.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+
+
+@query(f"{_PREFIXES} SELECT sha256(prefix)[1:32] AS node, sha256(prefix[1:depth - 1])[1:32] AS parent, prefix[-1:] AS symbol, CAST(depth AS INT) AS depth, count(*) AS words, bool_or(ends) AS is_word FROM p GROUP BY prefix, depth")
+def prefix_tree(spark, d):
+    return W.prefix_tree(document_words(spark, d))
+
+
+@query(f"{_PREFIXES} SELECT depth, count(*) AS nodes, CAST(sum(CAST('0x' || sha256(prefix)[1:8] AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT prefix, CAST(depth AS INT) AS depth FROM p) GROUP BY 1")
+def prefix_tree_paths(spark, d):
+    """The paths of all nodes, read upward, by depth: how many, and the sum of their digests' first 32 bits."""
+    tree = W.prefix_tree(document_words(spark, d))
+    paths = W.root_paths(tree).join(tree.select("node", "depth"), "node")
+    return paths.groupBy("depth").agg(F.count("*").alias("nodes"), F.sum(F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long")).alias("digest"))
+
+
+_COPIES = "copies AS (SELECT CAST(node AS VARCHAR) AS copy, CAST(NULL AS VARCHAR) AS parent, node, 0 AS depth FROM deg WHERE node NOT IN (SELECT b FROM edges) UNION ALL SELECT copy || '>' || CAST(b AS VARCHAR), copy, b, depth + 1 FROM copies JOIN edges ON a = node)"
+
+
+@query(f"WITH RECURSIVE {SPARSE}, {_COPIES} SELECT copy, parent, node, depth FROM copies")
+def graph_branching(spark, d):
+    """Arcs run from the smaller id to the larger."""
+    return W.branching(partner_edges(spark, d, sparse=True), most=1_000_000)
+
+
+@query(f"WITH RECURSIVE {EDGES}, {_COPIES} SELECT node, count(*) AS copies FROM copies GROUP BY 1")
+def graph_path_counts(spark, d):
+    return W.path_counts(partner_edges(spark, d)).select("node", F.col("copies").cast("long").alias("copies"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS n FROM part UNION SELECT CAST(list_sum(list_transform(string_split(CAST(n AS VARCHAR), ''), lambda x: CAST(x AS BIGINT) * CAST(x AS BIGINT))) AS BIGINT) FROM f),
+m AS (SELECT n, CAST(list_sum(list_transform(string_split(CAST(n AS VARCHAR), ''), lambda x: CAST(x AS BIGINT) * CAST(x AS BIGINT))) AS BIGINT) AS image FROM f),
+walk AS (SELECT n, 0 AS i, n AS x FROM m UNION ALL SELECT walk.n, i + 1, image FROM walk JOIN m ON m.n = x WHERE i < 40),
+ring AS (SELECT n, min(i) AS length FROM walk WHERE i > 0 AND x = n GROUP BY 1), rings AS (SELECT walk.n, min(x) AS cycle, any_value(length) AS length FROM walk JOIN ring ON ring.n = walk.n GROUP BY 1),
+tails AS (SELECT walk.n, min(i) AS tail, arg_min(x, i) AS first FROM walk JOIN ring ON ring.n = x GROUP BY 1)
+SELECT tails.n, CAST(tail AS BIGINT) AS tail, cycle, CAST(length AS BIGINT) AS length FROM tails JOIN rings ON rings.n = first""")
+def digit_square_orbits(spark, d):
+    starts = R.table(spark, d, "part").select(F.col("p_partkey").alias("n"))
+    return Y.orbits(Y.digraph(starts, Y.digit_powers(2)))
+
+
 @query(f"""WITH {SONGS}, r AS (SELECT song_id, unnest([0, 1, 2, 3, 4, 5]) AS place, unnest(['danceability', 'energy', 'mode', 'valence', 'tempo', 'danceability']) AS category, unnest([danceability, energy, mode / CAST(5 AS DOUBLE), valence, tempo / CAST(10000 AS DOUBLE), danceability]) AS r FROM songs WHERE song_id IN (1, 2))
 SELECT place, category, max(CASE WHEN song_id = 1 THEN r END) AS "first", max(CASE WHEN song_id = 2 THEN r END) AS "second" FROM r GROUP BY 1, 2""")
 def radial_overlay(spark, d):
