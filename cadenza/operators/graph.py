@@ -196,6 +196,35 @@ def nearest(points: DataFrame, x: float, y: float) -> DataFrame:
     return points.agg(F.min_by("node", F.struct(d, "node")).alias("node"))
 
 
+def distances_from_nearest(edges: DataFrame, points: DataFrame, x: float, y: float) -> DataFrame:
+    """node, distance: steps from the node nearest to a point, for colouring."""
+    return path_lengths(edges, nearest(points, x, y).first()["node"])
+
+
+def closer_than(edges: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
+    """node, degree in the graph of all nodes and the edges of a weight below `limit`."""
+    return nodes.select("node").join(degrees(edges.where(F.col("weight") < limit)), "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
+
+def removed(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """The edges that a graph lacks."""
+    return edges.select("a", "b").join(kept.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def compose(*graphs: DataFrame) -> DataFrame:
+    """All edges of several graphs, once."""
+    out = graphs[0].select("a", "b")
+    for g in graphs[1:]:
+        out = out.unionByName(g.select("a", "b"))
+    return out.distinct()
+
+
+def label_subgraphs(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label, component: the connected parts that are left when edges between labels (node, label) go."""
+    part = components(same_label(edges, labels))
+    return labels.join(part, "node", "left").select("node", "label", F.coalesce("component", "node").alias("component"))
+
+
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node, label after so many rounds: each node takes the most frequent label of its neighbours, the smallest of equal ones."""
     both = cut(both_ways(edges))

@@ -21,6 +21,7 @@ from .operators import similarity as M
 from .operators import summaries as U
 from .operators import trees as W
 from .operators import triads as T
+from .sources import landed as L
 from .sources import roles as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,6 +311,72 @@ def resolve_entities(spark, d):
     return I.resolve(names, local, remote)
 
 
+@query("""WITH names AS (SELECT p_name AS name FROM part UNION SELECT s_name FROM supplier UNION SELECT n_name FROM nation),
+loc AS (SELECT name, count(*) AS n, min(uri) AS uri FROM (SELECT p_name AS name, 'song:' || CAST(p_partkey AS VARCHAR) AS uri FROM part WHERE p_size < 3 UNION ALL SELECT s_name, 'artist:' || CAST(s_suppkey AS VARCHAR) FROM supplier) GROUP BY 1),
+rem AS (SELECT name, arg_min(uri, rank) AS uri FROM (SELECT p_name AS name, 'remote:' || CAST(p_partkey AS VARCHAR) AS uri, p_partkey AS rank FROM part UNION ALL SELECT n_name, 'remote:' || CAST(n_nationkey AS VARCHAR), n_nationkey FROM nation) GROUP BY 1)
+SELECT names.name, CASE WHEN n = 1 THEN loc.uri ELSE rem.uri END AS uri, CASE WHEN n = 1 THEN 'local' ELSE 'remote' END AS origin FROM names LEFT JOIN loc USING (name) LEFT JOIN rem USING (name)""")
+def lookup_entities(spark, d):
+    """Part names mostly stand for several local rows, so a remote hit decides; a name found nowhere would fail the query."""
+    p, s, n = (R.table(spark, d, t) for t in ("part", "supplier", "nation"))
+    uri = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("uri")
+    local = p.where("p_size < 3").select(F.col("p_name").alias("name"), uri("song:", "p_partkey")).unionByName(s.select(F.col("s_name").alias("name"), uri("artist:", "s_suppkey")))
+    remote = p.select(F.col("p_name").alias("name"), uri("remote:", "p_partkey"), F.col("p_partkey").alias("rank")).unionByName(n.select(F.col("n_name").alias("name"), uri("remote:", "n_nationkey"), F.col("n_nationkey").cast("long").alias("rank")))
+    return I.lookup(I.crawl_union(p.select(F.col("p_name").alias("name")), s.select(F.col("s_name").alias("name")), n.select(F.col("n_name").alias("name"))), local, remote)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
+def exactly_one_supplier(spark, d):
+    """Each line's supplier is found exactly once; else the query fails."""
+    s = R.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return I.exactly_one(s, ["s_suppkey"], R.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")))
+
+
+@query(graph_sql(1, ARTIST_ITEMS, "SELECT source AS song_a_name, target AS song_b_name, score AS similarity_score FROM links"))
+def link_find(spark, d):
+    """Links are kept by the songs' ids, and shown by their names."""
+    songs = R.songs(spark, d)
+    return I.link_find(I.edges_by_id(M.graph_links(R.enumerated(R.artist_items(spark, d)), songs), songs), songs)
+
+
+def landed_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Headers, items and enriched songs of all playlists, as they would land."""
+    head = R.playlists(spark, d).select(F.concat(F.lit("playlist:"), F.col("pid").cast("string")).alias("playlist_uri"), F.col("playlist").alias("name"), "description")
+    songs = R.songs(spark, d).select("song_id", "uri", F.col("title").alias("name"), F.concat(F.lit("artist:"), F.col("artist_id").cast("string")).alias("artist_uri"))
+    items = R.playlist_items(spark, d).join(songs, "song_id").select(F.concat(F.lit("playlist:"), F.col("pid").cast("string")).alias("playlist_uri"), "pos", "name", "uri")
+    return head, items, songs.drop("song_id")
+
+
+_INGEST = f"""WITH {SONGS}, {ITEMS}, kept AS (SELECT pid, title, max(struct_pack(p := pos, u := uri, s := song_id)).s AS song_id FROM items JOIN songs USING (song_id) GROUP BY 1, 2),
+found AS (SELECT DISTINCT 'artist:' || CAST(artist_id AS VARCHAR) AS artist_uri, 'playlist:' || CAST(pid AS VARCHAR) AS playlist_uri, c_mktsegment = 'BUILDING' AS old FROM kept JOIN songs USING (song_id) JOIN customer ON pid = c_custkey)"""
+
+
+@query(f"{_INGEST} SELECT artist_uri, playlist_uri, NOT old AS created FROM found")
+def ingest_playlists(spark, d):
+    """The playlists of one segment were ingested before; now all land."""
+    head, items, songs = landed_items(spark, d)
+    old = I.landed_playlists(head.where("description = 'BUILDING'"), items, songs)
+    return I.ingest_playlists(head, items, songs, old)["artist_playlists"]
+
+
+@query(f"""{_INGEST}, names AS (SELECT DISTINCT c_name AS name FROM customer WHERE c_acctbal > 0 UNION SELECT r_name FROM region)
+SELECT 'You finished loading the DB' AS message, (SELECT count(*) FROM names) AS names, (SELECT count(*) FROM names JOIN customer ON name = c_name) AS found, (SELECT count(*) FROM names JOIN customer ON name = c_name WHERE c_mktsegment <> 'BUILDING') AS created""")
+def crawl_status(spark, d):
+    """Names of two lists, of which the regions' are found nowhere."""
+    head, items, songs = landed_items(spark, d)
+    lists = [R.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_name").alias("name")), R.table(spark, d, "region").select(F.col("r_name").alias("name"))]
+    remote = head.select("name", F.col("playlist_uri").alias("uri"), F.lit(1).alias("rank"))
+    old = I.landed_playlists(head.where("description = 'BUILDING'"), items, songs)
+    return I.crawl(lists, remote.where("false").select("name", "uri"), remote, head, items, songs, old)[1]
+
+
+@query(f"""WITH {SONGS}, hits AS (SELECT * FROM songs WHERE contains(lower(title), 'a'))
+SELECT 'artist:' || CAST(artist_id AS VARCHAR) AS artist_uri, uri, mode <> 0 AS created FROM hits UNION ALL SELECT 'artist:' || CAST(artist_id AS VARCHAR), uri, FALSE FROM songs WHERE mode = 0 AND NOT contains(lower(title), 'a')""")
+def search_effects(spark, d):
+    """Listing all tracks with an a links them to their artists; songs in minor were linked before."""
+    s = R.songs(spark, d).select("mode", "uri", F.col("title").alias("name"), F.concat(F.lit("artist:"), F.col("artist_id").cast("string")).alias("artist_uri"))
+    return I.search_effects(s.where(F.contains(F.lower("name"), F.lit("a"))), {"artist_songs": s.where("mode = 0").select("artist_uri", "uri")})["artist_songs"]
+
+
 @query("SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT r_name FROM region")
 def crawl_union(spark, d):
     return I.crawl_union(*(R.table(spark, d, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("region", "r_name"))))
@@ -562,12 +629,16 @@ def graph_nearest(spark, d):
     return G.nearest(R.table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y")), 25, 1000)
 
 
-@query()
+def _rounds_sql(first: str, step: str, rounds: int) -> str:
+    return ", ".join([f"r0 AS MATERIALIZED ({first})", *(f"r{k} AS MATERIALIZED ({step.format(p=f'r{k - 1}')})" for k in range(1, rounds + 1))])
+
+
+@query(f"""WITH {EDGES}, {_rounds_sql("SELECT node, node AS label FROM deg", "SELECT node, label FROM (SELECT u AS node, label, row_number() OVER (PARTITION BY u ORDER BY count(*) DESC, label) AS k FROM ways2 JOIN {p} ON v = node GROUP BY u, label) WHERE k = 1", 5)} SELECT node, label FROM r5""")
 def graph_label_propagation(spark, d):
     return G.label_propagation(partner_edges(spark, d))
 
 
-@query()
+@query(f"""WITH {EDGES}, {_rounds_sql("SELECT node, CAST(1 AS DOUBLE) AS x FROM deg", "SELECT node, y / sqrt(sum(y * y) OVER ()) AS x FROM (SELECT r.node, r.x + s.s AS y FROM {p} r JOIN (SELECT u, sum(x) AS s FROM ways2 JOIN {p} ON v = node GROUP BY u) s ON s.u = r.node)", 20)} SELECT node, round(x, 6) AS centrality FROM r20""")
 def graph_eigenvector(spark, d):
     return G.eigenvector(partner_edges(spark, d), rounds=20)
 
@@ -577,11 +648,68 @@ def graph_spanning_forest(spark, d):
     return G.spanning_forest(bipartite_projection(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, hop AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS d UNION SELECT v, d + 1 FROM hop JOIN ways2 ON node = u WHERE d < 40), far AS (SELECT node, min(d) AS d FROM hop GROUP BY 1),
+back AS (SELECT x.node AS v, min(y.node) AS u FROM far x JOIN ways2 ON v = x.node JOIN far y ON y.node = u AND y.d = x.d - 1 GROUP BY 1),
+walk AS (SELECT d AS step, node FROM far WHERE node = 2 UNION ALL SELECT step - 1, u FROM walk JOIN back ON v = node) SELECT CAST(step AS INT) AS step, node FROM walk""")
 def graph_path_between(spark, d):
     return G.path_between(partner_edges(spark, d), 1, 2)
 
 
+@query(f"WITH {EDGES} SELECT CAST(a AS VARCHAR) || ' ' || string_agg(CAST(b AS VARCHAR), ' ' ORDER BY b) AS line FROM edges GROUP BY a")
+def adjacency_lines(spark, d):
+    return L.adjacency_lines(partner_edges(spark, d))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS head, CAST(t AS VARCHAR) AS tail FROM (SELECT s_suppkey, unnest([s_nationkey, s_suppkey, s_nationkey + 100, s_suppkey % 7]) AS t FROM supplier)")
+def numbered_lines(spark, d):
+    """A text for each supplier, with comments and lines that go on."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey")
+    text = F.concat(F.lit("* a comment: 1 2\n"), k, F.col("s_name"), F.lit(":"), n.cast("string"), F.lit(" "), k, F.lit("\\\n "), (n + 100).cast("string"), F.lit("\n "), (F.col("s_suppkey") % 7).cast("string"), F.lit("\n"))
+    return L.numbered_lines(R.table(spark, d, "supplier").select(text.alias("text")))
+
+
+@query("""SELECT 's' || CAST(s_suppkey AS VARCHAR) || '@example.org' AS sender, unnest(['n' || CAST(s_nationkey AS VARCHAR) || '@example.org', 'x' || CAST(s_suppkey % 5 AS VARCHAR) || '@example.net', 'all@example.com']) AS recipient, 'about ' || s_name AS subject FROM supplier""")
+def mail_graph(spark, d):
+    """A message for each supplier: two recipients on folded lines, one in copy."""
+    s = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("From: "), F.col("s_name"), F.lit(" <s"), s("s_suppkey"), F.lit("@example.org>\nTo: <n"), s("s_nationkey"), F.lit("@example.org>,\n\tX <x"), (F.col("s_suppkey") % 5).cast("string"), F.lit("@example.net>\nCC: all@example.com\nSubject: about "), F.col("s_name"), F.lit("\n\nTo: nobody@example.com\n"))
+    return L.mail_arcs(R.table(spark, d, "supplier").select(text.alias("text")))
+
+
+@query(f"""WITH {EDGES}, near AS (SELECT a, b FROM edges JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey WHERE abs(x.s_acctbal - y.s_acctbal) < 2000), w AS (SELECT a AS node FROM near UNION ALL SELECT b FROM near)
+SELECT s_suppkey AS node, count(w.node) AS degree FROM supplier LEFT JOIN w ON w.node = s_suppkey GROUP BY 1""")
+def graph_closer_than(spark, d):
+    at = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), "s_acctbal")
+    one = lambda c: at.select(F.col("node").alias(c), F.col("s_acctbal").alias("v" + c))
+    weighted = partner_edges(spark, d).join(one("a"), "a").join(one("b"), "b").select("a", "b", F.abs(F.col("va") - F.col("vb")).alias("weight"))
+    return G.closer_than(weighted, suppliers(spark, d), 2000)
+
+
+_SIDES = f"WITH RECURSIVE {EDGES}, side AS (SELECT s_suppkey AS node, s_acctbal > 4000 AS label FROM supplier), same AS (SELECT a, b FROM edges JOIN side x ON a = x.node JOIN side y ON b = y.node WHERE x.label = y.label)"
+
+
+@query(f"{_SIDES} SELECT a, b, FALSE AS kept FROM (SELECT * FROM edges EXCEPT SELECT * FROM same) UNION ALL SELECT a, b, TRUE FROM same")
+def graph_removed(spark, d):
+    """Edges between labels go; those that stay and those that went make the graph again."""
+    edges = partner_edges(spark, d)
+    kept = G.same_label(edges, supplier_sides(spark, d))
+    gone = G.removed(edges, kept)
+    return G.compose(kept, gone).join(kept.withColumn("kept", F.lit(True)), ["a", "b"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+@query(f"""{_SIDES}, sw AS (SELECT a AS u, b AS v FROM same UNION SELECT b, a FROM same), reach AS (SELECT node AS s, node AS t FROM side UNION SELECT s, v FROM reach JOIN sw ON t = u)
+SELECT side.node, label, min(t) AS component FROM side JOIN reach ON s = side.node GROUP BY 1, 2""")
+def graph_label_subgraphs(spark, d):
+    return G.label_subgraphs(partner_edges(spark, d), supplier_sides(spark, d))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT s_suppkey AS node FROM supplier ORDER BY (s_nationkey - 12) * (s_nationkey - 12) + (s_acctbal - 5000) * (s_acctbal - 5000), s_suppkey LIMIT 1),
+hop AS (SELECT node, 0 AS distance FROM c UNION SELECT v, distance + 1 FROM hop JOIN ways2 ON node = u WHERE distance < 40) SELECT node, CAST(min(distance) AS INT) AS distance FROM hop GROUP BY 1""")
+def graph_distances_from_nearest(spark, d):
+    points = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("x"), F.col("s_acctbal").alias("y"))
+    return G.distances_from_nearest(partner_edges(spark, d), points, 12, 5000)
+
+
 # --------------------------------------------------------------------------- communities, summaries, orders, trees
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quoted_list
+
 ITEMS = "items array<struct<track: struct<name: string, uri: string>>>"
 TOP_TRACKS = "tracks array<struct<name: string, uri: string>>"
 HEADER = "name string, owner struct<display_name: string, uri: string>, followers struct<total: int>, description string, images array<struct<url: string>>"
@@ -50,6 +52,16 @@ def track_details(doc: DataFrame) -> DataFrame:
     return doc.select("uri", "name", "popularity", F.try_element_at("artists", F.lit(1)).getField("uri").alias("artist_uri"))
 
 
+def artist_details(doc: DataFrame) -> DataFrame:
+    """artist_uri, artist, genres (as text)."""
+    return doc.select(F.col("uri").alias("artist_uri"), F.col("name").alias("artist"), quoted_list(F.coalesce("genres", F.array())).alias("genres"))
+
+
+def audio_features(doc: DataFrame) -> DataFrame:
+    """uri and the features of a track, tempo by 100."""
+    return doc.where("uri is not null").select("uri", "danceability", "energy", "mode", "valence", (F.col("tempo") / 100).alias("tempo"), "key")
+
+
 def categories(doc: DataFrame) -> DataFrame:
     return doc.select(F.posexplode("categories.items").alias("pos", "c")).select("pos", "c.id", "c.name")
 
@@ -89,6 +101,45 @@ def write_edges(edges: DataFrame, path: str, sep: str = " ") -> None:
     edges.select("a", "b").write.option("sep", sep).csv(path)
 
 
+def adjacency_lines(arcs: DataFrame, most: int = 1000) -> DataFrame:
+    """line: each node with arcs (a -> b) and its targets, by blanks, ascending; a node of more than `most` targets has
+    several lines of about as many."""
+    size = arcs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("lines"))
+    dealt = arcs.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("lines")))
+    return dealt.groupBy("a", "part").agg(F.array_sort(F.collect_list("b")).alias("bs")).select(F.concat_ws(" ", F.col("a").cast("string"), F.col("bs").cast("array<string>")).alias("line"))
+
+
+def numbered_lines(texts: DataFrame) -> DataFrame:
+    """(text) -> head, tail: arcs of lines `number name:tail tail ...`.
+
+    Lines that begin with * are comments. A line that ends with a backslash goes on with the next, and one that begins
+    with a blank continues the one before. Arcs from a number to itself stay; see self_loops().
+    """
+    joined = F.regexp_replace(F.regexp_replace("text", r"(?m)^\*.*(\r?\n|$)", ""), r"\\?\r?\n(?= )|\\\r?\n", "")
+    line = texts.select(F.explode(F.split(joined, r"\r?\n")).alias("line")).where(F.contains("line", F.lit(":")))
+    head = F.regexp_extract("line", r"^([0-9]+)", 1)
+    tails = F.filter(F.split(F.substring_index("line", ":", -1), r"\s+"), lambda t: t != "")
+    return line.select(head.alias("head"), F.explode(tails).alias("tail")).where("head <> ''")
+
+
+def self_loops(arcs: DataFrame) -> DataFrame:
+    return arcs.where("head = tail")
+
+
+#: Fixed value: the headers of a message that name recipients.
+RECIPIENTS = ("to", "cc", "resent-to", "resent-cc")
+ADDRESS = r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9.-]+"
+
+
+def mail_arcs(messages: DataFrame) -> DataFrame:
+    """(text of a message) -> sender, recipient, subject: an arc for each recipient, as often as it is named."""
+    head = F.regexp_replace(F.substring_index(F.regexp_replace("text", r"\r\n", "\n"), "\n\n", 1), r"\n[ \t]+", " ")
+    field = lambda name: F.regexp_extract_all(head, F.lit(f"(?im)^{name}:(.*)$"), F.lit(1))
+    sender = F.try_element_at(F.regexp_extract_all(F.array_join(field("from"), " "), F.lit(ADDRESS), F.lit(0)), F.lit(1))
+    to = F.regexp_extract_all(F.array_join(F.concat(*(field(n) for n in RECIPIENTS)), ", "), F.lit(ADDRESS), F.lit(0))
+    return messages.select(sender.alias("sender"), F.explode(to).alias("recipient"), F.trim(F.try_element_at(field("subject"), F.lit(1))).alias("subject"))
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path: the files of a folder in ascending order."""
     return spark.read.format("binaryFile").load(folder).select("path").orderBy("path")

@@ -13,6 +13,7 @@ from cadenza.operators import graph as G
 from cadenza.operators import ingest as I  # noqa: E741
 from cadenza.operators import search as Q
 from cadenza.operators import similarity as M
+from cadenza.operators.centrality import centralities
 from cadenza.sources import landed as L
 
 DATA = "/root/testdata/sf0.001"
@@ -89,7 +90,7 @@ def test_graph(spark):
     assert {r["node"]: r["component"] for r in G.components(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6, 7: 6}
     assert {r["node"]: r["distance"] for r in G.path_lengths(e, 1).collect()} == {1: 0, 2: 1, 3: 1, 4: 2}
     assert {r["node"]: r["clustering"] for r in G.clustering(e).collect()}[3] == round(1 / 3, 9)
-    assert {r["node"]: r["betweenness"] for r in G.centralities(e).collect()} == {1: 0, 2: 0, 3: 2, 4: 0, 6: 0, 7: 0}
+    assert {r["node"]: r["betweenness"] for r in centralities(e).collect()} == {1: 0, 2: 0, 3: 2, 4: 0, 6: 0, 7: 0}
     assert [r["generation"] for r in G.generations(spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "a long, b long")).orderBy("node").collect()] == [0, 1, 2]
     with pytest.raises(ValueError):
         G.generations(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"))
@@ -124,15 +125,45 @@ def test_exactly_one_users_and_playlists(spark):
         I.exactly_one(one.unionByName(one.where("v = 1")), ["name"]).collect()
     users = spark.createDataFrame([("a@b.co", "x")], "email string, name string")
     assert I.insert_users(users, spark.createDataFrame([("a@b.co", "y"), ("n@b.co", "z"), ("bad", "q")], "email string, name string")).count() == 2
-    head = spark.createDataFrame([("p:1", "mix")], "uri string, name string")
-    items = spark.createDataFrame([(0, "t", "u0"), (1, "s", "u1"), (2, "t", "u2")], "pos int, name string, uri string")
-    songs = spark.createDataFrame([("u1", "s", "a:1"), ("u2", "t", "a:1")], "uri string, name string, artist_uri string")
-    out = I.ingest_playlist(head, items, songs)
-    assert {tuple(r) for r in out["playlist_songs"].collect()} == {("p:1", "u1"), ("p:1", "u2")} and [tuple(r) for r in out["artist_playlists"].collect()] == [("a:1", "p:1")]
+    with pytest.raises(LookupError, match="no row"):
+        I.exactly_one(one.where("false"), ["name"])
+    wanted = spark.createDataFrame([("b",), ("b",)], "name string")
+    assert [tuple(r) for r in I.exactly_one(one, ["name"], wanted).collect()] == [("b", 2)]
+    with pytest.raises(Exception, match="no row for c"):
+        I.exactly_one(one, ["name"], spark.createDataFrame([("c",)], "name string")).collect()
     links = spark.createDataFrame([("a", "b"), ("a", "z")], "source string, target string")
     assert [r["target"] for r in M.dangling_links(links, spark.createDataFrame([("a",), ("b",)], "id string")).collect()] == ["z"]
 
 
+def test_lookup_rules(spark):
+    names = spark.createDataFrame([("one",), ("two",), ("far",), ("one",)], "name string")
+    local = spark.createDataFrame([("one", "l1"), ("two", "l2"), ("two", "l3")], "name string, uri string")
+    remote = spark.createDataFrame([("one", "r1", 0), ("two", "r3", 2), ("two", "r2", 1), ("far", "r4", 5)], "name string, uri string, rank int")
+    assert {tuple(r) for r in I.lookup(names, local, remote).collect()} == {("one", "l1", "local"), ("two", "r2", "remote"), ("far", "r4", "remote")}
+    with pytest.raises(Exception, match="several rows for two"):
+        I.lookup(names, local, remote, ambiguous="error").collect()
+    lost = spark.createDataFrame([("lost",)], "name string")
+    with pytest.raises(Exception, match="no search results for lost"):
+        I.lookup(lost, local, remote).collect()
+    assert [tuple(r) for r in I.lookup(lost, local, remote, strict=False).collect()] == [("lost", None, "none")]
+
+
+def test_ingestion_of_several_playlists(spark):
+    head = spark.createDataFrame([("p:1", "mix"), ("p:2", "new"), ("p:3", "empty")], "playlist_uri string, name string")
+    items = spark.createDataFrame([("p:1", 0, "t", "u0"), ("p:1", 1, "s", "u1"), ("p:1", 2, "t", "u2"), ("p:2", 0, "s", "u1"), ("p:9", 0, "s", "u1"), ("p:2", 1, "x", "u9")], "playlist_uri string, pos int, name string, uri string")
+    songs = spark.createDataFrame([("u0", "t", "a:0"), ("u1", "s", "a:1"), ("u2", "t", "a:1")], "uri string, name string, artist_uri string")
+    once = I.ingest_playlists(head, items, songs)
+    got = {t: {tuple(r)[:-1] for r in df.where("created").collect()} for t, df in once.items()}
+    assert got["playlist_songs"] == {("p:1", "u1"), ("p:1", "u2"), ("p:2", "u1")} and got["artist_playlists"] == {("a:1", "p:1"), ("a:1", "p:2")}
+    assert len(got["playlists"]) == 3 and {r[0] for r in got["songs"]} == {"u1", "u2"} and got["artists"] == {("a:1",)}
+    again = I.ingest_playlists(head, items, songs, {t: df.drop("created") for t, df in once.items()})
+    assert not any(df.where("created").count() for df in again.values())
+    effects = I.search_effects(songs.withColumn("artist_uri", F.when(F.col("uri") != "u0", F.col("artist_uri"))), {"artists": spark.createDataFrame([("a:1",)], "artist_uri string")})
+    assert {tuple(r) for r in effects["artist_songs"].collect()} == {("a:1", "u1", True), ("a:1", "u2", True)} and not effects["artists"].where("created").count()
+
+
+
+
 def test_landed_search_and_edges(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"tracks": {"items": [{"name": "t", "uri": "u", "artists": [{"name": "A", "uri": "a"}]}, {"name": "x", "uri": "v", "artists": []}]}}')
     doc = L.read_json(spark, str(tmp_path / "s.json"), L.SEARCH)
@@ -155,6 +186,30 @@ def test_landed_documents(spark, tmp_path):
     assert (r["owner"], r["follow_count"], r["cover_image"]) == ('["Ann","u:1"]', 3, None)
 
 
+def test_landed_details_features_and_listings(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"uri": "a:1", "name": "A", "genres": ["x", "it\'s"]}, {"uri": "a:2", "name": "B"}]')
+    assert [tuple(r) for r in L.artist_details(L.read_json(spark, str(tmp_path / "a.json"), L.ARTIST)).collect()] == [("a:1", "A", "['x', \"it's\"]"), ("a:2", "B", "[]")]
+    (tmp_path / "f.json").write_text('[{"uri": "u", "danceability": 0.5, "energy": 0.6, "mode": 1, "valence": 0.7, "tempo": 120.0, "key": 3}]')
+    assert [tuple(r) for r in L.audio_features(L.read_json(spark, str(tmp_path / "f.json"), L.FEATURES)).collect()] == [("u", 0.5, 0.6, 1, 0.7, 1.2, 3)]
+    (tmp_path / "t.json").write_text('{"tracks": [{"name": "a", "uri": "u"}, {"name": "b", "uri": "v"}, {"name": "c", "uri": "w"}]}')
+    assert [tuple(r) for r in L.top_tracks(L.read_json(spark, str(tmp_path / "t.json"), L.TOP_TRACKS), 2).collect()] == [(0, "a", "u"), (1, "b", "v")]
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "x"}, {"id": "y"}], "links": [{"source": "x", "target": "y", "value": 2}]}')
+    doc = L.read_json(spark, str(tmp_path / "g.json"), L.GRAPH)
+    assert [r["id"] for r in L.graph_nodes(doc).collect()] == ["x", "y"] and [tuple(r) for r in L.graph_links(doc).collect()] == [("x", "y", 2.0)]
+    (tmp_path / "frames").mkdir()
+    for n in ("b.png", "a.png"):
+        (tmp_path / "frames" / n).write_bytes(b"x")
+    assert [r["path"].rsplit("/", 1)[1] for r in L.listing(spark, str(tmp_path / "frames")).collect()] == ["a.png", "b.png"]
+    L.write_csv(spark.createDataFrame([(1, 'a"b')], "n int, t string"), str(tmp_path / "csv"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == [("1", 'a"b')]
+    L.write_json(spark.createDataFrame([(1,)], "n int"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).first()["n"] == 1
+    many = L.adjacency_lines(spark.createDataFrame([(1, b) for b in range(50)], "a long, b long"), most=10).collect()
+    assert len(many) > 1 and sorted(int(x) for r in many for x in r["line"].split()[1:]) == list(range(50)) and all(r["line"].startswith("1 ") for r in many)
+    lines = L.numbered_lines(spark.createDataFrame([("* c 1:2\n1one:2 3\\\n 4\n 5\n2two:2\n3:\nno colon\n",), (None,), ("",)], "text string"))
+    assert sorted(tuple(r) for r in lines.collect()) == [("1", "2"), ("1", "3"), ("1", "4"), ("1", "5"), ("2", "2")] and L.self_loops(lines).count() == 1
+
+
 def test_stream_upserts_once(spark, tmp_path):
     from cadenza.streaming.ingest import upsert_stream
 
