@@ -117,9 +117,9 @@ def similarity_graph_nodes(spark, d):
     return R.enumerated(R.playlist_items(spark, d)).join(R.songs(spark, d), "song_id").select("pid", "r", F.col("name").alias("id"))
 
 
-@query(f"WITH {SONGS}, {ITEMS}, {vectors_sql(100)}, {PAIRS.replace('a.r <> b.r', 'a.r < b.r')} SELECT pid, i, j, source, target, score, round(log10(score * 100), 9) AS value FROM hits")
+@query(f"WITH {SONGS}, {ITEMS}, {vectors_sql(100)}, {PAIRS.replace('a.r <> b.r', 'a.r < b.r')} SELECT pid, i, j, source, target, score, round(log10(score * 100), 9) AS value FROM hits WHERE score > 0.995")
 def similarity_undirected(spark, d):
-    return M.undirected_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), pop_div=100)
+    return M.undirected_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), least=0.995, pop_div=100)
 
 
 @query(graph_sql(100, ITEMS, """, touched AS (SELECT pid, source AS name FROM hits UNION SELECT pid, target FROM hits)
@@ -141,12 +141,13 @@ def artist_top50_similarity(spark, d):
 
 
 @query(graph_sql(1, ITEMS, """, n AS (SELECT pid, string_agg('{"id":"' || name || '"}', ',' ORDER BY r) AS nodes FROM placed JOIN songs USING (song_id) GROUP BY 1),
-k AS (SELECT pid, count(*) AS m FROM links GROUP BY 1)
-SELECT n.pid, '{"nodes":[' || nodes || ']' AS head, coalesce(m, 0) AS links FROM n LEFT JOIN k ON n.pid = k.pid"""))
+k AS (SELECT pid, string_agg('{"source":"' || source || '","target":"' || target || '","value":' || CAST(round(score * 1000000000) AS BIGINT) || '}', ',' ORDER BY i, j) AS links FROM links GROUP BY 1)
+SELECT n.pid, sha256('{"nodes":[' || nodes || '],"links":[' || coalesce(links, '') || ']}') AS doc FROM n LEFT JOIN k ON n.pid = k.pid"""))
 def similarity_graph_document(spark, d):
+    """Digests of the whole documents; scores stand in them as billionths, so that both sides write them alike."""
     items, songs = R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d)
-    doc = M.graph_document(items.join(songs.select("song_id", "name"), "song_id"), M.graph_links(items, songs))
-    return doc.select("pid", F.substring_index("doc", ',"links":', 1).alias("head"), F.size(F.from_json("doc", "links array<struct<source: string>>").getField("links")).cast("long").alias("links"))
+    links = M.graph_links(items, songs).withColumn("score", F.round(F.col("score") * 1_000_000_000).cast("long"))
+    return M.graph_document(items.join(songs.select("song_id", "name"), "song_id"), links).select("pid", F.sha2("doc", 256).alias("doc"))
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (

@@ -14,12 +14,9 @@ def upsert_stream(landed: DataFrame, table: str, keys: list[str], checkpoint: st
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            existing = spark.read.schema(batch.schema).parquet(table)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            existing = spark.createDataFrame([], batch.schema)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        existing = spark.read.schema(batch.schema).parquet(table) if there else spark.createDataFrame([], batch.schema)
         get_or_create(existing, batch, keys).where("created").drop("created").write.mode("append").parquet(table)
 
     return landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

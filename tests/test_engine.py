@@ -41,8 +41,18 @@ def test_every_twentieth_link_and_names(spark):
     assert M.graph_links(placed(spark, same), spark.createDataFrame(same, SONG)).count() == 0
 
 
+def test_long_playlists_are_dealt_in_blocks(spark):
+    """Blocks of three songs give the links that one block gives."""
+    s = [song(i, f"n{i % 19}", d=(i * 7 % 11) / 10, e=(i * 5 % 13) / 13, v=(i % 7) / 7, p=i % 3) for i in range(23)]
+    songs, items = spark.createDataFrame(s, SONG), placed(spark, s).unionByName(placed(spark, s[:2], 2))
+    whole, dealt = ({tuple(r) for r in M.graph_links(items, songs, every=3, block=b).collect()} for b in (100, 3))
+    assert whole == dealt and len(whole) > 20
+
+
 def test_zero_vector_scores_zero_and_threshold_is_strict(spark):
     s = [song(1, "a"), song(2, "b", 0.0, 0.0, 0, 0.0, 0.0, 0)]
+    with pytest.raises(Exception, match="not exactly one row"):
+        M.compare_track(spark.createDataFrame(s, SONG), spark.createDataFrame(s, SONG)).collect()
     pairs = M.pair_scores(M.with_vectors(placed(spark, s), spark.createDataFrame(s, SONG)))
     assert pairs.first()["score"] == 0.0
     edge = spark.createDataFrame([(1, 0, 1, "a", "b", 0.97), (1, 0, 2, "a", "c", 0.970000001)], "pid int, i int, j int, source string, target string, score double")
