@@ -45,7 +45,7 @@ def test_long_playlists_are_dealt_in_blocks(spark):
     """Blocks of three songs give the links that one block gives."""
     s = [song(i, f"n{i % 19}", d=(i * 7 % 11) / 10, e=(i * 5 % 13) / 13, v=(i % 7) / 7, p=i % 3) for i in range(23)]
     songs, items = spark.createDataFrame(s, SONG), placed(spark, s).unionByName(placed(spark, s[:2], 2))
-    whole, dealt = ({tuple(r) for r in M.graph_links(items, songs, every=3, block=b).collect()} for b in (100, 3))
+    whole, dealt = ({tuple(r) for r in M.graph_links(items, songs, least=0.8, every=3, block=b).collect()} for b in (100, 3))
     assert whole == dealt and len(whole) > 20
 
 
