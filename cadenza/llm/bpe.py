@@ -14,7 +14,6 @@ import functools
 import hashlib
 import heapq
 import json
-import pickle
 import random
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -205,8 +204,9 @@ def unpack_numbers(packed: tuple[bytes, bytes]) -> np.ndarray:
 
 def _split(batches: Iterator[pa.RecordBatch], path: str, folder: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows (place, word, long): the distinct words of a block, frequent ones first, long ones with their ids; place is
-    the block's number and the word's. The block's documents go into a file of the shared folder: pieces of ids, word
-    counts and packed word numbers. Blocks are the same whenever a task runs again, and so are their files."""
+    the block's number and the word's. The block's documents go into a file of the shared folder: ids, word counts and
+    packed word numbers. Every attempt of a task writes a file of its own; a last row, after the words, names it and
+    tells their number and digest, so whoever gathers the block knows that words and file belong together."""
     ranks = read_ranks(path)
     block = TaskContext.get().partitionId() << BLOCK
     known: dict[bytes, int] = {}
@@ -218,15 +218,23 @@ def _split(batches: Iterator[pa.RecordBatch], path: str, folder: str, block_byte
         order = np.argsort(-often, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        files.write_named(folder, f"block-{block}", pickle.dumps([(own, counts, pack_numbers(rank[codes])) for own, counts, codes in held]))
+        if len(known) >= 1 << WORD or block >> BLOCK != TaskContext.get().partitionId():
+            raise ValueError("too many words in a block, or blocks in a task")
+        packs = [pack_numbers(rank[codes]) for *_, codes in held]
+        kept = pa.table({"ids": pa.array([own for own, *_ in held], pa.list_(pa.int64())), "counts": pa.array([c for _, c, _ in held], pa.list_(pa.int64())), "small": [a for a, _ in packs], "rest": [b for _, b in packs]})
+        with files.created(folder, f"block-{block}") as file, pa.ipc.new_stream(file.open(), kept.schema) as sink:
+            sink.write_table(kept)
         words = list(known)
-        words = [words[i] for i in order.tolist()] or [b""]  # a block without words has a row too
+        words = [words[i] for i in order.tolist()]
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))])
             spelled = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(part), np.int8)))
             done = pa.array([np.array(merge_long(w, ranks), id_type(path)).tobytes() if len(w) > LONG else None for w in part], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array((block << WORD) + np.arange(i, i + len(part))), spelled, done], ["place", "word", "long"])
+        name = file.own.encode()
+        last = json.dumps({"file": file.own, "digest": words_digest(b"".join(words), np.fromiter(map(len, words), np.int64, len(words)))}).encode()
+        yield pa.RecordBatch.from_arrays([pa.array([(block << WORD) + len(words)], pa.int64()), pa.array([list(name)], pa.list_(pa.int8())), pa.array([last], pa.binary())], ["place", "word", "long"])
 
     for own, texts in text_pieces(batches):
         joined, cp, starts, ends, doc, hashes = tokenize.split([t.decode(errors="replace") for t in texts], True)
@@ -242,13 +250,36 @@ def _split(batches: Iterator[pa.RecordBatch], path: str, folder: str, block_byte
         yield from close()
 
 
-def _documents(folder: str, block: int, flat: np.ndarray, length: np.ndarray) -> Iterator[tuple[list, list[np.ndarray]]]:
+def words_digest(spelled: bytes, sizes: np.ndarray) -> str:
+    return hashlib.sha256(spelled + sizes.astype("<i8").tobytes()).hexdigest()
+
+
+def _checked(block: int, numbers: np.ndarray, data: bytes, sizes: np.ndarray, path: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """(file, ids of the words one after another, ids of each) of a block's gathered rows, the last of which is the
+    file's. RuntimeError unless the ids decode to the very words that the file was written with."""
+    kind, pieces = id_type(path), pieces_by_id(path)
+    ends = len(data) - int(sizes[-1])
+    flat, length = np.frombuffer(data[:ends], kind), sizes[:-1] // kind.itemsize
+    try:
+        said = json.loads(data[ends:])
+    except ValueError:
+        said = {}
+    spelled = [pieces[i] for i in flat.tolist()]
+    size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))])
+    stops = np.cumsum(length)
+    if (numbers != np.arange(len(sizes))).any() or said.get("digest") != words_digest(b"".join(spelled), size[stops] - size[stops - length]):
+        raise RuntimeError(f"block {block}: words and file are of different runs; run the query again")
+    return said["file"], flat, length
+
+
+def _documents(folder: str, name: str, flat: np.ndarray, length: np.ndarray) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(doc_ids, ids of each) of a block, some at a time; flat, length: the ids of its words."""
     place = np.cumsum(length) - length
-    with files.open_input(f"{folder}/block-{block}") as f:
-        pieces = pickle.loads(f.read())
-    for docs, counts, packed in pieces:
-        codes = unpack_numbers(packed)
+    with files.open_input(f"{folder}/{name}") as f:
+        kept = pa.ipc.open_stream(f).read_all()
+    for k in range(kept.num_rows):
+        docs, counts = kept["ids"][k].as_py(), np.array(kept["counts"][k].as_py(), np.int64)
+        codes = unpack_numbers((kept["small"][k].as_py(), kept["rest"][k].as_py()))
         ids, ends = tokenize.gather(flat, place[codes], length[codes]), np.cumsum(length[codes])
         stops = np.concatenate([[0], ends])[np.cumsum(counts)]
         yield docs, np.split(ids, stops[:-1])
@@ -282,25 +313,29 @@ class Digests:
 
 def _assemble(batches: Iterator[pa.RecordBatch], path: str, folder: str, finish: Callable[[list, list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Rows (place, ids) in order -> what `finish` makes of the documents."""
-    block, kind = None, id_type(path)
+    block = None
     values: list[bytes] = []
     sizes: list[np.ndarray] = []
+    numbers: list[np.ndarray] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        for docs, ids in _documents(folder, block, np.frombuffer(b"".join(values), kind), np.concatenate(sizes) // kind.itemsize):
+        name, flat, length = _checked(block, np.concatenate(numbers), b"".join(values), np.concatenate(sizes), path)
+        for docs, ids in _documents(folder, name, flat, length):
             yield from finish(docs, ids)
 
     for b in batches:
-        owner = b.column("place").to_numpy() >> WORD
+        place = b.column("place").to_numpy()
+        owner = place >> WORD
         cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
         for s, e in zip(cuts, [*cuts[1:], len(owner)], strict=True):
             if owner[s] != block:
                 if block is not None:
                     yield from out()
-                block, values, sizes = int(owner[s]), [], []
+                block, values, sizes, numbers = int(owner[s]), [], [], []
             part = b.column("ids").slice(s, e - s)
             values.append(b"".join(part.to_pylist()))
             sizes.append(pa.compute.binary_length(part).to_numpy().astype(np.int64))
+            numbers.append(place[s:e] & ((1 << WORD) - 1))
     if block is not None:
         yield from out()
 

@@ -39,19 +39,6 @@ class created:  # noqa: N801
                 self.system.move(f"{self.base}/{self.own}.part", f"{self.base}/{self.own}")
 
 
-def write_named(folder: str, name: str, data: bytes) -> None:
-    """Writes under a given name; whoever writes it again writes the same."""
-    system, base = locate(folder)
-    system.create_dir(base, recursive=True)
-    own = f"{base}/{uuid.uuid4().hex}.part"
-    with system.open_output_stream(own, compression=None) as f:
-        f.write(data)
-    if system.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
-        system.move(own, f"{base}/{name}")
-    else:
-        system.delete_file(own)
-
-
 def open_input(uri: str):
     system, path = locate(uri)
     return system.open_input_file(path)

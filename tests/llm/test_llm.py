@@ -138,6 +138,36 @@ def test_bpe_equals_tiktoken(spark, edge, empty, docs):
     assert not bpe.encode(empty, path).count()
 
 
+def test_bpe_runs_again_over_other_splits(spark, tmp_path):
+    """A frame gives the same rows in a second action, though its input is dealt to other tasks in another order."""
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    df = spark.range(400).selectExpr("id as doc_id", "concat('word', id, ' and ', id % 7, ' more of text ', id * id) as text")
+    df.repartition(6).write.parquet(str(tmp_path / "docs"))
+    out = bpe.encode(spark.read.parquet(str(tmp_path / "docs")), path)
+    try:
+        first = {(r["doc_id"], tuple(r["ids"])) for r in out.collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        again = out.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(first) == len(again) == 400 and {(r["doc_id"], tuple(r["ids"])) for r in again} == first
+
+
+def test_bpe_refuses_words_of_another_run():
+    import json
+
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
+    ids = [bpe.merge_long(w, bpe.read_ranks(path)) for w in (b"one", b" two")]
+    rows = [np.array(x, bpe.id_type(path)).tobytes() for x in ids]
+    last = json.dumps({"file": "f", "digest": bpe.words_digest(b"one two", np.array([3, 4]))}).encode()
+    check = lambda parts, numbers: bpe._checked(0, np.array(numbers), b"".join(parts), np.array([len(p) for p in parts]), path)
+    assert check([*rows, last], [0, 1, 2])[0] == "f"
+    for parts, numbers in (([rows[1], rows[0], last], [0, 1, 2]), ([rows[0], last], [0, 2]), ([rows[0], last], [0, 1]), (rows, [0, 1]), ([rows[0], rows[0], last], [0, 1, 2])):
+        with pytest.raises(RuntimeError, match="different runs"):
+            check(parts, numbers)
+
+
 @pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_word_cache_equals_the_library(name, kind):
     import public_tokenizers as P
