@@ -1,5 +1,6 @@
 """Exact token ids of whole texts: numpy cuts a batch of texts into the tokenizer's words, and only words that the
-worker has not met yet are given to the tokenizers library."""
+worker has not met yet are given to the tokenizers library. Texts with a special token, or with characters that Python's
+Unicode tables don't know yet, go to the library whole."""
 
 from __future__ import annotations
 
@@ -21,12 +22,13 @@ _caches: dict[tuple[str, str], WordCache] = {}
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """By code point: its class, and a random 64-bit value."""
     if not _tables:
-        kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+        kinds, unknown = np.zeros(sys.maxunicode + 1, np.uint8), np.zeros(sys.maxunicode + 1, bool)
         for i in range(sys.maxunicode + 1):
-            c = unicodedata.category(chr(i))[0]
+            category = unicodedata.category(chr(i))
+            c, unknown[i] = category[0], category == "Cn"
             kinds[i] = LETTER if c == "L" else NUMBER if c == "N" else OTHER
         kinds[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE  # the White_Space property
-        _tables["kind"] = kinds
+        _tables["kind"], _tables["unknown"] = kinds, unknown
         _tables["value"] = mix(np.arange(sys.maxunicode + 1, dtype=_U), 0x5EED) | _U(1)
     return _tables["kind"], _tables["value"]
 
@@ -93,8 +95,9 @@ class WordCache:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.loaded = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # words never hold a special token; `loaded` cuts texts that do
+        self.special = [t.content for t in self.loaded.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         ends = [i for w, i in vocabulary.items() if w.endswith("</w>")]
         #: By id: does it end a joined word; and is it part of that word (else it is the line break itself).
@@ -155,9 +158,32 @@ def largest_id(path: str, kind: str) -> int:
     return len(cache.closing) - 1
 
 
+def odd(text: str, kind: str, special: list[str]) -> bool:
+    """Whether a text goes to the library whole."""
+    if any(s[:2] in text for s in special) and any(s in text or s in text.lower() for s in special):
+        return True
+    if kind != "word" or text.isascii():
+        return False
+    _classes()
+    return bool(_tables["unknown"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
 def encode(texts: list[str], path: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts one after another, number of ids by text). kind: "byte" or "word", the file's pre-tokenizer."""
+    """(ids of all texts one after another, number of ids by text), as the library gives them without adding special
+    tokens. kind: "byte" or "word", the file's pre-tokenizer."""
     cache = _caches.get((path, kind)) or _caches.setdefault((path, kind), WordCache(path))
+    apart = [i for i, t in enumerate(texts) if odd(t, kind, cache.special)]
+    apart_set = set(apart)
+    ids, counts = _encode_words(texts if not apart else ["" if i in apart_set else t for i, t in enumerate(texts)], cache, kind)
+    if not apart:
+        return ids, counts
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    for i, e in zip(apart, cache.loaded.encode_batch_fast([texts[i] for i in apart], add_special_tokens=False), strict=True):
+        parts[i], counts[i] = np.array(e.ids, ids.dtype), len(e.ids)
+    return np.concatenate(parts), counts
+
+
+def _encode_words(texts: list[str], cache: WordCache, kind: str) -> tuple[np.ndarray, np.ndarray]:
     if kind == "word":
         texts = [normalised(t) for t in texts]
     joined, cp, starts, ends, doc, hashes = split(texts, kind == "byte")
