@@ -544,6 +544,24 @@ def test_packing_places_every_piece(spark, edge, empty):
     assert not packing.pack(empty, path).count()
 
 
+def test_token_queries_equal_the_library(spark, docs):
+    """op7 and op10 as registered: every document's ids, with the end id, at their places, each once."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    byte, word = (Tokenizer.from_file(P.path(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k"))
+    whole = lambda t: [[*e.ids, 0] for e in t.encode_batch([x or "" for x in docs.text], add_special_tokens=False)]
+    at, want = 0, set()
+    for d, ids in zip(docs.doc_id, whole(byte), strict=True):
+        want.add((d, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op7_token_files(spark, DATA).collect()} == want
+    want = {(d, k, s, len(ids[s : s + 2048]), crc(ids[s : s + 2048])) for d, ids in zip(docs.doc_id, whole(word), strict=True) for k, s in enumerate(range(0, len(ids), 2048))}
+    got = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in queries.op10_best_fit_packing(spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
