@@ -146,6 +146,13 @@ class WordCache:
         self.spelled, self.ids = np.concatenate([self.spelled, gather(cp, starts, sizes)]), np.concatenate([self.ids, ids])
 
 
+def among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def gather(values: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
     """values[place : place + length] of each, one after another."""
     ends = np.cumsum(length)
@@ -206,6 +213,6 @@ def _encode_words(texts: list[str], cache: WordCache, kind: str) -> tuple[np.nda
     np.add.at(counts, doc, length[which])
     # remembered: one word for each new hash; another word with the hash of a known one is encoded anew each time
     by = missing[np.argsort(h[missing], kind="stable")]
-    fresh = by[np.concatenate([[True], h[by][1:] != h[by][:-1]]) & ~np.isin(h[by], cache.known)] if len(by) else by
+    fresh = by[np.concatenate([[True], h[by][1:] != h[by][:-1]]) & ~among(cache.known, h[by])] if len(by) else by
     cache.add(h[fresh], cp, start[fresh], size[fresh], place[fresh] - len(cache.ids), length[fresh], new)
     return ids, counts
