@@ -117,9 +117,15 @@ def similarity_graph_nodes(spark, d):
     return R.enumerated(R.playlist_items(spark, d)).join(R.songs(spark, d), "song_id").select("pid", "r", F.col("name").alias("id"))
 
 
-@query(f"WITH {SONGS}, {ITEMS}, {vectors_sql(100)}, {PAIRS.replace('a.r <> b.r', 'a.r < b.r')} SELECT pid, i, j, source, target, score, round(log10(score * 100), 9) AS value FROM hits WHERE score > 0.995")
+@query(f"""WITH {SONGS}, {ITEMS}, {vectors_sql(100)}, {PAIRS.replace('a.r <> b.r', 'a.r < b.r')} SELECT pid, i, min(source) AS source, count(*) AS n, CAST(sum(j) AS BIGINT) AS sum_j, CAST(sum(j * j) AS BIGINT) AS sum_jj,
+CAST(sum(CAST(round(log10(score * 100) * 1000000000) AS BIGINT) * (j + 1)) AS BIGINT) AS sum_value FROM hits GROUP BY pid, i""")
 def similarity_undirected(spark, d):
-    return M.undirected_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), least=0.995, pop_div=100)
+    """All links, by their first song: how many, and sums that tell their other ends and weights (in billionths, times
+    the other end's place) apart."""
+    links = M.undirected_links(R.enumerated(R.playlist_items(spark, d)), R.songs(spark, d), pop_div=100)
+    j = F.col("j").cast("long")
+    value = F.round(F.col("value") * 1_000_000_000).cast("long")
+    return links.groupBy("pid", "i").agg(F.min("source").alias("source"), F.count("*").alias("n"), F.sum(j).alias("sum_j"), F.sum(j * j).alias("sum_jj"), F.sum(value * (j + 1)).alias("sum_value"))
 
 
 @query(graph_sql(100, ITEMS, """, touched AS (SELECT pid, source AS name FROM hits UNION SELECT pid, target FROM hits)
