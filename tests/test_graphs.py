@@ -244,7 +244,9 @@ def test_independent_set_and_beams(spark):
     star = frame(spark, [(1, 2), (1, 3), (1, 4), (2, 5), (3, 5), (4, 6)])
     level = orders.beam_search(star, values, 1, 2, per_level=True)
     assert rows(level) == [(0, 1), (1, 3), (1, 4), (2, 5), (2, 6), (3, 2)]  # 2 was not among the best, and is met again
-    assert rows(orders.widening_search(star, values, 1, 6.0)) == [(2, 2, 6, 6.0)] and not orders.widening_search(star, values, 1, 7.0).count()
+    assert rows(orders.widening_search(star, values, 1, 6.0)) == [(1, 2, 6, 6.0)]
+    assert rows(orders.widening_search(star, values, 5, 6.0)) == [(2, 4, 6, 6.0)]  # one best neighbour leads back
+    assert not orders.widening_search(star, values, 1, 7.0).count()
 
 
 def test_triangles_at_a_hub(spark):
