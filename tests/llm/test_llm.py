@@ -456,6 +456,62 @@ def test_pii_names_formats_and_hard_texts(spark):
     assert hard.select(F.regexp_replace("t", F.lit(pii.PATTERN), F.lit("@")).alias("t")).where("length(t) > 0").count() == len(big)
 
 
+def said(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.surrogates(df, "k").orderBy("doc_id").collect()]
+
+
+def test_pii_titled_names_in_every_writing(spark):
+    texts = [
+        "Mr. Jean-Luc Picard came", "Mrs. Smith-Jones came", "Mr. O'Brien came", "Mr J. Smith came", "MR. JOHN SMITH came", "Mr.  Anna  Weber came", "Mr.\nPaul Klee came", "call 212-555-1234 or 212.555.1234 now",
+        "Herr von Braun, Dr. John F. Kennedy, Mme de Gaulle and Mr. Smith's dog", "MS Word and Mr. of 12-555-1234-9",
+    ]
+    out = said(spark, *texts)
+    shapes = [
+        r"Mr\. [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]{5} came", r"Mrs\. [A-Z][a-z]{4}-[A-Z][a-z]{4} came", r"Mr\. [A-Z]'[A-Z][a-z]{4} came", r"Mr [A-Z]\. [A-Z][a-z]{4} came", r"MR\. [A-Z]+ [A-Z]{5} came",
+        r"Mr\.  [A-Z][a-z]+  [A-Z][a-z]{4} came", r"Mr\.\n[A-Z][a-z]+ [A-Z][a-z]{3} came", r"call (\d{3})-(\d{3})-(\d{4}) or \1\.\2\.\3 now",
+        r"Herr von [A-Z][a-z]{4}, Dr\. [A-Z][a-z]+ [A-Z]\. [A-Z][a-z]{6}, Mme de [A-Z][a-z]{5} and Mr\. [A-Z][a-z]{4}'s dog", re.escape(texts[9]),
+    ]
+    for old, new, shape in zip(texts, out, shapes, strict=True):
+        assert re.fullmatch(shape, new), (old, new)
+        kept = {"came", "call", "Mr", "Mrs", "MR", "Herr", "von", "Dr", "Mme", "de", "and", "dog", "now", "or", "s", "O"}
+        assert new == old or not {w for w in re.findall(r"\w{2,}", old) if w not in kept} & set(re.findall(r"\w+", new)), new
+
+
+def test_pii_common_words_stay_and_names_keep_their_person(spark):
+    a, b, c = said(
+        spark,
+        "Mr. Will Young met Dr. May Rose. Will you come in May? Will Young did; a Baker and Mr. Tim Baker met the baker.",
+        "Mrs. Karl Weber and Mr. Karl Weber and Dr. Karl Weber and Karl Weber's car; WEBER, Weberin, Karl  Weber",
+        "Mrs. Alex Weber wrote. Dr. Alex Weber did too, and Weber, and Alex.",
+    )
+    m = re.fullmatch(r"Mr\. (\w+ \w+) met Dr\. \w+ \w+\. Will you come in May\? (\w+ \w+) did; a Baker and Mr\. \w+ (\w+) met the baker\.", a)
+    assert m and m[1] == m[2] != "Will Young" and m[3] != "Baker"
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) and Mr\. (\w+) (\w+) and Dr\. (\w+) (\w+) and (\w+) (\w+)'s car; (\w+), Weberin, (\w+)  (\w+)", b)
+    assert m and m[1] in pii.GIVEN["latin", "f"] and m[3] == m[5] and m[3] in pii.GIVEN["latin", "m"] and "Karl" not in b
+    assert m[2] == m[4] == m[6] == m[8] and m[9] == m[2].upper() and {(m[7], m[8]), (m[10], m[11])} <= {(m[1], m[2]), (m[3], m[4])}
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) wrote\. Dr\. (\w+) (\w+) did too, and (\w+), and (\w+)\.", c)
+    assert m and m[1] == m[3] == m[6] and m[2] == m[4] == m[5] and m[1] in pii.GIVEN["latin", "f"]
+
+
+def test_pii_full_formats_grow_in_their_script_and_long_secrets_are_streamed(spark):
+    old = [c + v for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]  # every name of one consonant and one vowel
+    new = [t.split()[1] for t in said(spark, *(f"Mr. {x} came" for x in old))]
+    assert len(set(new)) == len(old) and not set(new) & set(old) and all(re.fullmatch("[A-Z][a-z]+", x) for x in new)
+    (text,) = said(spark, "token=" + "abc1" * 100)
+    secret = text.removeprefix("token=")
+    assert len(secret) == 400 and len({secret[i : i + 4] for i in range(0, 400, 4)}) > 90
+
+
+def test_pii_many_names_in_one_text_take_linear_time(spark):
+    letters = "bcdfghklmnprstvz"
+    names = ["".join(letters[(i >> (4 * j)) % 16] + "aeio"[(i >> j) % 4] for j in range(4)).capitalize() for i in range(20_000)]
+    assert len(set(names)) == len(names)
+    (text,) = said(spark, " ".join(f"Mr. {x} came, said {x} then." for x in names))
+    pairs = re.findall(r"Mr\. (\w+) came, said (\w+) then\.", text)
+    assert len(pairs) == len(names) and all(a == b for a, b in pairs) and len({a for a, _ in pairs}) == len(names) and not {a for a, _ in pairs} & set(names)
+
+
 def test_pii_surrogates_stay_distinct(spark):
     ips = [f"{a}.{b}.7.9" for a in range(20, 60) for b in range(1, 11)]
     df = spark.createDataFrame([(i, f"from {x} on") for i, x in enumerate(ips)], "doc_id long, text string")
