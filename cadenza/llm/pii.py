@@ -241,7 +241,7 @@ def surrogate(k: Column, gender: Column, canonical: Column, n: Column, key: str)
         small, several = w.isin(PARTICLES) | w.rlike(r"^\p{L}\.?$"), F.size(words) > 1
         again = scramble(w, token(w, F.when(several, n - n % 4).otherwise(n)))
         grown = F.when((n >= STRICT_ROUNDS) & (i == F.size(words) - 1), more(script)).otherwise("")
-        return F.when(w.isin(PARTICLES), w).when(several & (i == 0) & ~small, given(w)).otherwise(F.concat(again, grown))
+        return F.when(w.isin(PARTICLES) & (i < F.size(words) - 1), w).when(several & (i == 0) & ~small, given(w)).otherwise(F.concat(again, grown))
 
     def more(alphabet: Column) -> Column:
         drawn = F.substring(F.sha2(F.concat(seed, F.lit("|more")), 256), F.lit(1), n - STRICT_ROUNDS + 1)
