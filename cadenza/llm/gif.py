@@ -20,6 +20,8 @@ from .common import Scratch
 #: Samples in a row, rows in a frame and hundredths of a second that a frame stays, of what the encoder writes.
 WIDTH, FRAME_ROWS, DELAY = 192, 256, 10
 BINS = 8
+#: Pixels of a canvas, and of a region, that `frames` decodes at most; larger ones give an error row.
+MOST_PIXELS = 1 << 24
 _FULL = 4096
 
 
@@ -177,11 +179,14 @@ def _rows_in_order(height: int) -> np.ndarray:
     return np.concatenate([np.arange(s, height, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The frames as a viewer shows them. Raises ValueError or IndexError on damaged data."""
+def decode_gif(data: bytes, most_pixels: int | None = None) -> Iterator[Frame]:
+    """The frames as a viewer shows them. Raises ValueError or IndexError on damaged data, and ValueError where a canvas
+    or a region has more than `most_pixels`, before either is allocated."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if most_pixels is not None and width * height > most_pixels:
+        raise ValueError(f"a canvas of {width} x {height} has more than {most_pixels} pixels")
     at, palette = 13, np.zeros((0, 3), np.uint8)
     if flags & 0x80:
         n = 2 << (flags & 7)
@@ -203,6 +208,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
             raise ValueError(f"unknown block {kind}")
         left, top, w, h, f = struct.unpack("<HHHHB", data[at + 1 : at + 10])
         at += 10
+        if most_pixels is not None and w * h > most_pixels:
+            raise ValueError(f"a region of {w} x {h} has more than {most_pixels} pixels")
         colours = palette
         if f & 0x80:
             n = 2 << (f & 7)
@@ -255,7 +262,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return src.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frames(batches: Iterator[pa.RecordBatch], most_pixels: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "red", "green", "blue", "pixels", "error"]
     counts = pa.list_(pa.int64())
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), counts, counts, counts, pa.binary(), pa.string()]
@@ -266,19 +273,20 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for doc, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             try:
-                for k, f in enumerate(decode_gif(media or b"")):
+                for k, f in enumerate(decode_gif(media or b"", most_pixels)):
                     h, w = f.canvas.shape[:2]
                     yield out([(doc, k, f.start, f.delay, w, h, *f.histogram().tolist(), f.canvas.tobytes(), None)])
             except (ValueError, IndexError, struct.error) as e:
                 yield out([(doc, None, None, None, None, None, None, None, None, None, str(e))])
 
 
-def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row per frame: doc_id, frame, start_ms, delay_ms, width, height, red, green, blue (histograms of BINS bins),
     pixels (RGBA of the whole canvas) and error. Media that can't be decoded, null included, give the frames before the
-    damage and a row with the error alone."""
+    damage and a row with the error alone; so do those with a canvas or region above `most_pixels`, which bounds a
+    task's memory."""
     schema = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, red array<long>, green array<long>, blue array<long>, pixels binary, error string"
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(_frames, schema)
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(functools.partial(_frames, most_pixels=most_pixels), schema)
 
 
 def payload(data: bytes) -> tuple[bytes, str]:

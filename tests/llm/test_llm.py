@@ -538,6 +538,13 @@ def test_gif_round_trip_and_rules(spark, edge, empty):
     frames = gif.frames(spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"GIF89a")), (3, None)], "doc_id long, media binary")).collect()
     assert Counter(r["doc_id"] for r in frames) == {1: 3, 2: 1, 3: 1} and all((r["error"] is None) == (r["doc_id"] == 1) for r in frames)
     assert frames[0]["red"][7] == 2
+    # a header of 37 bytes that asks for 16 GiB, and a region that does
+    wide = bytes([0xFF] * 4)
+    huge = b"GIF89a" + wide + bytes([0x80, 0, 0]) + data[13:19] + image + b"\x08\0\x3b"
+    region = data[:19] + image[:5] + wide + b"\0" + stream([0]) + b"\x3b"
+    errors = [r["error"] for r in gif.frames(spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(region))], "doc_id long, media binary")).collect()]
+    assert [e.split(" of ")[0] for e in errors] == ["a canvas", "a region"]
+    assert gif.frames(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary"), most_pixels=3).first()["error"].startswith("a canvas of 2 x 2")
 
 
 def test_packing_plan_is_whole_and_tight():
