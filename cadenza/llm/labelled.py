@@ -1,4 +1,4 @@
-"""Bounded samples of labelled texts, and logistic regression on them."""
+"""Bounded samples of labelled rows, and logistic regression on them."""
 
 from __future__ import annotations
 
@@ -7,29 +7,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Labelled texts of more than SPREAD characters enter a fit by PARTS evenly spaced parts of together SPREAD characters.
-SPREAD, PARTS = 20_000, 20
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, y (0 or 1): at most `per_class` labelled rows of each class, those whose ids hash lowest, with their
+    whole texts.
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
-    """(doc_id, text, 0 or 1) of at most `per_class` labelled rows of each class: those whose ids hash lowest.
-
-    The ids are chosen first, so the join has a bounded side; long texts are represented by parts spread over the whole
-    text, so the sample has 2 * per_class * SPREAD characters at most. Scoring reads whole texts. Rows with null labels,
-    ids or texts, and repeated ids, serve once or not at all.
+    The ids are chosen first, so the join has a bounded side; texts stay on executors. Rows with null labels, ids or
+    texts are left out. Of a repeated id the smallest text serves, and of its labels the smallest with that text.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    text, n = F.col("text"), F.char_length("text")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, (F.floor(i * n / PARTS) + 1).cast("int"), F.lit(SPREAD // PARTS)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    spread = F.when(n > SPREAD, F.array_join(parts, " ")).otherwise(text).alias("text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", spread, "y").collect()  # 2 * per_class ids at most
-    found = {r["doc_id"]: (r["doc_id"], r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["y"]), reverse=True)}
-    return sorted(found.values())
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids at most
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.text", "r.y")
 
 
 def positive_share(labels: DataFrame, label: str) -> float | None:

@@ -16,7 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import labelled_sample, logistic, positive_share, sigmoid
+from .common import Scratch
+from .labelled import labelled_rows, logistic, positive_share, sigmoid
 
 DICTIONARY, LEVEL, SLICE = 65_536, 3, 200
 
@@ -52,35 +53,60 @@ def features(texts: list[bytes], model: Model) -> np.ndarray:
     return np.stack([np.ones(len(x)), x, r, x * x, r * r, x * r], 1)
 
 
-def fit_sample(sample: list[tuple[int, str, int]], share: float | None = None, *, dictionary_bytes: int = 2_000_000) -> Model:
-    """The first texts of each class, up to `dictionary_bytes`, make its dictionary; the others calibrate, weighted so
-    that label 1 has the given share."""
-    parts: dict[int, list[bytes]] = {0: [], 1: []}
-    rest: list[tuple[bytes, int]] = []
-    totals = {y: sum(len(t.encode()) for _, t, k in sample if k == y) for y in (0, 1)}
-    used = {0: 0, 1: 0}
-    for _, t, y in sorted(sample, key=lambda r: (r[0] * 2654435761) % 2**32):
-        b = t.encode()
+def in_dictionary(sizes: list[tuple[int, int, int]], dictionary_bytes: int) -> tuple[list[int], list[int]]:
+    """(ids whose texts make the dictionaries, ids that calibrate), in an order by hashed id, from (doc_id, y, bytes): the
+    first texts of each class, until they have `dictionary_bytes` or half of the class's bytes."""
+    totals = {y: sum(n for _, k, n in sizes if k == y) for y in (0, 1)}
+    used, first, rest = {0: 0, 1: 0}, [], []
+    for i, y, n in sorted(sizes, key=lambda r: ((r[0] * 2654435761) % 2**32, r[0])):
         if used[y] < min(dictionary_bytes, totals[y] / 2):
-            parts[y].append(b)
-            used[y] += len(b)
+            first.append(i)
+            used[y] += n
         else:
-            rest.append((b, y))
-    model = Model(*dictionaries(parts[0], parts[1]), np.zeros(6))
-    y = np.array([k for _, k in rest], float)
+            rest.append(i)
+    return first, rest
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, share: float | None) -> Model:
+    """Weights from the features x of texts outside the dictionaries, weighted so that label 1 has the given share."""
     if len(y) and y.min() < y.max():
         share = y.mean() if share is None else min(max(share, 1e-6), 1 - 1e-6)
-        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        model.weights = logistic(features([b for b, _ in rest], model), y, 1e-3, weight=weight)
+        model.weights = logistic(x, y, 1e-3, weight=np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     elif len(y):
         model.weights[0] = 3.0 if y[0] else -3.0
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most 2 * per_class labelled rows, long texts by parts spread over the whole text."""
-    sample = labelled_sample(docs, labels, label, per_class=per_class, id_col=id_col, text_col=text_col)
-    return fit_sample(sample, positive_share(labels, label))
+def fit_sample(sample: list[tuple[int, str, int]], share: float | None = None, *, dictionary_bytes: int = 2_000_000) -> Model:
+    """The fit of a sample in memory (ids differ); `fit` gives the same model from tables."""
+    own = {i: (t.encode(), y) for i, t, y in sample}
+    first, rest = in_dictionary([(i, y, len(b)) for i, (b, y) in own.items()], dictionary_bytes)
+    model = Model(*dictionaries(*([own[i][0] for i in first if own[i][1] == y] for y in (0, 1))), np.zeros(6))
+    return calibrate(model, features([own[i][0] for i in rest], model), np.array([own[i][1] for i in rest], float), share)
+
+
+def _features(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = features([t.as_py() for t in b.column(1).cast(pa.binary())], model)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", dictionary_bytes: int = 2_000_000) -> Model:
+    """Fits on at most 2 * per_class labelled rows with their whole texts.
+
+    The driver gets the sizes of these, the texts of the dictionaries (of each class `dictionary_bytes` and the rest of
+    one text at most), and six features of each other text, which executors compress."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
+    rows = scratch.table(labelled_rows(docs, labels, label, per_class=per_class, id_col=id_col, text_col=text_col), "sample")
+    sizes = [(r["doc_id"], r["y"], r["n"]) for r in rows.select("doc_id", "y", F.octet_length("text").alias("n")).collect()]
+    first, rest = in_dictionary(sizes, dictionary_bytes)
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in first], "doc_id long"))
+    own = {r["doc_id"]: (r["text"].encode(), r["y"]) for r in rows.join(ids, "doc_id").collect()}
+    model = Model(*dictionaries(*([own[i][0] for i in first if own[i][1] == y] for y in (0, 1))), np.zeros(6))
+    found = {r["doc_id"]: r for r in rows.join(ids, "doc_id", "left_anti").select("doc_id", "text", "y").mapInArrow(functools.partial(_features, model=model), "doc_id long, y int, x array<double>").collect()}
+    scratch.drop(rows)
+    x = np.array([found[i]["x"] for i in rest]).reshape(-1, 6)
+    return calibrate(model, x, np.array([found[i]["y"] for i in rest], float), positive_share(labels, label))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -237,7 +237,7 @@ def test_toxicity_of_long_texts(spark):
                     parts.append(r.choice(held))
                 texts.append("\n".join(parts))
             assert ((chain.predict(chain.matrix(texts)[0])[:, -1] >= 0.5) == y).all(), (y, size)
-    # labelled texts of more than SPREAD characters take part in the fit
+    # long labelled texts take part in the fit, whole
     long = [(i, ("you idiot and fool " if i % 2 else "you friend and helper ") * 12_000, i % 2) for i in range(20)]
     df = spark.createDataFrame(long, "doc_id long, text string, toxic int").repartition(4)
     chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
@@ -252,6 +252,54 @@ def test_toxicity_edge_cases(edge, empty):
     assert toxicity.fit_chain([]).predict(np.ones((1, 1)))[0, 0] < 0.5
 
 
+def labelled(label, keep=lambda i: True, d="/root/testdata/sf0.01"):
+    m = pd.read_parquet(f"{d}/documents.parquet").merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id").sort_values("doc_id")
+    return m, [(int(i), t, int(y)) for i, t, y in zip(m.doc_id, m.text, m[label]) if keep(int(i))]
+
+
+def test_toxicity_query_equals_a_refit_in_memory(spark):
+    m, rows = labelled("toxic")
+    chain = toxicity.fit_chain(rows)  # fewer rows than per_class: all of them
+    want = chain.predict(chain.matrix(list(m.text))[0])
+    got = queries.op3_toxicity_chain(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id").loc[m.doc_id]
+    assert chain.grams and np.abs(got[[f"p_{c}" for c in chain.categories]].to_numpy() - want).max() < 1e-9
+    assert (got.toxic.to_numpy() == (want[:, -1] >= 0.5)).all()
+
+
+def test_quality_query_equals_a_refit_in_memory(spark):
+    _, rows = labelled("quality", lambda i: zlib.crc32(str(i).encode()) % 5 != 0)
+    m = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id")
+    model = quality.fit_sample(rows, float(np.mean([y for *_, y in rows])))
+    want = quality.sigmoid(quality.features([t.encode() for t in m.text], model) @ model.weights)
+    got = queries.op5_quality_compression(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id").loc[m.doc_id]
+    assert model.bad and model.good and np.abs(got.score.to_numpy() - want).max() < 1e-9
+
+
+def test_fits_read_whole_labelled_texts(spark):
+    # the telling words stand once, in the middle of long texts; ids repeat, texts and labels are null
+    filler = " ".join(f"w{k % 97}" for k in range(9000))
+    rows = [(i, f"{filler} {'you vile idiot' if i % 2 else 'you dear friend'} {filler}", i % 2) for i in range(40)]
+    extra = [(3, "zzz later text", 1), (100, None, 1), (None, "no id", 0), (101, "no label", None)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, y int").repartition(5)
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "y").dropDuplicates(["doc_id"])
+    chain = toxicity.fit(docs, labels, "y")
+    want = toxicity.fit_chain(rows)
+    assert "idiot" in chain.grams and chain.grams == want.grams
+    assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(chain.weights, want.weights, strict=True))
+    got, want = quality.fit(docs, labels, "y", dictionary_bytes=100_000), quality.fit_sample(rows, 0.5, dictionary_bytes=100_000)
+    assert (got.bad, got.good) == (want.bad, want.good) and len(got.weights) == 6
+    # one class, nothing labelled, empty tables
+    for some in (labels.where("y = 1"), labels.where("false")):
+        assert not toxicity.fit(docs, some, "y").grams
+        assert quality.quality(docs, quality.fit(docs, some, "y")).count() == 44
+    assert not toxicity.fit(docs.where("false"), labels, "y").grams and quality.fit(docs.where("false"), labels, "y").weights.tolist() == [0] * 6
+    # the bound of the sample: the rows of each class whose ids hash lowest
+    from cadenza.llm.labelled import labelled_rows
+
+    hashed = {y: [r["doc_id"] for r in df.where(f"y = {y} and doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(4).collect()] for y in (0, 1)}
+    assert {(r["doc_id"], r["y"]) for r in labelled_rows(docs, labels, "y", per_class=4).collect()} == {(i, y) for y, own in hashed.items() for i in own if i != 100}
+
+
 def test_vectors_equal_brute_force(spark):
     r = np.random.default_rng(3)
     base = r.standard_normal((30, 16))
