@@ -165,6 +165,10 @@ class Frame:
         seen = self.canvas[self.canvas[..., 3] > 0]
         return np.stack([np.bincount(seen[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
 
+    def samples(self) -> bytes:
+        """The drawn region of a grey picture, as 8-bit samples."""
+        return self.canvas[self.top : self.top + self.height, self.left : self.left + self.width, 0].tobytes()
+
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
@@ -289,33 +293,72 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", m
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(functools.partial(_frames, most_pixels=most_pixels), schema)
 
 
+def _timed(batches: Iterator[pa.RecordBatch], at: int, most_pixels: int) -> Iterator[pa.RecordBatch]:
+    times, counts = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
+    types = [times, times, counts, counts, counts, pa.list_(pa.binary()), pa.string()]
+    for b in batches:
+        others = [i for i in range(b.num_columns) if i != at]
+        names = [*(b.schema.names[i] for i in others), "start_ms", "delay_ms", "red", "green", "blue", "samples", "error"]
+        for k, media in enumerate(b.column(at)):
+            shown, error = [], None
+            try:
+                for f in decode_gif(media.as_py() or b"", most_pixels):
+                    shown.append((f.start, f.delay, *f.histogram().tolist(), f.samples()))
+            except (ValueError, IndexError, struct.error) as e:
+                error = str(e)
+            columns = [list(c) for c in zip(*shown, strict=True)] or [[]] * 6
+            yield pa.RecordBatch.from_arrays([*(b.column(i).slice(k, 1) for i in others), *(pa.array([v], t) for v, t in zip([*columns, error], types, strict=True))], names)
+
+
+def timed(media: DataFrame, media_col: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """One row per medium: its other columns, then as arrays with a value for each frame start_ms, delay_ms, red, green,
+    blue (histograms of BINS bins of the canvas shown) and samples (the drawn region of a grey picture), and error.
+
+    Media that can't be decoded, null included, have the frames before the damage and an error, as in `frames`, whose
+    rows hold whole canvases in colour instead."""
+    own = "start_ms array<long>, delay_ms array<long>, red array<array<long>>, green array<array<long>>, blue array<array<long>>, samples array<binary>, error string"
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != media_col)
+    return media.mapInArrow(functools.partial(_timed, at=media.columns.index(media_col), most_pixels=most_pixels), f"{others}, {own}" if others else own)
+
+
+def feature(delays: list[int], histograms: np.ndarray) -> str:
+    """Frames, milliseconds, and the pixels shown by colour and bin, over all frames (3 x BINS)."""
+    colours = ";".join(f"{c}={','.join(map(str, h))}" for c, h in zip(("red", "green", "blue"), histograms.tolist(), strict=True))
+    return f"frames={len(delays)};ms={sum(delays)};{colours}"
+
+
 def payload(data: bytes) -> tuple[bytes, str]:
-    """(samples of the drawn regions one after another, features: frames, milliseconds, histogram of grey values)."""
-    parts, n, clock, counts = [], 0, 0, np.zeros(BINS, np.int64)
+    """(samples of the drawn regions one after another, feature) of one medium."""
+    parts, delays, counts = [], [], np.zeros((3, BINS), np.int64)
     for f in decode_gif(data):
-        red = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0]
-        parts.append(red.tobytes())
-        counts += np.bincount(red.ravel() // (256 // BINS), minlength=BINS)
-        n, clock = n + 1, f.start + f.delay
-    return b"".join(parts), f"frames={n};ms={clock};hist={','.join(map(str, counts.tolist()))}"
+        parts.append(f.samples())
+        delays.append(f.delay)
+        counts += f.histogram()
+    return b"".join(parts), feature(delays, counts)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for b in batches:
         rows = []
-        for doc, n, media in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            raw, feature = payload(media)
-            rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for k in range(b.num_rows):  # a document's frames at a time
+            doc, n, media_bytes, media_sha256, delays, samples, *colours = (b.column(c)[k].as_py() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "delay_ms", "samples", "red", "green", "blue"))
+            raw = b"".join(samples)
+            rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), media_bytes, media_sha256, feature(delays, np.array(colours, np.int64).sum(1))))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as a GIF in a table of the shared folder, reads it back and decodes it: a row per document.
+    """Stores every text as a GIF in a table of the shared folder, reads it back, stores its timed frames with their
+    colour histograms in another, and returns digests of these: a row per document.
 
     Null or empty text: a row of blanks. Null ids and repeated rows each get a row. Other columns are ignored. An empty
     table gives an empty result.
     """
-    media = Scratch(docs.sparkSession, "gif").table(encode(docs, id_col, text_col), "media")
-    return media.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    scratch = Scratch(docs.sparkSession, "gif")
+    media = scratch.table(encode(docs, id_col, text_col), "media")
+    shown = scratch.table(timed(media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")), "frames")
+    scratch.drop(media)
+    return shown.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

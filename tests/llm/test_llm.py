@@ -690,3 +690,37 @@ def test_pipeline(spark):
     assert docs.where("n_chars <> char_length(text)").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert last.count() == corpus_pipeline.run(spark, DATA).count()
+
+
+def test_gif_query_equals_the_texts(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {int(r.doc_id): (r.text or "").encode() for r in pd.read_parquet(f"{d}/documents.parquet").itertuples()}
+    got = queries.op9_gif_media(spark, d).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        raw = texts[r["doc_id"]]
+        want = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        # one frame (of up to 49,152 bytes) or more: the grey values shown, by the frames' canvases
+        rows, shown = np.frombuffer(want, np.uint8).reshape(-1, 192), np.zeros(8, np.int64)
+        canvas = np.zeros((min(len(rows), 256), 192), np.uint8)
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            canvas[: len(part)] = part
+            shown += np.bincount(canvas.ravel() // 32, minlength=8)
+        grey, n = ",".join(map(str, shown.tolist())), -(-len(rows) // 256)
+        assert r["feature"] == f"frames={n};ms={100 * n};red={grey};green={grey};blue={grey}"
+    assert len({(r["payload_sha256"], r["media_sha256"]) for r in got}) == len(set(texts.values()))
+
+
+def test_timed_frames_of_damaged_and_long_media(spark):
+    long = bytes(range(256)) * 600  # 800 rows: four frames
+    good = gif.encode_gif(gif.pad(long))
+    cut = good[: len(good) // 2]
+    rows = [(1, bytearray(good), "a"), (2, bytearray(cut), "b"), (3, None, "c"), (4, bytearray(b"no"), "d")]
+    got = {r["doc_id"]: r for r in gif.timed(spark.createDataFrame(rows, "doc_id long, media binary, name string")).collect()}
+    assert b"".join(got[1]["samples"]) == long and got[1]["start_ms"] == [0, 100, 200, 300] and got[1]["error"] is None
+    assert all(sum(h) == 256 * 192 for h in got[1]["red"]) and got[1]["name"] == "a"
+    assert got[2]["error"] and b"".join(got[2]["samples"]) == long[: 49_152 * len(got[2]["samples"])] and len(got[2]["samples"]) in (1, 2)
+    assert [(got[i]["samples"], bool(got[i]["error"])) for i in (3, 4)] == [([], True)] * 2
+    assert not gif.timed(spark.createDataFrame([], "doc_id long, media binary")).count()
