@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut
@@ -21,6 +21,31 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
     return degrees(edges).groupBy("degree").agg(F.count("*").alias("n"))
 
 
+def graphical(sequences: DataFrame) -> DataFrame:
+    """(key, degree) -> key, n, total, graphical: whether a simple graph with these degrees exists.
+
+    The total must be even, and for each k the k largest degrees may not exceed k(k - 1) and what the other nodes can
+    take, least(degree, k) each (Erdos and Gallai); it is enough to ask where a run of equal degrees ends. A key is
+    counted by degree before anything is ordered, so its windows go over distinct degrees only: a total of t has at
+    most about the square root of 2t. Negative degrees aren't graphical; null degrees are left out.
+    """
+    counted = sequences.where("degree is not null").groupBy("key", F.col("degree").cast("long").alias("degree")).agg(F.count("*").alias("n"))
+    down = Window.partitionBy("key").orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("key")
+    size, mass = F.col("n"), F.col("n") * F.col("degree")
+    runs = counted.select("key", "degree", "n", F.sum(size).over(down).alias("k"), F.sum(mass).over(down).alias("top"), F.sum(size).over(every).alias("nodes"), F.sum(mass).over(every).alias("total"), F.min("degree").over(every).alias("lowest"))
+    # the degrees below k meet it by one order of both; a k stands before the degree that equals it
+    row = lambda at, probe, n, mass: F.struct(at.alias("at"), F.lit(probe).alias("value"), n.alias("n"), mass.alias("mass"))
+    none = F.lit(0).cast("long")
+    both = runs.withColumn("r", F.explode(F.array(row(F.col("k"), 0, none, none), row(F.col("degree"), 1, size, mass)))).select("key", "k", "top", "nodes", "total", "lowest", "r.*")
+    up = Window.partitionBy("key").orderBy("at", "value").rowsBetween(Window.unboundedPreceding, 0)
+    below = both.withColumn("low_n", F.sum("n").over(up)).withColumn("low_mass", F.sum("mass").over(up)).where("value = 0")
+    high = F.col("nodes") - F.col("low_n")
+    others = F.when(F.col("k") <= high, F.col("k") * (high - F.col("k")) + F.col("low_mass")).otherwise(F.col("total") - F.col("top"))
+    fits = below.select("key", "nodes", "total", ((F.col("top") <= F.col("k") * (F.col("k") - 1) + others) & (F.col("lowest") >= 0) & (F.col("total") % 2 == 0)).alias("fits"))
+    return fits.groupBy("key").agg(F.max("nodes").alias("n"), F.max("total").alias("total"), F.min("fits").alias("graphical"))
+
+
 def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes, edges, density = 2m / n(n - 1)."""
     n, m = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges"))

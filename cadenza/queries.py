@@ -728,6 +728,41 @@ def graph_girvan_newman(spark, d):
     return tree.join(K.modularity_by_level(edges, tree), "level")
 
 
+def _linkage_sql(rounds: int = 14) -> str:
+    """linkage_blocks, a round for each four tables; further rounds change nothing once no link is left."""
+    out = [f"{EDGES}, l0 AS MATERIALIZED (SELECT a, b, md5(a || ',' || b) AS h FROM edges), p0 AS (SELECT s_suppkey AS node, s_suppkey AS part FROM supplier)"]
+    for k in range(rounds):
+        out.append(f"""c{k} AS MATERIALIZED (SELECT u, min(h) AS h FROM (SELECT a AS u, h FROM l{k} UNION ALL SELECT b, h FROM l{k}) GROUP BY u),
+m{k} AS MATERIALIZED (SELECT l.a, l.b FROM l{k} l JOIN c{k} x ON x.u = l.a AND x.h = l.h JOIN c{k} y ON y.u = l.b AND y.h = l.h),
+n{k} AS MATERIALIZED (SELECT u, coalesce(x.a, y.a, u) AS p, CASE WHEN x.a IS NULL AND y.a IS NULL THEN 1 ELSE 2 END AS w FROM c{k} LEFT JOIN m{k} x ON u = x.a LEFT JOIN m{k} y ON u = y.b),
+p{k + 1} AS MATERIALIZED (SELECT node, coalesce(p, part) AS part FROM p{k} LEFT JOIN n{k} ON part = u),
+l{k + 1} AS MATERIALIZED (SELECT a, b, md5(a || ',' || b) AS h FROM (SELECT least(x.p, y.p) AS a, greatest(x.p, y.p) AS b FROM l{k} l JOIN n{k} x ON x.u = l.a JOIN n{k} y ON y.u = l.b WHERE x.p <> y.p GROUP BY 1, 2 HAVING count(*) = max(x.w * y.w)))""")
+    return ", ".join(out) + f", blocks AS (SELECT node, part FROM p{rounds})"
+
+
+@query(f"WITH {_linkage_sql()} SELECT node, part FROM blocks")
+def graph_linkage_blocks(spark, d):
+    return K.linkage_blocks(partner_edges(spark, d), suppliers(spark, d))
+
+
+@query(f"WITH {_linkage_sql()} SELECT least(x.part, y.part) AS a, greatest(x.part, y.part) AS b, count(*) AS n FROM edges JOIN blocks x ON a = x.node JOIN blocks y ON b = y.node GROUP BY 1, 2")
+def graph_block_model(spark, d):
+    """The graph between complete-linkage blocks, with the number of edges of each pair."""
+    edges = partner_edges(spark, d)
+    return G.quotient(edges, K.linkage_blocks(edges, suppliers(spark, d)))
+
+
+@query("""WITH s AS (SELECT o_custkey AS key, count(*) AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey),
+r AS (SELECT key, d, row_number() OVER (PARTITION BY key ORDER BY d DESC) AS i FROM s),
+e AS (SELECT x.key, x.i, sum(CASE WHEN y.i <= x.i THEN y.d ELSE 0 END) <= x.i * (x.i - 1) + sum(CASE WHEN y.i > x.i THEN least(y.d, x.i) ELSE 0 END) AS fits FROM r x JOIN r y ON x.key = y.key GROUP BY 1, 2),
+t AS (SELECT key, count(*) AS n, CAST(sum(d) AS BIGINT) AS total FROM s GROUP BY 1)
+SELECT key, n, total, bool_and(fits) AND total % 2 = 0 AS graphical FROM t JOIN e USING (key) GROUP BY key, n, total""")
+def graph_graphical_sequences(spark, d):
+    """Whether the numbers of lines of each customer's orders are the degrees of a simple graph."""
+    lines = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("degree"))
+    return G.graphical(R.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key")).join(lines, "o_orderkey").select("key", "degree"))
+
+
 def typed_edges(spark: SparkSession, d: str) -> DataFrame:
     """Partners, by whether both accounts are on one side of zero."""
     side = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") > 0).alias("up"))

@@ -254,3 +254,50 @@ def test_triangles_at_a_hub(spark):
     assert sorted(sorted((r["x"], r["y"], r["z"])) for r in graph.triangles(frame(spark, pairs)).collect()) == [[0, 1, 2], [0, 2, 3]]
     assert graph.clustering(frame(spark, pairs)).where(F.col("node") == 2).first()["clustering"] == pytest.approx(2 / 3)
     assert rows(communities.modularity_by_level(frame(spark, [(1, 2), (3, 4)]), frame(spark, [(0, n, 1 + 2 * (n > 2)) for n in range(1, 5)], "level int, node long, part long"))) == [(0, 2, 0.5)]
+
+
+def test_linkage_blocks(spark):
+    cliques = [list(range(8)), list(range(10, 15)), [20, 21], [30]]
+    exact = [p for c in cliques for p in combinations(c, 2)]
+    rnd = random.Random(8)
+    mixed = sorted(set(exact) | {tuple(sorted(rnd.sample(range(40), 2))) for _ in range(150)})
+    path = [(i, i + 1) for i in range(60)]
+    star = [(0, i) for i in range(1, 40)]
+    for pairs, names in ((exact, [n for c in cliques for n in c]), (mixed, range(45)), (path, range(61)), (star, range(40)), ([], [1, 2])):
+        edges = spark.createDataFrame(pairs, "a long, b long")
+        nodes = spark.createDataFrame([(n,) for n in names], "node long")
+        got = {r["node"]: r["part"] for r in communities.linkage_blocks(edges, nodes).collect()}
+        assert sorted(got) == sorted(names)
+        near, blocks = neighbours(pairs, names), defaultdict(set)
+        for n, p in got.items():
+            blocks[p].add(n)
+        assert all(min(b) == p for p, b in blocks.items())
+        assert all(y in near[x] for b in blocks.values() for x, y in combinations(sorted(b), 2))  # complete linkage below 2
+        assert not any(all(y in near[x] for x in p for y in q) for p, q in combinations(blocks.values(), 2))  # nothing left to join
+        again = {r["node"]: r["part"] for r in communities.linkage_blocks(edges.repartition(5), nodes).collect()}
+        assert again == got
+        if pairs is exact:
+            assert sorted(map(sorted, blocks.values())) == cliques
+
+
+def realisable(degrees):
+    """Havel and Hakimi: the largest degree is served by the next largest ones."""
+    d = sorted(degrees, reverse=True)
+    while d and d[0] > 0:
+        k, d = d[0], d[1:]
+        if k > len(d) or d[k - 1] <= 0:
+            return False
+        d = sorted([x - 1 for x in d[:k]] + d[k:], reverse=True)
+    return not d or d[-1] >= 0
+
+
+def test_graphical_sequences(spark):
+    rnd = random.Random(4)
+    cases = {k: [rnd.choice([0, 1, 1, 2, 3, rnd.randint(0, n)]) for _ in range(n)] for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9] * 40)}
+    cases |= {1000: [0], 1001: [-1, 1], 1002: [3, 3, 3, 3], 1003: [3, 3, 3, 1], 1004: [4, 4, 2, 2, 2], 1005: [5, 5, 4, 3, 2, 1], 1006: [1] * 500, 1007: [499] * 500, 1008: [10**6, 1]}
+    rows = [(k, d) for k, ds in cases.items() for d in ds] + [(2000, None)]
+    got = {r["key"]: r for r in graph.graphical(spark.createDataFrame(rows, "key long, degree int").repartition(4)).collect()}
+    assert set(got) == set(cases) and 40 < sum(r["graphical"] for r in got.values()) < 300
+    for k, ds in cases.items():
+        assert (got[k]["n"], got[k]["total"], got[k]["graphical"]) == (len(ds), sum(ds), realisable(ds)), (k, ds)
+    assert not graph.graphical(spark.createDataFrame([], "key long, degree int")).count()
