@@ -22,6 +22,8 @@ WIDTH, FRAME_ROWS, DELAY = 192, 256, 10
 BINS = 8
 #: Pixels of a canvas, and of a region, that `frames` decodes at most; larger ones give an error row.
 MOST_PIXELS = 1 << 24
+#: Bytes of samples after which `timed` passes its rows on.
+HELD_BYTES = 1 << 20
 _FULL = 4096
 
 
@@ -162,7 +164,9 @@ class Frame:
 
     def histogram(self) -> np.ndarray:
         """Counts of visible pixels by the upper bits of red, green and blue: 3 x BINS."""
-        seen = self.canvas[self.canvas[..., 3] > 0]
+        seen = self.canvas.reshape(-1, 4)
+        if not seen[:, 3].all():
+            seen = seen[seen[:, 3] > 0]
         return np.stack([np.bincount(seen[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
 
     def samples(self) -> bytes:
@@ -299,15 +303,21 @@ def _timed(batches: Iterator[pa.RecordBatch], at: int, most_pixels: int) -> Iter
     for b in batches:
         others = [i for i in range(b.num_columns) if i != at]
         names = [*(b.schema.names[i] for i in others), "start_ms", "delay_ms", "red", "green", "blue", "samples", "error"]
+        rows: list[list] = []
+        size = 0
         for k, media in enumerate(b.column(at)):
             shown, error = [], None
             try:
                 for f in decode_gif(media.as_py() or b"", most_pixels):
                     shown.append((f.start, f.delay, *f.histogram().tolist(), f.samples()))
+                    size += len(shown[-1][-1])
             except (ValueError, IndexError, struct.error) as e:
                 error = str(e)
-            columns = [list(c) for c in zip(*shown, strict=True)] or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(b.column(i).slice(k, 1) for i in others), *(pa.array([v], t) for v, t in zip([*columns, error], types, strict=True))], names)
+            rows.append([*(list(c) for c in zip(*shown, strict=True)), error] if shown else [[]] * 6 + [error])
+            if size > HELD_BYTES or k + 1 == b.num_rows:
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(k + 1 - len(rows), len(rows)) for i in others), *arrays], names)
+                rows, size = [], 0
 
 
 def timed(media: DataFrame, media_col: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
