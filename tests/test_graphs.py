@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict, deque
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +302,30 @@ def test_graphical_sequences(spark):
     for k, ds in cases.items():
         assert (got[k]["n"], got[k]["total"], got[k]["graphical"]) == (len(ds), sum(ds), realisable(ds)), (k, ds)
     assert not graph.graphical(spark.createDataFrame([], "key long, degree int")).count()
+
+
+def test_partners_equal_the_projection(spark, monkeypatch):
+    """Counted in batches and slices, against all pairs: ties, repeats, nulls, a right node that all share, u in several batches."""
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(-3, 40, 900), rng.integers(0, 60, 900), strict=True)] + [(k, 99) for k in range(40)]
+    pairs = spark.createDataFrame([*rows, rows[0], (None, 3), (3, None), (1000, 77)], "left long, right long")
+    held = {}
+    for a, b in set(rows):
+        held.setdefault(a, set()).add(b)
+    want = []
+    for u in held:
+        near = sorted((-len(held[u] & held[v]), v) for v in held if v != u and held[u] & held[v])
+        want += [(u, v, -n, k) for k, (n, v) in enumerate(near[:3], 1)]
+    assert sorted(map(tuple, graph.partners(pairs, 3).collect())) == sorted(want)
+    monkeypatch.setattr(graph, "SLICE", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, graph.partners(pairs, 3).collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_partner_edges_are_a_table(spark):
+    """Plans that read the edges many times don't make the partners again."""
+    edges = queries.partner_edges(spark, DATA)
+    assert "lineitem" not in " ".join(edges.inputFiles()) and edges.inputFiles()
