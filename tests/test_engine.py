@@ -49,6 +49,24 @@ def test_long_playlists_are_dealt_in_blocks(spark):
     assert whole == dealt and len(whole) > 20
 
 
+def test_playlists_are_scored_in_their_tasks(spark, monkeypatch):
+    """Batches that cut playlists, and few pairs at a time, give the links that all pairs give; only links are shuffled on."""
+    s = [song(i, None if i == 3 else f"n{i % 19}", d=(i * 7 % 11) / 10, e=(i * 5 % 13) / 13, v=(i % 7) / 7, p=i % 3) for i in range(23)] + [song(40, "zero", 0.0, 0.0, 0, 0.0, 0.0, 0)]
+    songs, items = spark.createDataFrame(s, SONG), placed(spark, s)
+    for k in range(2, 6):
+        items = items.unionByName(placed(spark, s[k : 3 * k], k))
+    hits = M.directed(M.threshold(M.pair_scores(M.with_vectors(items, songs)), 0.8))
+    want = sorted(tuple(r) for r in M.sample_every(hits, 3).select("pid", "i", "j", "source", "target", "score").collect())
+    monkeypatch.setattr(M, "PAIRS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = M.graph_links(items, songs, least=0.8, every=3)
+        assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 20
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_zero_vector_scores_zero_and_threshold_is_strict(spark):
     s = [song(1, "a"), song(2, "b", 0.0, 0.0, 0, 0.0, 0.0, 0)]
     with pytest.raises(Exception, match="not exactly one row"):
