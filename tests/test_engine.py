@@ -67,6 +67,22 @@ def test_playlists_are_scored_in_their_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_vector_links_in_blocks(spark, monkeypatch):
+    """Pairs of blocks give what all pairs give: odd vectors, labels and lengths too; no plan pairs all vectors by label."""
+    x = [[(i * 7 % 11) / 11 - 0.4, (i * 5 % 13) / 13 - 0.4, (i % 7) / 7 - 0.4] for i in range(40)]
+    x += [[0.0, 0.0, 0.0], [1e-200, 0.0, 0.0], [0.5, None, 0.1], None, [], [0.2, 0.3], [0.3, 0.2], [float("nan"), 0.1, 0.1]]
+    rows = [(k, None if k == 5 else k % 2, v) for k, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, x array<double>")
+    a, b = v.select("label", F.col("vec_id").alias("i"), F.col("x").alias("xa")), v.select("label", F.col("vec_id").alias("j"), F.col("x").alias("xb"))
+    want = a.join(b, "label").where("i < j").withColumn("score", F.round(S.list_cosine(F.col("xa"), F.col("xb")), 6)).where("score > 0.3").select("label", "i", "j", "score")
+    want = sorted(map(repr, want.collect()))
+    for n in (2048, 5):
+        monkeypatch.setattr(M, "VECTORS", n)
+        got = M.vector_links(v, 0.3)
+        assert sorted(map(repr, got.collect())) == want and len(want) > 100
+        assert "xb" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_zero_vector_scores_zero_and_threshold_is_strict(spark):
     s = [song(1, "a"), song(2, "b", 0.0, 0.0, 0, 0.0, 0.0, 0)]
     with pytest.raises(Exception, match="not exactly one row"):
