@@ -329,3 +329,23 @@ def test_partner_edges_are_a_table(spark):
     """Plans that read the edges many times don't make the partners again."""
     edges = queries.partner_edges(spark, DATA)
     assert "lineitem" not in " ".join(edges.inputFiles()) and edges.inputFiles()
+
+
+def test_spanning_forest_reads_its_edges_once(spark, tmp_path):
+    """Later rounds go on from what is left: the edges' own table may go after the first."""
+    rows = [(a, b, (a * 7 + b * 5) % 11) for a, b in combinations(range(12), 2)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(rows, "a long, b long, weight long").mapInArrow(seen, "a long, b long, weight long")
+    part, total = {k: k for k in range(12)}, 0
+    for w, a, b in sorted((w, a, b) for a, b, w in rows):
+        if part[a] != part[b]:
+            total, old = total + w, part[a]
+            part = {k: part[b] if v == old else v for k, v in part.items()}
+    got = graph.spanning_forest(edges).collect()
+    assert (len(got), sum(r["weight"] for r in got)) == (11, total) and reads.value == len(rows)
