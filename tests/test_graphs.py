@@ -94,6 +94,31 @@ def test_betweenness_in_groups_of_sources(spark):
     assert not centrality.betweenness(e.where("false")).count()
 
 
+def test_centralities_take_one_search_of_blocks_and_nodes_go_on_in_the_next_batch(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(45)) if a < b} | {(0, v) for v in range(1, 12)})
+    e, near = spark.createDataFrame(pairs, "a long, b long"), neighbours(pairs)
+    n, (node, edge) = len(near), brute_betweenness(pairs)
+    searched, tables = centrality.levels, []
+    monkeypatch.setattr(centrality, "levels", lambda *a: tables.append(searched(*a)) or tables[-1])
+    monkeypatch.setattr(centrality, "drop", lambda *a: None)  # the tables are looked at
+    got = {r["node"]: r for r in centrality.centralities(e).collect()}
+    want = []
+    for v in near:
+        far = search(near, v)[0].values()
+        want.append((v, round(len(near[v]) / (n - 1), 9), round((len(far) - 1) ** 2 / (sum(far) * (n - 1)), 9), max(far), pytest.approx(node[v] / 2, abs=1e-6)))
+    assert len(got) == n and [tuple(got[v[0]]) for v in want] == want
+    assert len(tables) == 1  # distances and shares come from one search
+    assert all(t.count() <= n for t in tables[0])  # a row of a level holds all sources of a block
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert rows(centrality.betweenness(e)) == [(v, pytest.approx(node[v] / 2, abs=1e-9)) for v in sorted(near)]
+        assert rows(centrality.edge_betweenness(e)) == [(a, b, pytest.approx(v / 2)) for (a, b), v in sorted(edge.items())]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_blocks(spark):
     def brute(pairs):
         nodes = set(neighbours(pairs))
