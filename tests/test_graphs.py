@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza import queries
-from cadenza.operators import biconnected, centrality, communities, dynamics, graph, orders, summaries, trees, triads
+from cadenza.operators import biconnected, centrality, communities, dynamics, graph, orders, searches, summaries, trees, triads
 
 DATA = "/root/testdata/sf0.001"
 
@@ -374,3 +374,56 @@ def test_spanning_forest_reads_its_edges_once(spark, tmp_path):
             part = {k: part[b] if v == old else v for k, v in part.items()}
     got = graph.spanning_forest(edges).collect()
     assert (len(got), sum(r["weight"] for r in got)) == (11, total) and reads.value == len(rows)
+
+
+def held_graph(pairs, share):
+    names = np.unique(pairs)
+    ways = np.searchsorted(names, np.array(sorted([*pairs, *((b, a) for a, b in pairs)])))
+    return searches.Graph(share, names, np.searchsorted(ways[:, 0], np.arange(len(names) + 1)), ways[:, 1])
+
+
+def wide_pairs():
+    """A hub of more ways than columns, a long path, random edges and a component of its own."""
+    rng = random.Random(12)
+    return sorted({*((1, v) for v in range(2, 90)), *((v, v + 1) for v in range(100, 130)), (50, 100), *(tuple(sorted(rng.sample(range(1, 90), 2))) for _ in range(60)), (500, 501), (501, 502)})
+
+
+def test_graph_centralities_is_searched_in_tasks(spark, monkeypatch):
+    """By levels each step of each search was a shuffle."""
+    monkeypatch.setattr(centrality, "levels", lambda *_: pytest.fail("searched by joins"))
+    pairs = [(r["a"], r["b"]) for r in queries.partner_edges(spark, DATA).collect()]
+    near, node = neighbours(pairs), brute_betweenness(pairs)[0]
+    want = []
+    for v in sorted(near):
+        far = search(near, v)[0].values()
+        want.append((v, round(len(near[v]) / (len(near) - 1), 9), round((len(far) - 1) ** 2 / (sum(far) * (len(near) - 1)), 9), max(far), pytest.approx(node[v] / 2, abs=1e-6)))
+    assert rows(queries.graph_centralities(spark, DATA)) == want
+    pairs = wide_pairs()
+    near, node = neighbours(pairs), brute_betweenness(pairs)[0]
+    got = {r["node"]: r for r in centrality.centralities(frame(spark, pairs), held=2 * len(pairs)).collect()}
+    assert {v: (got[v]["eccentricity"], got[v]["betweenness"]) for v in near} == {v: (max(search(near, v)[0].values()), pytest.approx(node[v] / 2, abs=1e-6)) for v in near}
+    assert not centrality.centralities(frame(spark, pairs).where("false"), held=4).count()
+    with pytest.raises(pytest.fail.Exception):
+        centrality.centralities(frame(spark, pairs), held=2 * len(pairs) - 1)
+
+
+def test_blocks_of_a_task_add_up(monkeypatch):
+    """Several blocks of sources for each task, against brute force."""
+    pairs = wide_pairs()
+    near, (node, edge) = neighbours(pairs), brute_betweenness(pairs)
+    monkeypatch.setattr(searches, "PLACES", 3 * len(near))
+    share, flow, reached = Counter(), Counter(), {}
+    for k in range(2):
+        (b,) = searches._node_sums(held_graph(pairs, k), 2)
+        for r in b.to_pylist():
+            share[r["node"]] += r["share"]
+            if r["total"] is not None:
+                assert r["node"] not in reached
+                reached[r["node"]] = r["total"], r["reached"], r["eccentricity"]
+        (b,) = searches._edge_sums(held_graph(pairs, k), 2)
+        for r in b.to_pylist():
+            flow[r["a"], r["b"]] += r["share"]
+            assert r["part"] == (500 if r["a"] >= 500 else 1)
+    assert share == pytest.approx(dict(node)) and flow == pytest.approx(dict(edge))
+    far = {v: search(near, v)[0].values() for v in near}
+    assert reached == {v: (sum(d), len(d) - 1, max(d)) for v, d in far.items()}
