@@ -427,3 +427,12 @@ def test_blocks_of_a_task_add_up(monkeypatch):
     assert share == pytest.approx(dict(node)) and flow == pytest.approx(dict(edge))
     far = {v: search(near, v)[0].values() for v in near}
     assert reached == {v: (sum(d), len(d) - 1, max(d)) for v, d in far.items()}
+
+
+def test_graph_edge_betweenness_is_searched_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "levels", lambda *_: pytest.fail("searched by joins"))
+    pairs = [(r["a"], r["b"]) for r in queries.partner_edges(spark, DATA).collect()]
+    want = lambda pairs: [(a, b, pytest.approx(v / 2, abs=1e-6)) for (a, b), v in sorted(brute_betweenness(pairs)[1].items())]
+    assert rows(queries.graph_edge_betweenness(spark, DATA)) == want(pairs)
+    pairs = wide_pairs()
+    assert rows(centrality.edge_betweenness(frame(spark, pairs), held=2 * len(pairs))) == want(pairs)
