@@ -436,3 +436,31 @@ def test_graph_edge_betweenness_is_searched_in_tasks(spark, monkeypatch):
     assert rows(queries.graph_edge_betweenness(spark, DATA)) == want(pairs)
     pairs = wide_pairs()
     assert rows(centrality.edge_betweenness(frame(spark, pairs), held=2 * len(pairs))) == want(pairs)
+
+
+def test_graph_eccentricity_is_searched_in_tasks(spark, monkeypatch):
+    """64 sources at a time, as bits of a word."""
+    monkeypatch.setattr(centrality, "levels", lambda *_: pytest.fail("searched by joins"))
+
+    def want(pairs):
+        near = neighbours(pairs)
+        far = {v: search(near, v)[0].values() for v in near}
+        wide = [max(d) for d in far.values()]
+        return [(v, max(d), max(d) == min(wide), max(d) == max(wide)) for v, d in sorted(far.items())], sorted(Counter(k for d in far.values() for k in d).items())
+
+    nodes, pairs = want([(r["a"], r["b"]) for r in queries.partner_edges(spark, DATA).collect()])
+    assert rows(queries.graph_eccentricity(spark, DATA)) == nodes
+    assert rows(queries.graph_path_histogram(spark, DATA)) == pairs
+    e = frame(spark, wide_pairs())
+    nodes, pairs = want(wide_pairs())
+    assert rows(centrality.eccentricities(e, held=searches.HELD)) == nodes and rows(centrality.path_histogram(e, held=searches.HELD)) == pairs
+    (b,) = searches._far(held_graph([(v, v + 1) for v in range(299)], 0), 1)  # several words for a node
+    assert b.column(1).to_pylist() == [max(v, 299 - v) for v in range(300)]
+    monkeypatch.setattr(searches, "WORDS", 1)  # several blocks for a task
+    far, count = Counter(), Counter()
+    for k in range(2):
+        (b,) = searches._far(held_graph(wide_pairs(), k), 2)
+        far |= Counter({r["node"]: r["eccentricity"] for r in b.to_pylist()})
+        (b,) = searches._pairs(held_graph(wide_pairs(), k), 2)
+        count.update({r["distance"]: r["n"] for r in b.to_pylist()})
+    assert sorted(far.items()) == [r[:2] for r in nodes] and sorted(count.items()) == pairs
