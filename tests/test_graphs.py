@@ -464,3 +464,21 @@ def test_graph_eccentricity_is_searched_in_tasks(spark, monkeypatch):
         (b,) = searches._pairs(held_graph(wide_pairs(), k), 2)
         count.update({r["distance"]: r["n"] for r in b.to_pylist()})
     assert sorted(far.items()) == [r[:2] for r in nodes] and sorted(count.items()) == pairs
+
+
+def test_graph_girvan_newman_is_searched_in_tasks(spark, monkeypatch):
+    """A part that isn't hurt isn't searched again; components come with the scores."""
+    monkeypatch.setattr(communities, "components", lambda *_: pytest.fail("searched by joins"))
+    monkeypatch.setattr(communities, "edge_betweenness", lambda *_: pytest.fail("searched by joins"))
+    asked, scored = [], communities._scored
+    monkeypatch.setattr(communities, "_scored", lambda edges, inside: asked.append(edges.count()) or scored(edges, inside))
+    got = communities.girvan_newman(frame(spark, [(3, 4), (1, 2), (1, 3), (2, 3), (4, 5), (4, 6), (5, 6), (8, 9)]), 2, held=100)
+    # the bridge, then the smallest edge of two equal triangles, then one of the ways around it
+    level = lambda k: sorted((r["node"], r["part"]) for r in got.collect() if r["level"] == k)
+    assert level(0) == [*((v, 1) for v in range(1, 7)), (8, 8), (9, 8)]
+    assert level(1) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (8, 8), (9, 8)]
+    assert level(2) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 4), (6, 4), (8, 8), (9, 8)]
+    assert asked == [8, 6, 2, 1]
+    assert not communities.girvan_newman(frame(spark, [(1, 2)]).where("false"), 2, held=100).count()
+    alone = communities.girvan_newman(frame(spark, [(1, 2)]), 2, held=100)
+    assert rows(alone) == [(0, 1, 1), (0, 2, 1), (1, 1, 1), (1, 2, 2)]
