@@ -71,15 +71,15 @@ def path_counts(arcs: DataFrame) -> DataFrame:
     return total
 
 
-def branching(arcs: DataFrame, most: int) -> DataFrame:
+def branching(arcs: DataFrame, most: int | None = None) -> DataFrame:
     """(a -> b) of an acyclic graph -> copy, parent, node, depth: a forest in which a node has a copy for each path that
     leads to it from a source. A copy is named by its path; parent is null at the roots.
 
-    More than `most` copies in all raise ValueError, before any is made.
+    More than `most` copies in all, where it is given, raise ValueError, before any is made.
     """
     copies = path_counts(arcs)
     total = copies.agg(F.sum("copies")).first()[0] or 0
-    if total > most:
+    if most is not None and total > most:
         raise ValueError(f"{total} copies, more than {most}")
     e = cut(arcs.select(F.col("a").alias("node"), "b").distinct())
     roots = copies.select("node").join(e.select(F.col("b").alias("node")), "node", "left_anti")

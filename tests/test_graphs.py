@@ -482,3 +482,17 @@ def test_graph_girvan_newman_is_searched_in_tasks(spark, monkeypatch):
     assert not communities.girvan_newman(frame(spark, [(1, 2)]).where("false"), 2, held=100).count()
     alone = communities.girvan_newman(frame(spark, [(1, 2)]), 2, held=100)
     assert rows(alone) == [(0, 1, 1), (0, 2, 1), (1, 1, 1), (1, 2, 2)]
+
+
+def test_graph_branching_unfolds_every_arc(spark):
+    """The second partners of all suppliers too, not of every third only."""
+    pairs = [(r["a"], r["b"]) for r in queries.partner_edges(spark, DATA).collect()]
+    got = queries.graph_branching(spark, DATA).collect()
+    ways = Counter(r["node"] for r in got)
+    ends = {b for _, b in pairs}
+    want = {}
+    for n in sorted(neighbours(pairs)):
+        want[n] = sum(want[a] for a, b in pairs if b == n) if n in ends else 1
+    assert ways == want and len({r["copy"] for r in got}) == len(got)
+    used = {(int(r["parent"].split(">")[-1]), r["node"]) for r in got if r["parent"]}
+    assert used == set(pairs)
