@@ -496,3 +496,26 @@ def test_graph_branching_unfolds_every_arc(spark):
     assert ways == want and len({r["copy"] for r in got}) == len(got)
     used = {(int(r["parent"].split(">")[-1]), r["node"]) for r in got if r["parent"]}
     assert used == set(pairs)
+
+
+def test_graph_spanning_forest_keeps_forests_of_tasks(spark, monkeypatch):
+    """A task's edges that close a circle don't leave it, and the forest is that of the whole projection."""
+    rng = np.random.default_rng(9)
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 1500), rng.integers(0, 90, 1500), strict=True)] + [(70, 200), (71, 200), (None, 200), (72, 201), (71, None)], "left long, right long")
+    every = {(r["a"], r["b"]): r["weight"] for r in graph.projection(pairs).collect()}
+    light = {(r["a"], r["b"]): r["weight"] for r in graph.light_projection(pairs).collect()}
+    assert light.items() <= every.items() and len(light) < len(every) / 2
+    want = rows(graph.spanning_forest(graph.projection(pairs)))
+    assert rows(graph.spanning_forest(graph.light_projection(pairs))) == want and len(want) == 60
+    a, b, weight = (np.array(c) for c in zip(*((*e, w) for e, w in every.items()), strict=True))
+    assert sorted(zip(*(c[graph._forest(a, b, weight)].tolist() for c in (a, b, weight)), strict=True)) == want
+    monkeypatch.setattr(graph, "GATHERED", 50)
+    for kept in (10, 1000):
+        monkeypatch.setattr(graph, "KEPT", kept)
+        (batch,) = graph._lists(pairs, after=True).coalesce(1).sortWithinPartitions("u").toArrow().combine_chunks().to_batches()
+        parts = [*graph._light(iter([batch.slice(0, 100), batch.slice(100, 0), batch.slice(100)]))]
+        assert (len(parts) > 1) == (kept == 10)
+        some = frame(spark, [tuple(r.values()) for p in parts for r in p.to_pylist()], "a long, b long, weight long")
+        assert rows(graph.spanning_forest(some)) == want
+    monkeypatch.setattr(graph, "projection", lambda *_: pytest.fail("all pairs are shuffled"))
+    assert queries.graph_spanning_forest(spark, DATA).count() == len(neighbours([(r["a"], r["b"]) for r in queries.partner_edges(spark, DATA).collect()])) - 1
