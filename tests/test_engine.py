@@ -280,3 +280,16 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(registered.ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     assert rows(registered.QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(registered.ORACLE_SQL[name]).df())
+
+
+def test_get_or_create_edges_takes_one_pass(spark, monkeypatch):
+    """Links aren't kept as a table, and what exists comes from the rows that are combined anyway."""
+    some = spark.createDataFrame([("a", "b", 0.5, "old"), ("a", "b", 0.5, "new"), ("a", "b", 0.5, None), ("a", "b", 0.6, "new"), ("a", "b", 0.6, "new"), ("b", "a", 0.5, None), (None, "a", 0.5, "new"), (None, "a", 0.5, "old")], "x string, y string, s double, kind string")
+    got = I.created(some, ["x", "y", "s"], F.col("kind") == "old")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", "b", 0.5, False), ("a", "b", 0.6, True), ("b", "a", 0.5, True), (None, "a", 0.5, False)]))
+    monkeypatch.setattr(registered, "cut", lambda *_: pytest.fail("a table of all links"))
+    data = "/root/testdata/sf0.001"
+    links = registered.similarity_graph_links(spark, data).collect()
+    rows = registered.get_or_create_edges(spark, data).collect()
+    assert sorted((r["song_a"], r["song_b"], r["similarity_score"]) for r in rows) == sorted({(r["source"], r["target"], r["score"]) for r in links})
+    assert {r["created"] for r in rows} == {True, False}
